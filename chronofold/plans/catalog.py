@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import captioning, publishing, segments
+
+QUERIES = {**segments.QUERIES, **captioning.QUERIES, **publishing.QUERIES}
+ORACLE = {**segments.ORACLE, **captioning.ORACLE, **publishing.ORACLE}
