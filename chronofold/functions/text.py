@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Openings that raise a clip's score when present.
-HOOKS = ("como", "por que", "segredo", "nunca", "sempre", "incrível", "the", "what", "why", "how", "never", "always", "is", "que", "la", "der")
+#: Markers that raise a clip's score when present.
+HOOKS = (
+    "o segredo", "a verdade", "ninguém", "nunca", "sempre", "porque", "o problema", "a chave", "descobri", "aprendi", "errei", "o erro",
+    "primeira vez", "dica", "importante", "o ponto",
+)
 #: Words that shouldn't end a caption line.
-FUNCTION_WORDS = ("a", "o", "e", "de", "da", "do", "em", "que", "the", "of", "and", "to", "in", "la", "el", "le", "der", "die", "und", "les", "des", "en", "un", "with", "for", "on", "by", "at", "is", "an")
+FUNCTION_WORDS = tuple("a o as os um uma uns umas de da do das dos em na no nas nos para pra por pelo pela com que se e ou mas meu minha seu sua ao aos à às num numa".split())
 
 
 def word_list(text: Column) -> Column:

@@ -13,10 +13,12 @@ from ..functions.text import FUNCTION_WORDS
 WORDS = "array<struct<start_ms:bigint,end_ms:bigint,text:string>>"
 GROUPS = f"array<{WORDS}>"
 LISTS = "array<array<string>>"
+#: Marks that don't count as part of a function word.
+MARKS = ".,;:!?…\"'()"
 
 
 def is_function_word(word: Column) -> Column:
-    return F.lower(F.regexp_replace(word, "^\\W+|\\W+$", "")).isin(*FUNCTION_WORDS)
+    return F.lower(F.regexp_replace(word, f"^[{MARKS}]+|[{MARKS}]+$", "")).isin(*FUNCTION_WORDS)
 
 
 def greedy_chunks(words: Column, limit: int) -> Column:
@@ -52,14 +54,13 @@ def push_dangling(chunks: Column) -> Column:
 
 
 def two_lines(words: Column, limit: int = 40) -> Column:
-    """Text over the limit splits at the blank nearest its middle (the earlier of two), not after a function word; else at the middle word."""
-    text = F.array_join(words, " ")
-    n, whole = F.size(words), F.length(text)
-    size_to = lambda k: F.length(F.array_join(F.slice(words, 1, k), " "))
-    spots = F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.struct(F.abs(2 * size_to(k) - whole).alias("off"), k.alias("k")))
+    """Text over the limit splits at the word nearest the middle (the earlier of two), not after a function word; else at the middle. One word stays one line."""
+    text, n = F.array_join(words, " "), F.size(words)
+    middle = F.floor(n / 2).cast("int")
+    spots = F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.struct(F.abs(k - middle).alias("off"), k.alias("k")))
     good = F.filter(spots, lambda s: ~is_function_word(F.get(words, s["k"] - 1)))
-    best = F.coalesce(F.array_min(good), F.array_min(spots))["k"]
-    return F.when((whole <= limit) | (n < 2), text).otherwise(F.concat(F.array_join(F.slice(words, 1, best), " "), F.lit("\n"), F.array_join(F.slice(words, best + 1, n), " ")))
+    best = F.coalesce(F.array_min(good)["k"], middle)
+    return F.when((F.length(text) <= limit) | (n < 2), text).otherwise(F.concat(F.array_join(F.slice(words, 1, best), " "), F.lit("\n"), F.array_join(F.slice(words, best + 1, n), " ")))
 
 
 def time_shares(chunks: Column, start: Column, end: Column, least: int = 700) -> Column:

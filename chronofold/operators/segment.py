@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clip_score, ends_sentence
 from .intervals import PAIR, clip_join, complement, greedy_split, keep_ranges, total
 
-CONFIG = {"split_ms": 2000, "cut_ms": 800, "least_ms": 2000, "most_ms": 20_000, "pad_ms": 150, "ratio": 0.35, "most_clips": 60, "pause_tolerance_ms": 600}
+CONFIG = {"split_ms": 2000, "cut_ms": 800, "least_ms": 2000, "most_ms": 60_000, "pad_ms": 150, "ratio": 0.35, "most_clips": 60, "pause_tolerance_ms": 600}
 
 
 def boundaries(silences: DataFrame, least: int = CONFIG["split_ms"]) -> DataFrame:

@@ -101,7 +101,7 @@ tm AS (SELECT media_id, seq, i, w, us, ue, CAST(us + (ue - us) * (upto - length(
 ORACLE = {
     "x2_collapse": "WITH" + UTTERANCES + r" SELECT media_id, seq, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM u",
     "x3_greedy_chunks": _W + _CHUNKS + " SELECT media_id, seq, pos, chunk FROM ch",
-    "x5_function_words": _W + rf" SELECT word, lower(regexp_replace(word, '^[^\pL\pN_]+|[^\pL\pN_]+$', '', 'g')) IN {_FW} AS is_function, count(*) AS count FROM (SELECT unnest(words) AS word FROM ws) GROUP BY ALL",
+    "x5_function_words": _W + rf""" SELECT word, lower(regexp_replace(word, '^[.,;:!?…"''()]+|[.,;:!?…"''()]+$', '', 'g')) IN {_FW} AS is_function, count(*) AS count FROM (SELECT unnest(words) AS word FROM ws) GROUP BY ALL""",
     "x7_time_shares": _W + _CHUNKS + """, sh AS (SELECT *, greatest(700, (end_ms - start_ms) * length(chunk) // sum(length(chunk)) OVER (PARTITION BY media_id, seq)) AS share FROM ch),
 at_ AS (SELECT *, least(end_ms, start_ms + coalesce(sum(share) OVER w, 0)) AS a, least(end_ms, start_ms + coalesce(sum(share) OVER w, 0) + share) AS b FROM sh WINDOW w AS (PARTITION BY media_id, seq ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT media_id, seq, CAST(row_number() OVER (PARTITION BY media_id, seq ORDER BY pos) - 1 AS INT) AS pos, CAST(a AS BIGINT) AS start_ms, CAST(b AS BIGINT) AS end_ms, chunk AS text FROM at_ WHERE b > a""",

@@ -28,8 +28,8 @@ cutl AS (SELECT w.media_id, w.start_ms, w.end_ms, list(DISTINCT {'q': quality, '
 walk AS (
   SELECT media_id, start_ms AS cur, end_ms, cuts FROM cutl
   UNION ALL
-  SELECT media_id, coalesce(list_sort(list_filter(cuts, lambda c: c.t >= cur + 2000 AND c.t <= least(cur + 20000, end_ms - 2000)), 'DESC')[1].t, cur + 20000), end_ms, cuts
-  FROM walk WHERE end_ms - cur > 20000),
+  SELECT media_id, coalesce(list_sort(list_filter(cuts, lambda c: c.t >= cur + 2000 AND c.t <= least(cur + 60000, end_ms - 2000)), 'DESC')[1].t, cur + 60000), end_ms, cuts
+  FROM walk WHERE end_ms - cur > 60000),
 pieces AS (SELECT media_id, cur AS start_ms, lead(cur, 1, end_ms) OVER (PARTITION BY media_id, end_ms ORDER BY cur) AS end_ms FROM walk)"""
 KEEP = """
 shr AS (SELECT media_id, clip, start_ms + 150 AS s, end_ms - 150 AS e FROM inside WHERE end_ms - start_ms - 300 >= 50),

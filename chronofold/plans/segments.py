@@ -99,7 +99,7 @@ def i10(spark, d):
 
 def i13(spark, d):
     u, s, m = _base(spark, d)
-    return S.split_windows(I.complement(S.boundaries(s), m), S.cut_points(u, s))
+    return S.split_windows(I.complement(S.boundaries(s), m), S.cut_points(u, s), most=20_000)
 
 
 def i14(spark, d):
@@ -338,7 +338,7 @@ r AS (SELECT *, coalesce(sum(b - a) OVER (PARTITION BY media_id, clip ORDER BY a
 SELECT t.media_id, t.seq, t.clip, CAST((SELECT arg_min(gone + greatest(0, t.t - a), a) FROM r WHERE r.media_id = t.media_id AND r.clip = t.clip AND t.t <= b) AS BIGINT) AS clip_ms FROM t""",
     "i11_durations": _GC + " SELECT cw.media_id, cw.clip, CAST(sum(b - a) AS BIGINT) AS final_ms, CAST(greatest(0, min(w_end - w_start) - sum(b - a)) AS BIGINT) AS removed_ms FROM cw JOIN kept k ON k.media_id = cw.media_id AND k.clip = cw.clip GROUP BY ALL",
     "i12_resolve_window": _G + ", a AS (SELECT media_id, clip, w_start - 5000 AS t FROM grid WHERE clip % 2 = 0), b AS (SELECT media_id, clip, w_end + 3000 AS t FROM grid WHERE clip % 2 = 0), sa AS (SELECT media_id, clip, greatest(0, coalesce(" + _SNAP.format(m="start_ms") + ", t)) AS start_ms FROM a p), sb AS (SELECT media_id, clip, coalesce(" + _SNAP.format(m="end_ms") + ", t) AS e FROM b p) SELECT sa.media_id, sa.clip, sa.start_ms, greatest(sa.start_ms + 1000, e) AS end_ms FROM sa JOIN sb USING (media_id, clip)",
-    "i13_greedy_split": _U + "," + WINDOWS + "," + POINTS + "," + SPLIT + " SELECT * FROM pieces",
+    "i13_greedy_split": _U + "," + WINDOWS + "," + POINTS + "," + SPLIT.replace("60000", "20000") + " SELECT * FROM pieces",
     "i14_best_cut": _G + "," + POINTS + " SELECT g.media_id, clip, arg_max(time_ms, (quality, time_ms)) AS time_ms, CAST(max(quality) AS BIGINT) AS quality FROM grid g JOIN pts p ON p.media_id = g.media_id AND time_ms BETWEEN w_start AND w_end GROUP BY ALL",
     "j1_window_text": _G + ", cw AS (SELECT * FROM grid)," + TEXTS + " SELECT cw.*, coalesce(text, '') AS text FROM cw LEFT JOIN txt USING (media_id, clip)",
     "j2_window_silences": _G + ", cw AS (SELECT * FROM grid)," + INSIDE + " SELECT * FROM inside",
