@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..functions.text import FUNCTION_WORDS
 
 WORDS = "array<struct<start_ms:bigint,end_ms:bigint,text:string>>"
@@ -39,7 +40,10 @@ def greedy_chunks(words: Column, limit: int) -> Column:
 
 def push_dangling(chunks: Column) -> Column:
     """Function words at a chunk's end move to the next chunk; a chunk keeps one word, limits aren't checked again."""
+    return let(chunks, _pushed)
 
+
+def _pushed(chunks: Column) -> Column:
     def step(acc, i):
         words = F.concat(acc["carry"], F.get(chunks, i))
         n = F.size(words)
@@ -55,6 +59,10 @@ def push_dangling(chunks: Column) -> Column:
 
 def two_lines(words: Column, limit: int = 40) -> Column:
     """Text over the limit splits at the word nearest the middle (the earlier of two), not after a function word; else at the middle. One word stays one line."""
+    return let(words, lambda w: _two_lines(w, limit))
+
+
+def _two_lines(words: Column, limit: int) -> Column:
     text, n = F.array_join(words, " "), F.size(words)
     middle = F.floor(n / 2).cast("int")
     spots = F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.struct(F.abs(k - middle).alias("off"), k.alias("k")))
@@ -65,8 +73,11 @@ def two_lines(words: Column, limit: int = 40) -> Column:
 
 def time_shares(chunks: Column, start: Column, end: Column, least: int = 700) -> Column:
     """Each chunk's time by its share of characters, at least ``least``, capped at the end; empty ones go."""
-    total = F.aggregate(chunks, F.lit(0), lambda a, c: a + F.length(c))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.length(x))
+    return let(F.struct(chunks.alias("c"), start.cast("long").alias("a"), end.cast("long").alias("b")), lambda x: let(total(x["c"]), lambda n: _shared(x["c"], x["a"], x["b"], n, least)))
 
+
+def _shared(chunks: Column, start: Column, end: Column, total: Column, least: int) -> Column:
     def step(acc, c):
         share = F.greatest(F.lit(least).cast("long"), F.floor((end - start) * F.length(c) / F.greatest(total, F.lit(1))))
         to = F.least(end, acc["at"] + share)
@@ -79,7 +90,10 @@ def time_shares(chunks: Column, start: Column, end: Column, least: int = 700) ->
 def spread_words(words: Column, start: Column, end: Column) -> Column:
     """Word times by share of characters over the utterance (the tables have none of their own)."""
     total = F.greatest(F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)), F.lit(1))
+    return let(total, lambda n: _spread(words, start, end, n))
+
 
+def _spread(words: Column, start: Column, end: Column, total: Column) -> Column:
     def step(acc, w):
         seen = acc["n"] + F.length(w)
         item = F.struct((start + F.floor((end - start) * acc["n"] / total)).alias("start_ms"), (start + F.floor((end - start) * seen / total)).alias("end_ms"), w.alias("text"))
@@ -137,4 +151,4 @@ def word_windows(words: Column, start: Column, end: Column, full: int = 1200, le
 
     long_ = F.lit(None).cast("long")
     found = F.aggregate(words, F.struct(F.array().cast(span).alias("done"), long_.alias("from"), long_.alias("to")), step, finish)
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(start.alias("start_ms"), end.alias("end_ms"))))
+    return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.struct(start.alias("start_ms"), end.alias("end_ms")))))

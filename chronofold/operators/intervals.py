@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
+
 PAIR = "array<struct<start_ms:bigint,end_ms:bigint>>"
 
 
@@ -56,7 +58,7 @@ def keep_ranges(start: Column, end: Column, cuts: Column, pad: int, least: int =
         F.struct(start.alias("at"), F.array().cast(PAIR).alias("kept")),
         lambda acc, c: F.struct(F.greatest(acc["at"], c["end_ms"]).alias("at"), F.concat(acc["kept"], piece(acc["at"], c["start_ms"])).alias("kept")),
     )["kept"]
-    return F.when(F.size(walked) > 0, walked).otherwise(F.array(F.struct(start.alias("start_ms"), end.alias("end_ms"))))
+    return let(walked, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(F.struct(start.alias("start_ms"), end.alias("end_ms")))))
 
 
 def total(ranges: Column) -> Column:
@@ -93,7 +95,7 @@ def greedy_split(start: Column, end: Column, cuts: Column, least: int, most: int
 
     found = F.aggregate(steps, F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("cuts")), step)["cuts"]
     edges = F.concat(F.array(start), found, F.array(end))
-    return F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.struct(F.get(edges, i - 1).alias("start_ms"), F.get(edges, i).alias("end_ms")))
+    return let(edges, lambda e: F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda i: F.struct(F.get(e, i - 1).alias("start_ms"), F.get(e, i).alias("end_ms"))))
 
 
 def nearest(points: DataFrame, marks: DataFrame, tolerance: int) -> DataFrame:
