@@ -237,7 +237,7 @@ QUERIES = {
     "d1_d2_d4_clocks": d1, "i17_filter_graph": i17, "i18_seek_args": i18, "s1_w3_silence_log": s1, "s3_k1_transcript_cache": s3, "k5_speakers_json": k5, "a4_m3_centroids": a4, "j15_nearest_centroid": j15,
 }
 
-_Q = "q AS (SELECT o_custkey AS channel, o_orderkey AS pos, CASE o_orderstatus WHEN 'O' THEN 'pendente' WHEN 'F' THEN 'publicado' END AS status, o_orderpriority = '1-URGENT' AS estrela, o_orderdate AS at, CAST(o_orderdate - INTERVAL 3 HOUR AS DATE) AS day FROM orders)"
+_Q = "q AS (SELECT o_custkey AS channel, o_orderkey AS pos, CASE o_orderstatus WHEN 'O' THEN 'pendente' WHEN 'F' THEN 'publicado' END AS status, o_orderpriority = '1-URGENT' AS estrela, o_orderdate AS due, CAST(o_orderdate - INTERVAL 3 HOUR AS DATE) AS day FROM orders)"
 _T2 = _Q + ", t AS (SELECT channel, pos, CAST(row_number() OVER (PARTITION BY channel ORDER BY NOT estrela, pos) AS INT) AS turn FROM q WHERE status = 'pendente')"
 _G = "WITH" + UTTERANCES + "," + GRID
 _CENT = "p AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i) GROUP BY ALL), n AS (SELECT label, i, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS x FROM p)"
@@ -248,9 +248,9 @@ ORACLE = {
     "a15_last_wins": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id",
     "t2_t3_pending_first": f"WITH {_T2} SELECT * FROM t",
     "t8_upcoming_day": f"WITH {_Q} SELECT channel, coalesce(min(day) FILTER (day >= DATE '1999-06-01'), max(day)) AS day FROM q GROUP BY channel",
-    "a11_w7_d8_day_agenda": f"WITH {_Q} SELECT * FROM (SELECT day, CAST(row_number() OVER (PARTITION BY day ORDER BY at, pos) AS INT) AS k, pos, greatest(count(*) OVER (PARTITION BY day) - 3, 0) AS more FROM q) WHERE k <= 3",
+    "a11_w7_d8_day_agenda": f"WITH {_Q} SELECT * FROM (SELECT day, CAST(row_number() OVER (PARTITION BY day ORDER BY due, pos) AS INT) AS k, pos, greatest(count(*) OVER (PARTITION BY day) - 3, 0) AS more FROM q) WHERE k <= 3",
     "j14_c13_calendar": f"WITH {_Q}, s AS (SELECT DATE '1998-12-28' + CAST(i AS INT) AS day FROM range(42) r(i)) SELECT s.day, count(q.pos) AS n FROM s LEFT JOIN q ON q.day = s.day GROUP BY s.day",
-    "c10_j13_t4_d6_schedule": "SELECT strftime(at + INTERVAL 3 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS publish_at FROM (SELECT TIMESTAMP '2026-09-06' + to_days(CAST(i AS INT)) + to_hours(h) AS at FROM range(4) r(i), (VALUES (6), (13), (18), (2)) s(h)) WHERE at > TIMESTAMP '2026-09-06 10:00:00' ORDER BY at LIMIT 10",
+    "c10_j13_t4_d6_schedule": "SELECT strftime(due + INTERVAL 3 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS publish_at FROM (SELECT TIMESTAMP '2026-09-06' + to_days(CAST(i AS INT)) + to_hours(h) AS due FROM range(4) r(i), (VALUES (6), (13), (18), (2)) s(h)) WHERE due > TIMESTAMP '2026-09-06 10:00:00' ORDER BY due LIMIT 10",
     "c11_publish_batch": f"WITH {_T2} SELECT channel, pos, CASE WHEN max(CASE WHEN pos % 11 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY turn) = 1 THEN 'pendente' WHEN pos % 11 < 3 THEN 'erro' ELSE 'publicado' END AS status FROM t",
     "f8_title_issues": """WITH t AS (SELECT item_id, trim(CASE item_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN upper(substr(text, 1, 40)) ELSE substr(text, 1, 80) END) AS b FROM benchmark)
 SELECT item_id, 'no title' AS issue FROM t WHERE b = '' UNION ALL SELECT item_id, 'title too long' FROM t WHERE length(b) > 70 UNION ALL SELECT item_id, 'title in capitals' FROM t WHERE b <> '' AND b = upper(b) AND b <> lower(b)
