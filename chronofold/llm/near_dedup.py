@@ -6,16 +6,23 @@ that it reaches.
 
 1. Equal sets (equal digests) form a class; its smallest id stands for it. A group of copies, however
    large, is one row from here on.
-2. Band keys come at three widths (1, 2 and 4 bands): wide keys split crowded buckets into finer ones.
-3. In each bucket every member is paired with the bucket's hub alone, so pairs stay linear in members.
-   Pairs that no similar sets can form (sizes too far apart) go; the others are confirmed on full sets.
-4. Linked documents are contracted to components. Buckets that still hold two components or more get
-   other hubs in the next round, until a round finds no link or ``rounds`` is reached.
+2. Each class has 40 band keys; classes with a key in common share a bucket.
+3. First round: each class is paired with one hub, the smallest id of one of its buckets: the hub that
+   most of them have. Near copies of one text link here, in a star.
+4. Later rounds: in each bucket that still spans two components, a few members become hubs (2, 8, 32
+   and so on, by hash order) and are paired with its members of other components. A hub is then
+   retired from its bucket: whatever it could link with there has been tried. The rounds end when no
+   bucket with two unretired members in different components is left, so no pair that shares a bucket
+   is passed over unless a path of links joins it already.
+
+Pairs that no similar sets can form (sizes too far apart) go, a pair is tried once, and pairs are
+confirmed on full sets. Two sets at the least similarity, 0.8, share no bucket in 1 of 10 million cases.
 
 Defined cases: a null, empty or blank text has an empty set, is linked with nothing and is its own
-component; one word is one shingle; rows that repeat an id share its component; a row with a null id
-takes part, and its component is the smallest id of its class's, null if the class has none; an
-empty table gives an empty result; other columns are not touched.
+component; one word is one shingle; rows that repeat an id are judged by their own texts, but classes
+that one id stands for share a component; a row with a null id takes part, and its component is the
+smallest id of its class's, null if the class has none; an empty table gives an empty result; other
+columns are not touched.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import TO_LOWER, cut, find_words, hash_words, mix, ship, table, text_slices
@@ -93,16 +100,13 @@ def one_permutation(values: np.ndarray, to: np.ndarray, bins: int = BINS) -> np.
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """Keys of 40 bands, of 20 pairs of bands and of 10 fours."""
+    """One key for each band of five bins."""
     with np.errstate(over="ignore"):
         part = sig.reshape(len(sig), BANDS, ROWS)
         keys = np.zeros((len(sig), BANDS), np.uint64)
         for k in range(ROWS):
             keys = mix(keys * np.uint64(0x9FB21C651E98DF25) + part[:, :, k])
-        keys = mix(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        two = mix(keys[:, ::2] * np.uint64(3) + keys[:, 1::2])
-        four = mix(two[:, ::2] * np.uint64(3) + two[:, 1::2])
-    return np.concatenate([keys, two, four], 1)
+        return mix(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
 def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
@@ -175,58 +179,87 @@ def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     low = pairs.select(F.col("u").alias("id"), F.col("v").alias("comp"))
-    return low.union(low.select(F.col("comp").alias("id"), "comp").distinct())
+    return cut(low.union(low.select(F.col("comp").alias("id"), "comp").distinct()))
+
+
+def _crowded(named: DataFrame) -> DataFrame:
+    """Keys that two classes or more have, with their number."""
+    return named.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+
+
+def _near(percent: int):
+    return 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+
+
+def _first_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(hub, id): each member with the hub, among its buckets' smallest ids, that it meets most often."""
+    hubs = members.groupBy("key").agg(F.min_by(F.struct("id", "n"), "id").alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
+    met = members.join(hubs, "key").where((F.col("id") != F.col("hub")) & _near(percent)).groupBy("id", "hub").agg(F.count("*").alias("often"))
+    return met.groupBy("id").agg(F.max_by("hub", F.struct("often", -F.col("hub"))).alias("hub")).select("hub", "id")
+
 
+def _place() -> Column:
+    """Where a member stands among its bucket's hubs-to-be: from 0 to its number of members, by hash."""
+    return F.shiftrightunsigned(F.xxhash64("id", "key"), 1) / F.lit(float(2**63)) * F.col("many")
 
-def _stars(members: DataFrame, percent: int, order) -> DataFrame:
-    """(hub, id) pairs of each bucket's hub with its members of other components and like size."""
-    hubs = members.groupBy("key").agg(F.min_by(F.struct("id", "n", "comp"), order).alias("h"), F.count("*").alias("many")).where("many > 1").select("key", "h.*").toDF("key", "hub", "hub_n", "hub_comp")
-    near = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    return members.join(hubs, "key").where((F.col("id") != F.col("hub")) & (F.col("comp") != F.col("hub_comp")) & near).select("hub", "id").distinct()
 
+def _open(members: DataFrame, comps: DataFrame | None, retired: int) -> DataFrame:
+    """Unretired members, with their component, of buckets where these span two components or more."""
+    left = members.select("key", "id", "n", "many").where(_place() >= retired)
+    left = left.withColumn("comp", F.col("id")) if comps is None else left.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    split = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return left.join(split, "key", "left_semi").select("key", "id", "n", "many", "comp")
 
-def components(docs: DataFrame, size: int = 2, percent: int = 80, rounds: int = 4) -> DataFrame:
+
+def _hub_pairs(members: DataFrame, reach: int, percent: int) -> DataFrame:
+    """(hub, id), hub smaller: members whose place is below reach with those of other components."""
+    hubs = members.where(_place() < reach).select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
+    met = members.join(hubs, "key").where((F.col("comp") != F.col("hub_comp")) & _near(percent))
+    return met.select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id")).distinct()
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of (hub, id) whose full sets are similar; of a repeated id each row's text is tried."""
+    of_id = pairs.join(texts, pairs["id"] == texts["doc_id"]).select("hub", "id", F.col("text").alias("id_text"))
+    hub_texts = texts.join(pairs.select(F.col("hub").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text"))
+    return _overlaps(of_id.join(hub_texts, "hub"), size, percent).distinct()
+
+
+def components(docs: DataFrame, size: int = 2, percent: int = 80, growth: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
     signed = cut(signatures(docs, size))
     classes = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys"))
     named = classes.where("id is not null")
-    members = cut(named.select("id", "n", F.explode("keys").alias("key")).join(_crowded(named), "key").select("key", "id", "n"))
+    members = cut(named.select("id", "n", F.explode("keys").alias("key")).join(_crowded(named), "key").select("key", "id", "n", "many"))
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    links, comps = None, None
-    for k in range(rounds):
-        now = members.withColumn("comp", F.col("id")) if comps is None else members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        pairs = _stars(now, percent, (F.col("id"), F.col("id"), -F.col("id"), F.xxhash64("id", "key"))[k % 4])
-        if k == 0:  # most documents need no more than the smallest of their hubs
-            pairs = pairs.groupBy("id").agg(F.min("hub").alias("hub")).select("hub", "id")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
+    tried = cut(_first_pairs(members, percent))
+    comps, retired, reach = None, 0, 2
+    pairs = tried
+    while True:
+        if not pairs.isEmpty():
+            found = cut(_confirmed(pairs, texts, size, percent))
+            if not found.isEmpty():
+                stars = found if comps is None else found.union(comps.select(F.col("comp").alias("hub"), "id"))
+                comps = connected(stars)
+        members = cut(_open(members, comps, retired))
+        if members.isEmpty():
             break
-        # a repeated id has a text of its own in each row; the class stands for one of them, so each is tried
-        of_id = pairs.join(texts, pairs["id"] == texts["doc_id"]).select("hub", "id", F.col("text").alias("id_text"))
-        hub_texts = texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text"))
-        both = of_id.join(hub_texts.join(pairs.select("hub").distinct(), "hub", "left_semi"), "hub")
-        found = cut(_overlaps(both, size, percent).distinct())
-        if k and found.isEmpty():
-            break
-        links = found if links is None else links.union(found)
-        comps = cut(connected(links))
+        pairs = cut(_hub_pairs(members, reach, percent).join(tried, ["hub", "id"], "left_anti"))
+        tried = tried.union(pairs)
+        retired, reach = reach, reach * growth
     out = signed.join(classes.select("d1", "d2", F.col("id").alias("rep")), ["d1", "d2"], "left")
     if comps is not None:
         out = out.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     else:
         out = out.withColumn("comp", F.lit(None).cast("long"))
     lone = F.col("n_shingles") == 0
-    # rows that repeat an id are in one component: the smallest of theirs
     out = out.select("doc_id", "n_shingles", F.when(lone, F.col("doc_id")).otherwise(F.coalesce("comp", "rep")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def _crowded(named: DataFrame) -> DataFrame:
-    """Keys that two classes or more have."""
-    return named.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key")
-
-
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
