@@ -10,9 +10,11 @@ are permuted within their gender's and script's list; an email's domain is repla
 it appears, its top-level part stays.
 
 Collision check: all distinct (entity, surrogate) pairs are gathered in Spark; surrogates that equal
-an entity of the corpus, or that two entities share, are drawn again under the next key until none
-does. Such exceptions are rare and go back as a bounded broadcast (``most_exceptions``); past that
-bound the permutation's own result, which is still distinct, stands.
+an entity of the corpus, or that two entities share, are drawn again under the next key until they
+are new, in joins. The redrawn entities go back as a broadcast while they are at most
+``most_exceptions``; beyond that they are joined with the mentions of each row. After ``attempts``
+draws without a new one (a given name of a short list may have none) the first draw stands; first
+draws differ among themselves as they permute a format, but can equal an entity of the corpus.
 
 Defined cases: a null text stays null; an empty one stays empty; overlapping finds: the earlier, then
 the longer one counts; rows that repeat get equal results; an empty table gives an empty result;
@@ -24,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-import unicodedata
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,37 +46,30 @@ GIVEN = {
     "f": ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Sarah", "Anna", "Ursula", "Monika", "Marie", "Claire", "Carmen", "Lucía", "Sofía"),
 }
 KINDS = ("email", "phone", "card", "ip", "name")
-#: First letter and count of the letter ranges that a script's letters are drawn from.
-SCRIPTS = {"LATIN": ("a", "A", 26), "CYRILLIC": ("а", "А", 32), "GREEK": ("α", "Α", 17)}
+#: First and last characters of the ranges that letters and digits are drawn from; others stay.
+ALPHABETS = ("09", "az", "AZ", "àö", "øÿ", "ÀÖ", "ØÞ", "ая", "АЯ", "αρ", "σω", "ΑΡ", "ΣΩ")
 
 
 def _draw(key: bytes, *parts) -> int:
     return int.from_bytes(hmac.digest(key, "\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), "sha256")[:16], "big")
 
 
+@cache
 def _range_of(c: str) -> tuple[int, int] | None:
-    """First code point and size of the set that c is replaced from."""
-    if "0" <= c <= "9":
-        return ord("0"), 10
-    if not c.isalpha():
-        return None
-    small, large, n = SCRIPTS.get(unicodedata.name(c, "").split(" ")[0], ("", "", 0))
-    first = ord(small or "a") if c.islower() else ord(large or "A")
-    return (first, n) if n and first <= ord(c) < first + n else (ord(c), 1) if not n else (-first, n)
+    """First code point and size of the range that c is drawn from."""
+    return next(((ord(lo), ord(hi) - ord(lo) + 1) for lo, hi in ALPHABETS if lo <= c <= hi), None)
 
 
 def permuted(text: str, key: bytes, salt: str) -> str:
     """A keyed permutation of the strings of text's format: a Feistel network over its positions.
 
-    Accented letters are outside the permuted ranges: each is drawn from the plain range and the
-    letter itself goes into the key, so equal inputs stay equal; the collision check covers them.
+    The format is the range of each character, or the character itself if it has none.
     """
-    spots = [(i, *_range_of(c)) for i, c in enumerate(text) if _range_of(c)]
+    spots = [(i, *r) for i, c in enumerate(text) if (r := _range_of(c))]
     if not spots:
         return text
-    form = "".join("0" if c.isdigit() else ("a" if c.islower() else "A") if c.isalpha() else c for c in text)
-    odd = "".join(c for i, c in enumerate(text) if (r := _range_of(c)) and r[0] < 0)
-    value = [(ord(text[i]) - first) if first >= 0 else _draw(key, salt, odd, i) % n for i, first, n in spots]
+    form = "".join(chr(r[0]) if (r := _range_of(c)) else c for c in text)
+    value = [ord(text[i]) - first for i, first, _ in spots]
     sizes = [n for _, _, n in spots]
     half = len(value) // 2
 
@@ -97,10 +92,10 @@ def permuted(text: str, key: bytes, salt: str) -> str:
     for turn in range(8):
         lo, hi, other = (0, half, number(half, len(value))) if turn % 2 else (half, len(value), number(0, half))
         if hi > lo:
-            put(lo, hi, (number(lo, hi) + _draw(key, salt, form, odd, turn, other)) % space(lo, hi))
+            put(lo, hi, (number(lo, hi) + _draw(key, salt, form, turn, other)) % space(lo, hi))
     out = list(text)
     for (i, first, _), v in zip(spots, value, strict=True):
-        out[i] = chr(abs(first) + v)
+        out[i] = chr(first + v)
     return "".join(out)
 
 
@@ -189,31 +184,59 @@ def entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return found.groupBy("kind", "entity").agg(F.min_by(F.struct("mention", "surrogate"), "mention").alias("m")).select("kind", "entity", "m.*")
 
 
-def exceptions(docs: DataFrame, key: bytes = KEY, most_exceptions: int = 10_000, attempts: int = 8) -> dict[tuple[str, str], int]:
-    """The attempt under which each colliding entity's surrogate is new; others need none."""
+def exceptions(docs: DataFrame, key: bytes = KEY, attempts: int = 8) -> DataFrame:
+    """(kind, entity, attempt) of the entities whose first surrogate collides: the draw that is new."""
     pairs = cut(entities(docs, key))
-    real = pairs.select("kind", F.col("entity").alias("surrogate"))
+    used = pairs.select("kind", F.col("entity").alias("surrogate")).union(pairs.select("kind", "surrogate"))
     shared = pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("entity").alias("first")).where("n > 1")
-    taken = pairs.join(real, ["kind", "surrogate"], "left_semi").select("kind", "entity", "mention")
+    taken = pairs.join(pairs.select("kind", F.col("entity").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "entity", "mention")
     twice = pairs.join(shared, ["kind", "surrogate"]).where("entity <> first").select("kind", "entity", "mention")
-    bad = [tuple(r) for r in taken.union(twice).distinct().limit(most_exceptions + 1).collect()]
-    if not bad or len(bad) > most_exceptions:
-        return {}
-    tries = [(k, e, n, norm(k, surrogate(k, m, key, n))) for k, e, m in bad for n in range(1, attempts + 1)]
-    tried = docs.sparkSession.createDataFrame(tries, "kind string, entity string, n int, surrogate string")
-    used = {tuple(r) for r in F.broadcast(tried).join(real.union(pairs.select("kind", "surrogate")), ["kind", "surrogate"]).select("kind", "surrogate").distinct().collect()}
-    out: dict[tuple[str, str], int] = {}
-    for k, e, n, s in tries:
-        if (k, e) not in out and (k, s) not in used:
-            out[k, e] = n
-            used.add((k, s))
-    return out
+    left = cut(taken.union(twice).distinct())
+    done = docs.sparkSession.createDataFrame([], "kind string, entity string, attempt int")
+
+    def draw(n: int):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                kinds, entity, mention = (batch.column(i).to_pylist() for i in range(3))
+                new = [norm(k, surrogate(k, m, key, n)) for k, m in zip(kinds, mention, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (kinds, entity, new)], ["kind", "entity", "surrogate"])
+
+        return run
+
+    for n in range(1, attempts + 1):
+        if left.isEmpty():
+            break
+        fresh = left.mapInArrow(draw(n), "kind string, entity string, surrogate string").join(used, ["kind", "surrogate"], "left_anti")
+        won = cut(fresh.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity")))
+        used, done = used.union(won.select("kind", "surrogate")), done.union(won.select("kind", "entity", F.lit(n)))
+        left = cut(left.join(won, ["kind", "entity"], "left_anti"))
+    return done
+
+
+def _with_attempts(docs: DataFrame, redrawn: DataFrame) -> DataFrame:
+    """docs with a map, in __again__, of the redrawn entities that each row's text mentions."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [(r, k, norm(k, t[a:b])) for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for a, b, k in detect(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.string()) for i in (1, 2)]], ["__row__", "kind", "entity"])
+
+    held = cut(docs.withColumn("__row__", F.monotonically_increasing_id()))
+    met = held.select("__row__", "text").mapInArrow(run, "__row__ long, kind string, entity string").distinct().join(redrawn, ["kind", "entity"])
+    again = met.groupBy("__row__").agg(F.map_from_entries(F.collect_set(F.struct(F.concat("kind", F.lit(":"), "entity"), "attempt"))).alias("__again__"))
+    return held.join(again, "__row__", "left").drop("__row__")
 
 
-def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def replaced(docs: DataFrame, key: bytes = KEY, most_exceptions: int = 10_000) -> DataFrame:
     """docs with surrogates in text, and n_<kind> (long) of each kind of entity."""
     ship(docs.sparkSession)
-    again = exceptions(docs, key)
+    redrawn = cut(exceptions(docs, key))
+    few = redrawn.count() <= most_exceptions
+    shared = {f"{r.kind}:{r.entity}": r.attempt for r in redrawn.collect()} if few else {}
     rest = [c for c in docs.columns if c != "text" and c not in {f"n_{k}" for k in KINDS}]
 
     def run(batches):
@@ -221,22 +244,25 @@ def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
         for batch in batches:
             texts, counts = [], {k: [] for k in KINDS}
-            for t in batch.column(batch.schema.names.index("text")).to_pylist():
+            names = batch.schema.names
+            own = batch.column(names.index("__again__")).to_pylist() if "__again__" in names else [None] * len(batch)
+            for t, mine in zip(batch.column(names.index("text")).to_pylist(), own, strict=True):
+                again = dict(mine) if mine else shared
                 found = detect(t) if t else []
                 parts, to = [], 0
                 for a, b, kind in found:
                     e = t[a:b]
-                    parts += [t[to:a], surrogate(kind, e, key, again.get((kind, norm(kind, e)), 0))]
+                    parts += [t[to:a], surrogate(kind, e, key, again.get(f"{kind}:{norm(kind, e)}", 0))]
                     to = b
                 texts.append(t if not found else "".join([*parts, t[to:]]))
                 for k in KINDS:
                     counts[k].append(sum(x[2] == k for x in found))
-            arrays = [batch.column(batch.schema.names.index(c)) for c in rest] + [pa.array(texts, pa.string())] + [pa.array(counts[k], pa.int64()) for k in KINDS]
+            arrays = [batch.column(names.index(c)) for c in rest] + [pa.array(texts, pa.string())] + [pa.array(counts[k], pa.int64()) for k in KINDS]
             yield pa.RecordBatch.from_arrays(arrays, [*rest, "text", *[f"n_{k}" for k in KINDS]])
 
     given = docs.select(*rest, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields)
-    return given.mapInArrow(run, schema + "".join(f", n_{k} long" for k in KINDS))
+    return (given if few else _with_attempts(given, redrawn)).mapInArrow(run, schema + "".join(f", n_{k} long" for k in KINDS))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,22 @@ def test_op5_surrogates_are_distinct_typed_and_stable():
     assert len({surrogates.surrogate("ip", x) for x in ips}) == 1000
 
 
+def test_op5_collisions_are_redrawn_alike_on_both_ways(spark):
+    """A surrogate that is itself an entity of the corpus is drawn again, by broadcast or by join."""
+    ips = [f"10.0.0.{i}" for i in range(40)]
+    ips += [surrogates.surrogate("ip", x) for x in ips]
+    docs = spark.createDataFrame([(i, f"from {x} to {ips[-1]}") for i, x in enumerate(ips)], "doc_id long, text string")
+    few, many = ({r.doc_id: r.text for r in surrogates.replaced(docs, most_exceptions=n).collect()} for n in (10_000, 0))
+    assert few == many and len(few) == 80
+    new = {t.split(" ")[1] for t in few.values()}
+    assert len(new) == 80 and not new & set(ips)
+
+
+def test_op5_accented_words_stay_distinct():
+    words = [a + "t" + b for a in "àáâãäåæçèéêëìíîïñòóôõöaeiou" for b in "éèêëe"]
+    assert len({surrogates.permuted(w, surrogates.KEY, "name/0") for w in words}) == len(words)
+
+
 def test_op6_base_counts_by_brute_force(spark, texts):
     for r in quality_rules.op6(spark, SF).collect():
         t = texts[r.doc_id] or ""
