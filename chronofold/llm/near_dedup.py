@@ -16,7 +16,7 @@ that it reaches.
    is passed over unless a path of links joins it already.
 
 Pairs that no similar sets can form (sizes too far apart) go, a pair is tried once, and pairs are
-confirmed on full sets. Two sets at the least similarity, 0.8, share no bucket in 1 of 10 million cases.
+confirmed on full sets. Two sets at the least similarity, 0.8, share no bucket in 1 of 10 million cases if bins are independent (small sets depart from that).
 
 Defined cases: a null, empty or blank text has an empty set, is linked with nothing and is its own
 component; one word is one shingle; rows that repeat an id are judged by their own texts, but classes
