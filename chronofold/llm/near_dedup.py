@@ -265,10 +265,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component one document stays, that of the smallest id.
+    """Pipeline stage: of each component, by shingles of five words, one document stays, that of the smallest id.
 
-    Rows without an id stay; of rows that repeat a kept id one stays.
+    Two-word shingles are op3's own contract. Rows without an id stay; of rows that repeat a kept id one stays.
     """
-    kept = components(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = components(docs.select("doc_id", "text"), size=5).where("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null").select(*docs.columns))
