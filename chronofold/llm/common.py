@@ -39,6 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; the built-in lower() is right, and fast, for pure ASCII."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

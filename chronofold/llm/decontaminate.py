@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, table, words_by
+from .common import ascii_lower, cut, small, table, words_by
 
 #: Fixed value: what separates words, all ASCII but digits and letters (after lower-casing).
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -43,11 +43,6 @@ def windows(items: DataFrame, window: int = 10) -> DataFrame:
     return each.groupBy("w").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids")).withColumn("n", F.size("w"))
 
 
-def _small(df: DataFrame, most: int) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def hits(docs: DataFrame, items: DataFrame, window: int = 10, most_broadcast: int = 200_000) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, item_ids (sorted as strings)."""
     w = F.col("_w")
@@ -55,13 +50,13 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, most_broadcast: in
     offered = wins.select("w", "n", F.posexplode("w").alias("off", "token"))
     words = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), _words(F.col("text")).alias("_w"))
     tokens = cut(offered.select("token").distinct())
-    common = words.select(F.explode("_w").alias("token")).join(_small(tokens, most_broadcast), "token").groupBy("token").count()
+    common = words.select(F.explode("_w").alias("token")).join(small(tokens, most_broadcast), "token").groupBy("token").count()
     ranked = offered.join(common, "token", "left").fillna(0, ["count"]).groupBy("w", "n").agg(F.min_by(F.struct("token", "off"), F.struct("count", "token", "off")).alias("p"), F.min("count").alias("rarest"))
     ranked = ranked.where("rarest > 0").join(wins.select("w", "ids"), "w")  # a token that no document has rules its window out
     prefix = ranked.groupBy(F.col("p.token").alias("token")).agg(F.collect_list(F.struct("w", "n", F.col("p.off").alias("off"), "ids")).alias("of"))
     # an empty token ends each document and meets an empty list: every document comes out once at least
     marker = docs.sparkSession.range(1).select(F.lit("").alias("token"), F.lit(None).cast(prefix.schema["of"].dataType).alias("of"))
-    keys = _small(cut(prefix.unionByName(marker)), most_broadcast)
+    keys = small(cut(prefix.unionByName(marker)), most_broadcast)
     placed = words.select("doc_id", "_row", "_w", F.size("_w").cast("long").alias("n_words"), F.posexplode(F.array_append("_w", F.lit(""))).alias("at", "token"))
     met = placed.join(keys, "token")
     met = met.select("doc_id", "_row", "_w", "n_words", "at", F.explode_outer("of").alias("x"))
@@ -84,9 +79,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the rows that hold a window of an item."""
-    bad = hits(docs, items).where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """docs without the rows that hold a window of an item; a row is known by its id and its text's digest."""
+    own = F.struct("doc_id", F.unhex(F.md5("text")).alias("text"))
+    bad = hits(docs.select(own.alias("doc_id"), "text"), items).where("n_hit > 0").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.text").alias("_text")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.unhex(F.md5(docs["text"])) == F.col("_text")), "left_anti")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,10 +70,10 @@ def mix(docs: DataFrame, most_epochs: int = 3) -> DataFrame:
 
 def mixed(docs: DataFrame, most_epochs: int = 3) -> DataFrame:
     """The mix itself: each row as often as its epochs, and the row at a cut with its first words only."""
-    plan = mix(docs, most_epochs).where("taken > 0").select(F.col("_key").alias("_k"), F.col("_copy").alias("_c"), F.col("size").alias("_size"), "taken")
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), _key().alias("_key"))
-    rows = rows.withColumn("_copy", F.row_number().over(W.partitionBy("_key").orderBy("_key")).cast("long"))
-    met = rows.join(plan, (F.col("_key") == F.col("_k")) & (F.col("_copy") == F.col("_c")))
+    plan = mix(docs, most_epochs).where("taken > 0").select(F.col("source").alias("_s"), F.col("_key").alias("_k"), F.col("_copy").alias("_c"), F.col("size").alias("_size"), "taken")
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("source").alias("_source"), _key().alias("_key"))
+    rows = rows.withColumn("_copy", F.row_number().over(W.partitionBy("_source", "_key").orderBy("_key")).cast("long"))
+    met = rows.join(plan, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_k")) & (F.col("_copy") == F.col("_c")))
     met = met.withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.try_divide(F.col("taken") - 1, F.col("_size")).cast("long"))))
     words = F.least(F.col("_size"), F.col("taken") - F.col("_turn") * F.col("_size"))
     cut_short = words < F.col("_size")

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, cut, find_words, hash_words, mix, ship, table, text_slices
+from .common import BLANKS, TO_LOWER, cut, find_words, hash_words, mix, ship, small, table, text_slices
 
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
@@ -222,9 +222,12 @@ def _hub_pairs(members: DataFrame, reach: int, percent: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of (hub, id) whose full sets are similar; of a repeated id each row's text is tried."""
-    of_id = pairs.join(texts, pairs["id"] == texts["doc_id"]).select("hub", "id", F.col("text").alias("id_text"))
-    hub_texts = texts.join(pairs.select(F.col("hub").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text"))
+    """Those of (hub, id) whose full sets are similar; of a repeated id each row's text is tried.
+
+    While the pairs are few they go to the texts, so that only the texts of pairs are dealt out.
+    """
+    of_id = texts.join(small(pairs), pairs["id"] == texts["doc_id"]).select("hub", "id", F.col("text").alias("id_text"))
+    hub_texts = texts.join(small(pairs.select(F.col("hub").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text"))
     return _overlaps(of_id.join(hub_texts, "hub"), size, percent).distinct()
 
 
@@ -265,10 +268,22 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component, by shingles of five words, one document stays, that of the smallest id.
+    """Pipeline stage: of each component, by shingles of five words, one row stays, that of the smallest id.
 
-    Two-word shingles are op3's own contract. Rows without an id stay; of rows that repeat a kept id one stays.
+    Two-word shingles are op3's own contract. Rows are told apart by a 64-bit hash of id and text, which
+    any run computes alike, so rows that share an id, or have none, are judged by their own texts; of
+    rows with equal id and text one stays. Ids come before none. Rows without words all stay.
     """
-    kept = components(docs.select("doc_id", "text"), size=5).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null").select(*docs.columns))
+    bare = F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANKS)) == ""
+    worded = docs.where(~bare).withColumn("__key__", F.xxhash64("doc_id", "text"))
+    ids = worded.groupBy("__key__").agg(F.min("doc_id").alias("id"), F.count("*").alias("many"))
+    again = cut(ids.where("many > 1").select("__key__"))
+    if not again.isEmpty():  # one of each
+        again = small(again)
+        worded = worded.join(again, "__key__", "left_anti").unionByName(worded.join(again, "__key__", "left_semi").dropDuplicates(["__key__"]))
+    found = components(worded.select(F.col("__key__").alias("doc_id"), "text"), size=5).select(F.col("doc_id").alias("__key__"), "component_id")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__key__"))
+    kept = found.join(ids, "__key__").groupBy("component_id").agg(first.alias("x")).select("x.__key__")
+    gone = cut(found.join(kept, "__key__", "left_anti").select("__key__"))
+    named = worded.join(small(gone), "__key__", "left_anti")
+    return named.select(*docs.columns).unionByName(docs.where(bare).select(*docs.columns))

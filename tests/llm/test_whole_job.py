@@ -1,8 +1,9 @@
 """Stages and operators do the whole job: one small case for each cut that was taken back."""
 
 import re
+from collections import Counter
 
-from chronofold.llm import near_dedup
+from chronofold.llm import decontaminate, mixing, near_dedup
 
 SF = "/root/testdata/sf0.001"
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
@@ -42,3 +43,30 @@ def test_near_dedup_stage_by_brute_force_of_five_words(spark):
     kept = {r.doc_id for r in near_dedup.stage(spark, docs, SF).collect()}
     assert kept == kept_by_brute_force(texts) and 10**6 + 2 in kept and 10**6 + 1 not in kept
     assert 10**6 + 2 not in kept_by_brute_force(texts, size=2)
+
+
+def test_near_dedup_stage_judges_rows_not_ids(spark):
+    """Rows without an id lose copies only; a repeated id keeps each of its different texts."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    near = a.replace("a59", "z")
+    rows = [(None, a, "1"), (None, a, "2"), (5, a, "3"), (2, near, "4"), (2, b, "5"), (1, b, "6"), (None, c, "7"), (None, c, "8"), (None, d, "9"), (2, d, "10"), (3, "", "11"), (3, "", "12"), (None, None, "13"), (None, " ", "14"), (9, d + " x", "15"), (9, d + " x", "15")]
+    got = near_dedup.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SF).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(2, near), (1, b), (None, c), (2, d), (3, ""), (3, ""), (None, None), (None, " ")])
+
+
+def test_decontamination_judges_rows_not_ids(spark):
+    item = " ".join(f"w{k}" for k in range(10))
+    rows = [(None, "x " + item), (None, "clean one"), (None, None), (7, item), (7, "clean two"), (8, item + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(None, "clean one"), (None, None), (7, "clean two")], key=str)
+
+
+def test_mix_keeps_equal_rows_of_two_sources_apart(spark):
+    rows = [(1, "one two three", s) for s in ("a", "b", None)] + [(k, "four five", s) for k in (2, 3) for s in ("a", "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = Counter({r.source: r.n for r in mixing.mix(docs).groupBy("source").agg({"taken": "sum"}).toDF("source", "n").collect()})
+    made = Counter()
+    for r in mixing.mixed(docs).collect():
+        made[r.source] += len(r.text.split())
+    assert made == plan and len(plan) == 3
