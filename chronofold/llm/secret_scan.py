@@ -1,8 +1,9 @@
 """Secret scans: fixed base patterns, and a character convolutional network over every candidate.
 
 ``scan`` finds base spans (assign, access, hex) and candidate tokens in each whole text. A candidate
-is a run of 12 or more token characters that holds a letter and a digit; the network reads it with
-the characters around it. The network (one embedding, one convolution, max and mean pooling, one
+is a run of 12 or more token characters that holds a letter and a digit; the network reads all of it
+with 20 characters before and after, in overlapping windows of 64, and the highest score counts. The
+network (one embedding, one convolution, max and mean pooling, one
 logistic output; numpy alone) is trained on labelled findings: base findings of a bounded sample of
 texts and made-up secrets are positive; other candidates of the sample and made-up ids, numbers,
 addresses and words are negative. Its outputs are calibrated on held-back findings, and the
@@ -34,7 +35,8 @@ KINDS = ("assign", "access", "hex", "cnn")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 HINTS = ("passw", "secret", "token", "apikey", "api_key")
 DIGIT = re.compile(r"[0-9]")
-WIDTH, BEFORE = 64, 20
+#: Windows, the characters around a candidate, and from window to window: any 40 characters lie in one window.
+WIDTH, AROUND, STEP = 64, 20, 24
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + " \n+/_.=-:\"'@#$%&*()<>,;!?"
 CODE = np.zeros(0x250, np.int64)
 for _k, _c in enumerate(ALPHABET):
@@ -58,14 +60,15 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in TOKEN.finditer(text) if any("0" <= c <= "9" for c in m[0]) and any(c.isalpha() for c in m[0])]
 
 
-def window(text: str, start: int, end: int) -> np.ndarray:
-    """Codes of the candidate and its surroundings, and where the candidate lies."""
-    part = text[max(0, start - BEFORE) : start - BEFORE + WIDTH] if start >= BEFORE else " " * (BEFORE - start) + text[: WIDTH - BEFORE + start]
-    points = np.frombuffer(part.ljust(WIDTH).encode("utf-32-le", "surrogatepass"), np.uint32)
+def windows(text: str, start: int, end: int) -> np.ndarray:
+    """Codes of the candidate and its surroundings, and where the candidate lies: a row for each window."""
+    lo = start - AROUND
+    width = WIDTH + max(0, -(-(end + AROUND - lo - WIDTH) // STEP)) * STEP
+    part = (" " * max(0, -lo) + text[max(0, lo) : lo + width]).ljust(width)
+    points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = CODE[np.minimum(points, len(CODE) - 1)]
-    inside = np.zeros(WIDTH, np.int64)
-    inside[BEFORE : min(WIDTH, BEFORE + end - start)] = len(ALPHABET) + 1
-    return codes + inside
+    codes[AROUND : AROUND + end - start] += len(ALPHABET) + 1
+    return np.lib.stride_tricks.sliding_window_view(codes, WIDTH)[::STEP]
 
 
 @dataclass
@@ -98,8 +101,30 @@ class Network:
     def logit(self, x: np.ndarray) -> np.ndarray:
         return self._pooled(x)[3] @ self.out + self.shift
 
-    def chance(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.logit(x), -30, 30)))
+    def logits(self, each, most: int = 2048) -> np.ndarray:
+        """The highest logit of each finding's windows, about so many windows at once."""
+        top, held, of, size = [], [], [], 0
+
+        def score() -> None:
+            for k, z in zip(of, np.split(self.logit(np.concatenate(held)), np.cumsum([len(x) for x in held])[:-1]), strict=True):
+                top[k] = max(top[k], z.max())
+            held.clear()
+            of.clear()
+
+        for k, x in enumerate(each):
+            top.append(-np.inf)
+            for i in range(0, len(x), most):
+                held.append(x[i : i + most])
+                of.append(k)
+                if (size := size + len(held[-1])) >= most:
+                    score()
+                    size = 0
+        if held:
+            score()
+        return np.array(top)
+
+    def chances(self, each) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(each), -30, 30)))
 
     def train(self, x: np.ndarray, y: np.ndarray, passes: int = 6, rate: float = 0.02, batch: int = 64, seed: int = 4) -> None:
         r = np.random.RandomState(seed)
@@ -142,7 +167,7 @@ def made_up(n: int, seed: int = 9) -> list[tuple[str, int, int, int]]:
         if secret:
             token = [lambda: pick(string.ascii_letters + string.digits, r.randint(20, 48)), lambda: pick(string.ascii_letters + string.digits + "+/", r.randint(28, 60)) + "=", lambda: pick("0123456789abcdef", r.randint(24, 48)), lambda: "ghp_" + pick(string.ascii_letters + string.digits, 36), lambda: "sk_live_" + pick(string.ascii_letters + string.digits, 24), lambda: "xoxb-" + pick(string.digits, 11) + "-" + pick(string.ascii_letters + string.digits, 24)][k // 2 % 6]()
         else:
-            token = [lambda: word() + word() + word() + pick(string.digits, r.randint(1, 4)), lambda: pick(string.digits, 4) + "-" + pick(string.digits, 2) + "-" + pick(string.digits, 2) + "T" + pick(string.digits, 6), lambda: word() + "_" + word() + "_" + pick(string.digits, 2) + "/" + word(), lambda: word() + "-" + word() + "-" + pick(string.digits, 3) + "-" + word(), lambda: "/".join([word(), pick(string.digits, 4), word(), word()])][k // 2 % 5]()
+            token = [lambda: word() + word() + word() + pick(string.digits, r.randint(1, 4)), lambda: pick(string.digits, 4) + "-" + pick(string.digits, 2) + "-" + pick(string.digits, 2) + "T" + pick(string.digits, 6), lambda: word() + "_" + word() + "_" + pick(string.digits, 2) + "/" + word(), lambda: word() + "-" + word() + "-" + pick(string.digits, 3) + "-" + word(), lambda: "/".join([word(), pick(string.digits, 4), word(), word()]), lambda: "/" + "/".join("_".join([word(), *[pick(string.digits, r.randint(1, 5))] * r.randint(2), word()]) for _ in range(r.randint(3, 12)))][k // 2 % 6]()
             token = token.ljust(12, "e")
         lead = " ".join(word() for _ in range(r.randint(1, 6))) + " "
         if secret and r.rand() < 0.7:
@@ -155,19 +180,20 @@ def made_up(n: int, seed: int = 9) -> list[tuple[str, int, int, int]]:
 def fit(findings: list[tuple[str, int, int, int]], recall: float = 0.95, made: int = 3000) -> Network:
     """Train on two of three findings; calibrate and set the threshold on the third."""
     findings = made_up(made) + findings
-    x = np.stack([window(t, a, b) for t, a, b, _ in findings])
+    each = [windows(t, a, b) for t, a, b, _ in findings]
     y = np.array([f[3] for f in findings], float)
     back = np.arange(len(y)) % 3 == 2
     net = Network.fresh()
-    net.train(x[~back], y[~back])
-    z, v = net.logit(x[back]), y[back]
+    learned, held = [each[k] for k in np.flatnonzero(~back)], [each[k] for k in np.flatnonzero(back)]
+    net.train(np.concatenate(learned), np.repeat(y[~back], [len(x) for x in learned]))
+    z, v = net.logits(held), y[back]
     s = 1.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(s * z, -30, 30)))
         s = float(np.clip(s - ((p - v) @ z / len(z)) / ((p * (1 - p)) @ (z * z) / len(z) + 1e-6), 0.05, 20))
     net.slope = s
-    chances = np.sort(net.chance(x[back])[v == 1])
-    net.threshold = float(max(0.5, chances[int((1 - recall) * len(chances))])) if len(chances) else 0.5
+    chances = np.sort(net.chances(held)[v == 1])
+    net.threshold = float(chances[int((1 - recall) * len(chances))]) if len(chances) else 0.5
     return net
 
 
@@ -183,7 +209,7 @@ def sample_findings(docs: DataFrame, most_texts: int = 400, most_chars: int = 40
         base = base_spans(r.text)
         for a, b in candidates(r.text):
             label = int(any(s <= a and b <= e or (a <= s and e <= b) for s, _, e in base))
-            lo = max(0, a - BEFORE)
+            lo = max(0, a - AROUND)
             out.append((r.text[lo : b + WIDTH], a - lo, b - lo, label))
     return out
 
@@ -205,12 +231,10 @@ def scan(docs: DataFrame, net: Network) -> DataFrame:
                         if not any(s <= a and b <= e for s, _, e in found[k]):
                             tried.append((k, a, b))
             more: list[list] = [[] for _ in texts]
-            for i in range(0, len(tried), 2048):
-                part = tried[i : i + 2048]
-                p = net.chance(np.stack([window(texts[k], a, b) for k, a, b in part]))
-                for (k, a, b), chance in zip(part, p, strict=True):
-                    if chance >= net.threshold:
-                        more[k].append((a, 3, b))
+            p = net.chances(windows(texts[k], a, b) for k, a, b in tried)
+            for (k, a, b), chance in zip(tried, p, strict=True):
+                if chance >= net.threshold:
+                    more[k].append((a, 3, b))
             say = lambda spans: ",".join(f"{KINDS[kind]}:{a}:{b}" for a, kind, b in spans)
             count = lambda kind: pa.array([sum(x[1] == kind for x in f) for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays(

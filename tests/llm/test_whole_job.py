@@ -3,7 +3,7 @@
 import re
 from collections import Counter
 
-from chronofold.llm import decontaminate, mixing, near_dedup
+from chronofold.llm import decontaminate, mixing, near_dedup, secret_scan
 
 SF = "/root/testdata/sf0.001"
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
@@ -70,3 +70,28 @@ def test_mix_keeps_equal_rows_of_two_sources_apart(spark):
     for r in mixing.mixed(docs).collect():
         made[r.source] += len(r.text.split())
     assert made == plan and len(plan) == 3
+
+
+def test_secret_scan_reads_whole_candidates(spark):
+    """A key at the end of a long path counts, the path alone doesn't: their first 44 characters are equal."""
+    path, key = "/srv/backup/2024/settings/production/release/of/the/internal/system/", "ghp_x7Kq2mZ9vB4nR8tL1wY5cD3fG6hJ0pS2aXeU"
+    harmless = "readme_of_the_old_version"
+    docs = spark.createDataFrame([(1, f"see {path}{key} there"), (2, f"see {path}{harmless} there"), (3, f"see {path * 30}{key} there")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan(docs, secret_scan.fit([])).collect()}
+    assert got == {1: f"cnn:4:{4 + len(path + key)}", 2: "", 3: f"cnn:4:{4 + len(path * 30 + key)}"}
+
+
+def test_secret_scan_windows_hold_candidate_and_both_sides():
+    text = "".join(chr(97 + k % 26) for k in range(400))
+    for a, b in ((0, 12), (5, 60), (30, 54), (30, 55), (100, 380)):
+        rows = secret_scan.windows(text, a, b)
+        said = {k: row for i, row in enumerate(rows) for k, row in zip(range(a - 20 + 24 * i, a + 44 + 24 * i), row, strict=True)}
+        inside = {k for k, c in said.items() if c > len(secret_scan.ALPHABET)}
+        assert inside == set(range(a, b)) and set(range(a - 20, b + 20)) <= set(said)
+
+
+def test_secret_scan_threshold_keeps_recall_below_a_half():
+    """Three in ten of alike findings are secrets: the threshold must not exceed their calibrated chance."""
+    findings = [("see abcdefgh1234 there", 4, 16, int(k % 10 < 3)) for k in range(300)]
+    net = secret_scan.fit(findings, made=0)
+    assert net.chances([secret_scan.windows("see abcdefgh1234 there", 4, 16)])[0] >= net.threshold
