@@ -164,6 +164,21 @@ def i12(spark, d):
     return met.select("media_id", F.col("id").alias("clip"), "start_ms", F.greatest(F.col("start_ms") + 1000, F.col("b")).alias("end_ms"))
 
 
+def i12_every(spark, d):
+    """Every grid window resolved: explicit borders stand without lead or tail, and snapping can be off."""
+    u, _, m = _base(spark, d)
+    g = grid(m).withColumn("snap", F.col("clip") % 5 != 0)
+    start = F.when(F.col("clip") % 3 == 1, F.col("w_start") + 400).otherwise(F.col("w_start") - 5000)
+    end = F.when(F.col("clip") % 4 == 3, F.col("w_end") - 400).otherwise(F.col("w_end") + 3000)
+
+    def at(t, mark, name):
+        points = g.select("media_id", F.col("clip").alias("id"), t.alias("t"), "snap")
+        return I.nearest(points, u.select("media_id", F.col(mark).alias("mark")), 2500).select("media_id", "id", F.when(F.col("snap"), F.col("snapped")).otherwise(F.col("t")).alias(name))
+
+    met = at(start, "start_ms", "a").join(at(end, "end_ms", "b"), ["media_id", "id"]).withColumn("start_ms", F.greatest(F.lit(0).cast("long"), "a"))
+    return met.select("media_id", F.col("id").alias("clip"), "start_ms", F.greatest(F.col("start_ms") + 1000, F.col("b")).alias("end_ms"))
+
+
 def m1(spark, d):
     u = _base(spark, d)[0]
     return u.select("media_id", "seq", T.clip_score(F.col("text"), F.col("end_ms") - F.col("start_ms")).alias("score"))
@@ -291,7 +306,7 @@ def j16(spark, d):
 
 QUERIES = {
     "f1_overlap_predicate": f1, "f2_boundary_filter": f2, "f5_x1_a13_sentence_words_hooks": f5, "i1_clip_to_window": i1, "i2_shrink": i2, "i3_complement": i3, "i4_merge_gap_events": i4, "i4_merge_gap_turns": i4_turns,
-    "i5_keep_ranges": i5, "i6_complement_of_keep": i6, "i7_keep_spans": i7, "i8_foreign_turns": i8, "i9_union_of_cuts": i9, "i10_time_remap": i10, "i11_durations": i11, "i12_resolve_window": i12, "i13_greedy_split": i13, "i14_best_cut": i14,
+    "i5_keep_ranges": i5, "i6_complement_of_keep": i6, "i7_keep_spans": i7, "i8_foreign_turns": i8, "i9_union_of_cuts": i9, "i10_time_remap": i10, "i11_durations": i11, "i12_resolve_window": i12, "i12_resolve_every_window": i12_every, "i13_greedy_split": i13, "i14_best_cut": i14,
     "j1_window_text": j1, "j2_window_silences": j2, "c2_j3_m2_cut_points": c2, "j4_nearest_snap": j4, "j5_label_gap_fill": j5, "j6_speaker_totals": j6, "j16_transition_totals": j16, "j17_neighbour_overlap": j17,
     "m1_clip_score": m1, "c1_build_clips": c1, "t1_w1_best_clips": w1, "w2_transition_zone": w2, "w4_first_appearance": w4, "a1_seconds_by_speaker": a1, "a3_first_samples": a3, "a5_ordered_text": a5, "a6_persona_report": a6, "a14_fingerprint": a14, "a16_last_end": a16,
     "k3_srt_text": k3, "k4_briefing": k4, "s14_srt_parse": s14,
@@ -337,6 +352,7 @@ SELECT media_id, clip, a AS start_ms, b AS end_ms FROM (SELECT media_id, clip, c
 r AS (SELECT *, coalesce(sum(b - a) OVER (PARTITION BY media_id, clip ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM kept)
 SELECT t.media_id, t.seq, t.clip, CAST((SELECT arg_min(gone + greatest(0, t.t - a), a) FROM r WHERE r.media_id = t.media_id AND r.clip = t.clip AND t.t <= b) AS BIGINT) AS clip_ms FROM t""",
     "i11_durations": _GC + " SELECT cw.media_id, cw.clip, CAST(sum(b - a) AS BIGINT) AS final_ms, CAST(greatest(0, min(w_end - w_start) - sum(b - a)) AS BIGINT) AS removed_ms FROM cw JOIN kept k ON k.media_id = cw.media_id AND k.clip = cw.clip GROUP BY ALL",
+    "i12_resolve_every_window": _G + ", a AS (SELECT media_id, clip, clip % 5 <> 0 AS snap, CASE WHEN clip % 3 = 1 THEN w_start + 400 ELSE w_start - 5000 END AS t FROM grid), b AS (SELECT media_id, clip, clip % 5 <> 0 AS snap, CASE WHEN clip % 4 = 3 THEN w_end - 400 ELSE w_end + 3000 END AS t FROM grid), sa AS (SELECT media_id, clip, greatest(0, CASE WHEN snap THEN coalesce(" + _SNAP.format(m="start_ms") + ", t) ELSE t END) AS start_ms FROM a p), sb AS (SELECT media_id, clip, CASE WHEN snap THEN coalesce(" + _SNAP.format(m="end_ms") + ", t) ELSE t END AS e FROM b p) SELECT sa.media_id, sa.clip, sa.start_ms, greatest(sa.start_ms + 1000, e) AS end_ms FROM sa JOIN sb USING (media_id, clip)",
     "i12_resolve_window": _G + ", a AS (SELECT media_id, clip, w_start - 5000 AS t FROM grid WHERE clip % 2 = 0), b AS (SELECT media_id, clip, w_end + 3000 AS t FROM grid WHERE clip % 2 = 0), sa AS (SELECT media_id, clip, greatest(0, coalesce(" + _SNAP.format(m="start_ms") + ", t)) AS start_ms FROM a p), sb AS (SELECT media_id, clip, coalesce(" + _SNAP.format(m="end_ms") + ", t) AS e FROM b p) SELECT sa.media_id, sa.clip, sa.start_ms, greatest(sa.start_ms + 1000, e) AS end_ms FROM sa JOIN sb USING (media_id, clip)",
     "i13_greedy_split": _U + "," + WINDOWS + "," + POINTS + "," + SPLIT.replace("60000", "20000") + " SELECT * FROM pieces",
     "i14_best_cut": _G + "," + POINTS + " SELECT g.media_id, clip, arg_max(time_ms, (quality, time_ms)) AS time_ms, CAST(max(quality) AS BIGINT) AS quality FROM grid g JOIN pts p ON p.media_id = g.media_id AND time_ms BETWEEN w_start AND w_end GROUP BY ALL",
