@@ -113,6 +113,21 @@ def x8(spark, d):
     return b.select("item_id", F.concat(F.lpad(F.col("item_id").cast("string"), 3, "0"), F.lit(" - "), T.file_title(name), F.lit(".mp4")).alias("name"))
 
 
+def f8_whole(spark, d):
+    """F8 over whole texts as titles."""
+    b = tables.read(spark, d, "benchmark")
+    title = F.when(F.col("item_id") % 5 == 0, "  ").when(F.col("item_id") % 5 == 1, F.upper("text")).otherwise(F.col("text"))
+    issues = T.title_issues(title, F.when(F.col("item_id") % 2 == 0, "about"), F.when(F.col("item_id") % 3 == 0, 0).otherwise(2))
+    return b.select("item_id", F.explode(issues).alias("issue"))
+
+
+def x8_whole(spark, d):
+    """X8 over whole texts, with reserved characters before and after them."""
+    b = tables.read(spark, d, "benchmark")
+    name = F.concat(F.lit('a/b: "'), F.col("text"), F.lit('"?  end..'))
+    return b.select("item_id", F.concat(F.lpad(F.col("item_id").cast("string"), 3, "0"), F.lit(" - "), T.file_title(name), F.lit(".mp4")).alias("name"))
+
+
 def x10(spark, d):
     """Title, description and hashtags by blank lines, the first 2,200 characters."""
     docs = tables.read(spark, d, "documents")
@@ -233,7 +248,7 @@ def j15(spark, d):
 
 QUERIES = {
     "a7_f13_status_counts": a7, "a8_a9_project_rollup": a8, "a10_channel_kpis": a10, "a15_last_wins": a15, "t2_t3_pending_first": t2, "t8_upcoming_day": t8, "a11_w7_d8_day_agenda": a11, "j14_c13_calendar": j14, "c10_j13_t4_d6_schedule": c10, "c11_publish_batch": c11,
-    "f8_title_issues": f8, "x8_x9_publish_name": x8, "x10_caption": x10, "k9_script_safe": k9, "i15_byte_ranges": i15, "f15_privacy": f15, "f17_zoom_tier": f17, "c3_j9_j10_adjustments": c3, "k6_rename_map": k6, "j11_c12_clip_view": j11,
+    "f8_title_issues": f8, "f8_whole_title_issues": f8_whole, "x8_whole_publish_name": x8_whole, "x8_x9_publish_name": x8, "x10_caption": x10, "k9_script_safe": k9, "i15_byte_ranges": i15, "f15_privacy": f15, "f17_zoom_tier": f17, "c3_j9_j10_adjustments": c3, "k6_rename_map": k6, "j11_c12_clip_view": j11,
     "d1_d2_d4_clocks": d1, "i17_filter_graph": i17, "i18_seek_args": i18, "s1_w3_silence_log": s1, "s3_k1_transcript_cache": s3, "k5_speakers_json": k5, "a4_m3_centroids": a4, "j15_nearest_centroid": j15,
 }
 
@@ -256,6 +271,10 @@ ORACLE = {
 SELECT item_id, 'no title' AS issue FROM t WHERE b = '' UNION ALL SELECT item_id, 'title too long' FROM t WHERE length(b) > 70 UNION ALL SELECT item_id, 'title in capitals' FROM t WHERE b <> '' AND b = upper(b) AND b <> lower(b)
 UNION ALL SELECT item_id, 'no description' FROM t WHERE b <> '' AND item_id % 2 = 1 UNION ALL SELECT item_id, 'no tags' FROM t WHERE b <> '' AND item_id % 3 = 0""",
     "x8_x9_publish_name": r"""SELECT item_id, lpad(CAST(item_id AS VARCHAR), 3, '0') || ' - ' || regexp_replace(trim(regexp_replace(regexp_replace(translate('a/b: "' || substr(text, 1, 40) || '"?  end..', '/\', '  '), '[:*?"<>|]', '', 'g'), '\s+', ' ', 'g')), '\.+$', '') || '.mp4' AS name FROM benchmark""",
+    "f8_whole_title_issues": """WITH t AS (SELECT item_id, trim(CASE item_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN upper(text) ELSE text END) AS b FROM benchmark)
+SELECT item_id, 'no title' AS issue FROM t WHERE b = '' UNION ALL SELECT item_id, 'title too long' FROM t WHERE length(b) > 70 UNION ALL SELECT item_id, 'title in capitals' FROM t WHERE b <> '' AND b = upper(b) AND b <> lower(b)
+UNION ALL SELECT item_id, 'no description' FROM t WHERE b <> '' AND item_id % 2 = 1 UNION ALL SELECT item_id, 'no tags' FROM t WHERE b <> '' AND item_id % 3 = 0""",
+    "x8_whole_publish_name": r"""SELECT item_id, lpad(CAST(item_id AS VARCHAR), 3, '0') || ' - ' || regexp_replace(trim(regexp_replace(regexp_replace(translate('a/b: "' || text || '"?  end..', '/\', '  '), '[:*?"<>|]', '', 'g'), '\s+', ' ', 'g')), '\.+$', '') || '.mp4' AS name FROM benchmark""",
     "x10_caption": r"SELECT doc_id, substr(array_to_string(list_filter(['T' || doc_id, trim(text, e' \n\t'), '#' || replace(lang, ' ', '') || ' #' || replace(source, ' ', '')], lambda p: p <> ''), chr(10) || chr(10)), 1, 2200) AS caption FROM documents",
     "k9_script_safe": r"SELECT page_id, replace(replace(replace(html, '<', '\u003c'), '>', '\u003e'), '&', '\u0026') AS html FROM pages",
     "i15_byte_ranges": "WITH s AS (SELECT doc_id, n_chars * 65536 AS size, CASE WHEN n_chars * 65536 <= 67108864 THEN 1 ELSE n_chars * 65536 // 67108864 END AS n FROM documents WHERE n_chars > 0) SELECT doc_id, CAST(i AS INT) AS part, i * 67108864 AS first, CASE WHEN i = n - 1 THEN size - 1 ELSE (i + 1) * 67108864 - 1 END AS last FROM s, LATERAL (SELECT unnest(range(0, n)) AS i)",
