@@ -7,7 +7,8 @@ format to different surrogates, and equal ones (after folding case and blanks) t
 distinctness and coreference hold over the whole corpus without a shared table. Cards keep their
 first digit and their checksum's validity; addresses stay within 0-255; given names that are known
 are permuted within their gender's and script's list; an email's domain is replaced alike wherever
-it appears, its top-level part stays.
+it appears, its top-level part stays. Words of a titled name that stand alone elsewhere in its text get
+the same word of its surrogate and count as names; small words (van, de) stay.
 
 Collision check: all distinct (entity, surrogate) pairs are gathered in Spark; surrogates that equal
 an entity of the corpus, or that two entities share, are drawn again under the next key until they
@@ -40,14 +41,21 @@ CARD = re.compile(r"(?<![\w.-])[2-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w-])")
 IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)")
 PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w+(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w)")
 TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Mrs": "f", "Ms": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Dr": "", "Prof": ""}
-NAME = re.compile(r"\b(" + "|".join(TITLES) + r")(\.? )([^\W\d_]+(?:-[^\W\d_]+)?)((?: [A-ZÀ-ÞА-Я][^\W\d_]+){0,2})")
+#: Small words inside a name, which stay; a further word must follow them.
+SMALL = ("van", "von", "de", "del", "della", "der", "den", "di", "da", "dos", "das", "du", "la", "le", "las", "los", "ter", "ten", "zu", "zur", "bin", "ibn", "al", "el", "y", "e")
+_UP = "[" + "".join(c for c in map(chr, range(0x41, 0x2C00)) if c.isupper() or c.istitle()) + "]"
+_WORD = rf"(?:[dl]['’](?={_UP}))?{_UP}[^\W\d_]*(?:['’]{_UP}[^\W\d_]*|-[^\W\d_]+)*"
+_NEXT = rf"(?:(?:{_UP}\.-?)+|{_WORD})"
+_SMALLS = rf"(?:(?:{'|'.join(SMALL)}) )*"
+#: A title and a name: words, initials and small words as far as they go; of a script without case, one word.
+NAME = re.compile(rf"\b({'|'.join(TITLES)})(\.? )({_SMALLS}{_NEXT}(?: {_SMALLS}{_NEXT})*|(?![A-Za-zÀ-ɏͰ-ӿ])[^\W\d_]+)")
 GIVEN = {
     "m": ("James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Peter", "Paul", "Hans", "Klaus", "Pierre", "Jean", "Carlos", "José"),
     "f": ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Sarah", "Anna", "Ursula", "Monika", "Marie", "Claire", "Carmen", "Lucía", "Sofía"),
 }
 KINDS = ("email", "phone", "card", "ip", "name")
 #: First and last characters of the ranges that letters and digits are drawn from; others stay.
-ALPHABETS = ("09", "az", "AZ", "àö", "øÿ", "ÀÖ", "ØÞ", "ая", "АЯ", "αρ", "σω", "ΑΡ", "ΣΩ")
+ALPHABETS = ("09", "az", "AZ", "àö", "øÿ", "ÀÖ", "ØÞ", "ая", "АЯ", "αρ", "σω", "ΑΡ", "ΣΩ", "את", "ءغ", "في", "ぁゖ", "ァヺ", "一龥", "가힣")
 
 
 def _draw(key: bytes, *parts) -> int:
@@ -135,14 +143,36 @@ def surrogate(kind: str, entity: str, key: bytes = KEY, attempt: int = 0) -> str
             parts = [a // 256, a % 256, b // 256, b % 256]
         return ".".join(map(str, parts))
     m = NAME.fullmatch(entity)
-    gender, given = TITLES[m[1]], m[3]
+    gender, (given, *more) = TITLES[m[1]], m[3].split(" ")
     lists = [g for g, names in GIVEN.items() if given in names and gender in ("", g)]
     if lists:
         names = sorted(GIVEN[lists[0]], key=lambda n: _draw(key, salt, lists[0], n))
         given = names[(names.index(given) + 1) % len(names)]
     else:
-        given = permuted(given, key, salt)
-    return m[1] + m[2] + given + "".join(" " + permuted(x, key, salt) for x in m[4].split())
+        more = [given, *more]
+    new = [x if x in SMALL else permuted(x, key, salt) for x in more]
+    return m[1] + m[2] + " ".join([given, *new] if lists else new)
+
+
+def untitled(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int]]:
+    """(start, end, name, place): words of the text's titled names that stand alone elsewhere in it."""
+    of: dict[str, tuple[str, int]] = {}
+    for a, b, kind in found:
+        if kind == "name":
+            for k, word in enumerate(NAME.fullmatch(text[a:b])[3].split(" ")):
+                if len(word) > 1 and word not in SMALL and not word.endswith("."):
+                    of.setdefault(word, (text[a:b], k))
+    if not of:
+        return []
+    cased = lambda w: w.lower() != w.upper()
+    any_of = re.compile("|".join(rf"\b{re.escape(w)}\b" if cased(w) else re.escape(w) for w in sorted(of, key=len, reverse=True)))
+    out, k = [], 0
+    for m in any_of.finditer(text):
+        while k < len(found) and found[k][1] <= m.start():
+            k += 1
+        if k == len(found) or found[k][0] >= m.end():
+            out.append((m.start(), m.end(), *of[m[0]]))
+    return out
 
 
 def detect(text: str) -> list[tuple[int, int, str]]:
@@ -153,7 +183,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     if _DIGITS.search(text):
         found += [(m.start(), -m.end(), kind) for kind, p in (("card", CARD), ("ip", IP), ("phone", PHONE)) for m in p.finditer(text)]
     if any(t in text for t in TITLES):
-        found += [(m.start(), -m.end(), "name") for m in NAME.finditer(text) if m[3][0].isupper()]
+        found += [(m.start(), -m.end(), "name") for m in NAME.finditer(text)]
     out, to = [], 0
     for a, b, kind in sorted(found):
         if a >= to:
@@ -250,13 +280,14 @@ def replaced(docs: DataFrame, key: bytes = KEY, most_exceptions: int = 10_000) -
                 again = dict(mine) if mine else shared
                 found = detect(t) if t else []
                 parts, to = [], 0
-                for a, b, kind in found:
-                    e = t[a:b]
-                    parts += [t[to:a], surrogate(kind, e, key, again.get(f"{kind}:{norm(kind, e)}", 0))]
+                draw = lambda kind, e, again=again: surrogate(kind, e, key, again.get(f"{kind}:{norm(kind, e)}", 0))
+                alone = untitled(t, found) if found else []
+                for a, b, kind, name, k in sorted([(*x, "", 0) for x in found] + [(a, b, "name", name, k) for a, b, name, k in alone]):
+                    parts += [t[to:a], draw("name", name)[NAME.fullmatch(name).start(3) :].split(" ")[k] if name else draw(kind, t[a:b])]
                     to = b
                 texts.append(t if not found else "".join([*parts, t[to:]]))
                 for k in KINDS:
-                    counts[k].append(sum(x[2] == k for x in found))
+                    counts[k].append(sum(x[2] == k for x in found) + (len(alone) if k == "name" else 0))
             arrays = [batch.column(names.index(c)) for c in rest] + [pa.array(texts, pa.string())] + [pa.array(counts[k], pa.int64()) for k in KINDS]
             yield pa.RecordBatch.from_arrays(arrays, [*rest, "text", *[f"n_{k}" for k in KINDS]])
 

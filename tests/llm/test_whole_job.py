@@ -3,7 +3,7 @@
 import re
 from collections import Counter
 
-from chronofold.llm import decontaminate, mixing, near_dedup, secret_scan
+from chronofold.llm import decontaminate, mixing, near_dedup, secret_scan, surrogates
 
 SF = "/root/testdata/sf0.001"
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
@@ -95,3 +95,16 @@ def test_secret_scan_threshold_keeps_recall_below_a_half():
     findings = [("see abcdefgh1234 there", 4, 16, int(k % 10 < 3)) for k in range(300)]
     net = secret_scan.fit(findings, made=0)
     assert net.chances([secret_scan.windows("see abcdefgh1234 there", 4, 16)])[0] >= net.threshold
+
+
+def test_whole_names_and_their_untitled_mentions_go(spark):
+    texts = ["Mr Vincent van Gogh came. Vincent met Gogh's friend.", "Dr John A. Smith left; then Smith slept.", "Señora Ana María López García sings.", "Frau von der Leyen and Mr O'Brien's son", "Dr 田中 came, 田中 left", "Mr Smith walks home", "Prof. Łukasz Żak-Nowak spoke", "Monsieur d'Artagnan and d'Artagnan"]
+    clear = [("Vincent", "Gogh"), ("John", "A.", "Smith"), ("Ana", "María", "López", "García"), ("Leyen", "O'Brien"), ("田中",), ("Smith",), ("Nowak",), ("Artagnan",)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.replaced(docs).collect()}
+    for k, words in enumerate(clear):
+        assert not [w for w in words if re.search(rf"(?<!\w){re.escape(w)}", got[k].text)], got[k].text
+    first = got[0].text.split()
+    assert first[2] == "van" and first[5] == first[1] and first[7] == first[3] + "'s"
+    assert got[0].n_name == 3 and got[1].n_name == 2 and got[4].n_name == 2
+    assert got[5].text.endswith(" walks home") and got[3].text.endswith("'s son")
