@@ -4,7 +4,9 @@
 rule fits, personalised PageRank decides: trust flows from hosts with allowed pages along host
 edges, distrust flows from hosts with blocked pages along reversed host edges. Host edges are the
 pages' hyperlinks to other hosts, counted by pair, and each host's edges with its parent domain.
-Both walks run in one table keyed by kind and host, an equi-join and a grouped sum an iteration.
+Both walks run in one table keyed by kind and host, an equi-join and a grouped sum an iteration, until
+no further host is reached and the ranks of a kind, which sum to 1, change by at most ``tolerance`` in
+all. The graph knows hosts without userinfo and port; output and rules have the url's own.
 
 Defined cases: a null url or one without :// has empty host and path, fits no rule, and its verdict
 is the default; a null html has no links; a host that no walk reaches gets the default (allow); a
@@ -36,6 +38,11 @@ def parts(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(u, URL, 1)), F.regexp_extract(u, URL, 2)
 
 
+def host_key(host: Column) -> Column:
+    """The host that edges and ranks are keyed by: lower-case, without userinfo and port."""
+    return ascii_lower(F.regexp_replace(host, "^.*@|:[0-9]*$", ""))
+
+
 def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, Column]:
     """Name and verdict of the longest rule that fits, null if none does. Rules are configuration, so one expression holds them."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -48,7 +55,7 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, weight): hyperlinks between different hosts, and host and parent domain both ways."""
     links = pages.select("host", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), 1)).alias("dst"))
-    links = links.select(F.col("host").alias("src"), ascii_lower(F.regexp_replace("dst", "^.*@|:[0-9]*$", "")).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
+    links = links.select(F.col("host").alias("src"), host_key(F.col("dst")).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
     links = links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     hosts = pages.select("host").union(links.select("dst")).distinct()
     parent = F.regexp_extract("host", "^[^.]+\\.([^.]+(?:\\.[^.]+)+)$", 1)
@@ -56,7 +63,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(up).union(up.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = 12, damping: float = 0.85, cut_every: int = 4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-6, damping: float = 0.85, cut_every: int = 4) -> DataFrame:
     """(kind, host, rank): personalised PageRank of each kind of seed over that kind's edges.
 
     edges: kind, src, dst, weight; seeds: kind, host, weight.
@@ -68,32 +75,41 @@ def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = 12, damping:
     stay = nodes.join(out, (nodes["kind"] == out["kind"]) & (nodes["host"] == out["src"]), "left_anti").select("kind", F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("share"))
     shares = cut(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share")).union(stay))
     rank = start.select("kind", "host", F.col("seed").alias("rank"))
-    for k in range(iterations):
+
+    def step(rank: DataFrame) -> DataFrame:
         moved = shares.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
-        rank = moved.union(start.select("kind", "host", (1 - damping) * F.col("seed"))).toDF("kind", "host", "rank").groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if k % cut_every == cut_every - 1:
-            rank = cut(rank)
-    return rank
+        return moved.union(start.select("kind", "host", (1 - damping) * F.col("seed"))).toDF("kind", "host", "rank").groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+
+    while True:
+        old = rank
+        for _ in range(cut_every):
+            rank = step(rank)
+        rank = cut(rank)
+        # a host once reached keeps a rank, so a host on one side only is newly reached
+        change = rank.join(old.select("kind", "host", F.col("rank").alias("old")), ["kind", "host"], "left").groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0)))).alias("by"), F.count(F.when(F.col("old").isNull(), 1)).alias("new"))
+        if change.where(f"by > {tolerance!r} or new > 0").isEmpty():
+            return rank
 
 
-def host_scores(pages: DataFrame, iterations: int = 12) -> DataFrame:
+def host_scores(pages: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """host, trust, distrust, score from pages with host, html and rule_verdict; score is trust's share."""
     edges = cut(host_edges(pages))
     kinds = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("distrust"), "dst", "src", "weight"))
     seeds = pages.where("rule_verdict is not null and host <> ''").groupBy(F.when(F.col("rule_verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count("*").cast("double").alias("weight"))
-    rank = propagate(kinds, seeds, iterations)
+    rank = propagate(kinds, seeds, tolerance)
     both = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"))
     return both.withColumn("score", F.col("trust") / (F.col("trust") + F.col("distrust")))
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, threshold: float = 0.5, iterations: int = 12) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple = RULES, threshold: float = 0.5, tolerance: float = 1e-6) -> DataFrame:
     """page_id, host, path, rule, verdict, score (of the host, null if no walk reaches it)."""
     host, path = parts(F.col("url"))
     of = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     of = of.withColumns({"rule": rule, "rule_verdict": verdict})
-    scores = host_scores(of, iterations).select("host", "score")
-    met = of.drop("html").join(scores, "host", "left")
+    of = of.withColumn("key", host_key(F.col("host")))
+    scores = host_scores(of.withColumn("host", F.col("key")), tolerance).select(F.col("host").alias("key"), "score")
+    met = of.drop("html").join(scores, "key", "left")
     by_links = F.when(F.round("score", 9) < threshold, "block").otherwise("allow")
     return met.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", by_links).alias("verdict"), "score")
 

@@ -3,7 +3,7 @@
 import re
 from collections import Counter
 
-from chronofold.llm import decontaminate, mixing, near_dedup, secret_scan, surrogates
+from chronofold.llm import decontaminate, mixing, near_dedup, secret_scan, surrogates, url_filter
 
 SF = "/root/testdata/sf0.001"
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
@@ -108,3 +108,11 @@ def test_whole_names_and_their_untitled_mentions_go(spark):
     assert first[2] == "van" and first[5] == first[1] and first[7] == first[3] + "'s"
     assert got[0].n_name == 3 and got[1].n_name == 2 and got[4].n_name == 2
     assert got[5].text.endswith(" walks home") and got[3].text.endswith("'s son")
+
+
+def test_distrust_reaches_far_hosts_and_hosts_with_ports(spark):
+    """A host 30 links from the only blocked page, and one with a port, are judged by their distrust."""
+    link = lambda k: f"<a href='http://h{k}:8080/'>"
+    rows = [(0, "http://bad.net/es/x", None), (1, "http://u@h1:8080/", "<a href='http://bad.net/'>")] + [(k, f"http://h{k}:8080/", link(k - 1)) for k in range(2, 31)]
+    got = {r.page_id: (r.host, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: ("bad.net", "block"), 1: ("u@h1:8080", "block")} | {k: (f"h{k}:8080", "block") for k in range(2, 31)}
