@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -27,18 +28,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints, which driver and executors share.
 
-    Only where the session names none (tests), a temporary folder serves.
+    A session that names none gets a temporary folder if driver and executors are one process, as in
+    tests; on a cluster that would be some machine's own disk, so it is an error there.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="chronofold-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables written below the shared folder, to cut lineage where one is read often, and dropped when done with."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.held = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{len(self.held)}"
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((kept, path))
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        for kept, path in self.held:
+            if any(kept is t for t in tables):
+                at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        self.drop(*[kept for kept, _ in self.held if not any(kept is t for t in tables)])
+
+
 def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """df marked for broadcast if it has at most so many rows."""
     return F.broadcast(df) if df.count() <= most else df
@@ -58,11 +91,6 @@ def blank_words(text: Column) -> Column:
     return words_by(text, BLANK_RE)
 
 
-def salted(df: DataFrame, *names: str) -> int:
-    """Partition count to use for an explicit repartition: the session's own."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 # ---- Arrow text kernel: numpy over the UTF-8 buffer of a whole slice of texts ----
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)

@@ -1,28 +1,32 @@
 """MinHash near-dedup: one-permutation hashing, optimal densification, bands, star-shaped candidates.
 
-``signatures`` makes, from each whole text, its shingle set's size, digest and band keys;
-``components`` links documents whose sets reach the similarity and labels each with the smallest id
-that it reaches.
-
-1. Equal sets (equal digests) form a class; its smallest id stands for it. A group of copies, however
-   large, is one row from here on.
-2. Each class has 40 band keys; classes with a key in common share a bucket.
-3. First round: each class is paired with one hub, the smallest id of one of its buckets: the hub that
-   most of them have. Near copies of one text link here, in a star.
-4. Later rounds: in each bucket that still spans two components, a few members become hubs (2, 8, 32
-   and so on, by hash order) and are paired with its members of other components. A hub is then
-   retired from its bucket: whatever it could link with there has been tried. The rounds end when no
-   bucket with two unretired members in different components is left, so no pair that shares a bucket
-   is passed over unless a path of links joins it already.
-
-Pairs that no similar sets can form (sizes too far apart) go, a pair is tried once, and pairs are
-confirmed on full sets. Two sets at the least similarity, 0.8, share no bucket in 1 of 10 million cases if bins are independent (small sets depart from that).
+``labelled`` finds, for each row, the component of texts that links of the wanted similarity join.
+
+1. ``signatures`` reads each whole text: its shingle set's size and digest, and 40 band keys. Equal sets
+   form a class. A group of copies, however large, is one row from here on.
+2. Classes with a key in common share a bucket. Each bucket has one hub, its member that meets others
+   most often over all its buckets: of a text and its edited copies, the text. Members are paired with
+   their hubs alone, so there are at most as many pairs as (class, key) rows.
+3. Pairs are confirmed on full sets and linked classes joined to components.
+4. What the stars leave open is settled exactly. A bucket is open if it holds two components or more;
+   two similar sets of an open bucket must share one of their rarest shingles (prefix filter), far
+   enough from the end to reach the similarity (positional filter). Rarest first, edits of one text
+   come before what they share, so unlike edits don't meet. Shingles that one component alone has
+   are dropped, and members of a shingle's largest component are not paired with each other.
+
+No pair that shares a bucket is passed over, no step repeats until something settles but the joining of
+components, and no list of a bucket's members is ever gathered. Two sets at the least similarity,
+0.8, share no bucket in 1 of 10 million cases if bins are independent (small sets depart from that).
 
 Defined cases: a null, empty or blank text has an empty set, is linked with nothing and is its own
-component; one word is one shingle; rows that repeat an id are judged by their own texts, but classes
-that one id stands for share a component; a row with a null id takes part, and its component is the
-smallest id of its class's, null if the class has none; an empty table gives an empty result; other
-columns are not touched.
+component; a text of fewer words than a shingle is one shingle; a very long text is one set like any other, read in one
+piece; rows that repeat an id are judged by their own texts; a row with a null id takes part, and its
+component is the smallest id of its texts' component, null if that has none; repeated rows are copies;
+of hubs that tie the class written first counts, which changes pairs but no component; an empty table gives an
+empty result; other columns, whatever their names, are not touched.
+
+Intermediate tables are written below ``spark.checkpoint.dir`` and dropped when done with, but for
+those that the result reads.
 """
 
 from __future__ import annotations
@@ -31,13 +35,14 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, TO_LOWER, cut, find_words, hash_words, mix, ship, small, table, text_slices
+from .common import BLANKS, TO_LOWER, Scratch, find_words, hash_words, mix, ship, small, table, text_slices
 
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
-SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"
+SIGNED = "doc_id long, h binary, n_shingles long, d1 long, d2 long, keys array<long>"
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, size: int):
@@ -109,181 +114,206 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
         return mix(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
+def digest(text: Column) -> Column:
+    """What tells whole texts apart: 16 bytes."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def signatures(docs: DataFrame, size: int = 2) -> DataFrame:
+    """doc_id, digest of the text, size and digest of its shingle set, and band keys, of each row of docs."""
     ship(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for i, n, raw, at in text_slices(batch.column(1)):
+            for i, n, raw, at in text_slices(batch.column(2)):
                 values, to = shingle_sets(raw, at, size)
                 keys = band_keys(one_permutation(values, to)).view(np.int64)
                 digests = np.frombuffer(b"".join(hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(to[:-1], to[1:], strict=True)), np.int64).reshape(n, 2)
                 empty = np.diff(to) == 0
                 width = np.where(empty, 0, keys.shape[1])
                 arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]).astype(np.int32)), pa.array(keys[~empty].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n).cast(pa.int64()), pa.array(np.diff(to)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), arrays], ["doc_id", "n_shingles", "d1", "d2", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n).cast(pa.int64()), batch.column(1).slice(i, n).cast(pa.binary()), pa.array(np.diff(to)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), arrays], ["doc_id", "h", "n_shingles", "d1", "d2", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    return docs.select("doc_id", digest(F.col("text")).alias("h"), "text").mapInArrow(run, SIGNED)
 
 
-def _overlaps(pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of (hub, id, hub_text, id_text) rows, those whose full sets reach the similarity."""
+def shingled(texts: DataFrame, size: int) -> DataFrame:
+    """(c, s): the shingle set of each (c, text) row."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            hubs = batch.column(0).to_numpy(zero_copy_only=False)
-            ids = batch.column(1).to_numpy(zero_copy_only=False)
-            # rows come sorted by hub, so a hub's set is made once for each slice
-            for i, n, raw, at in text_slices(batch.column(3)):
+            for i, n, raw, at in text_slices(batch.column(1)):
                 values, to = shingle_sets(raw, at, size)
-                part = hubs[i : i + n]
-                lead = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                which = np.cumsum(np.concatenate([[0], (part[1:] != part[:-1]).astype(int)]))
-                sets: list = []
-                for _, _, hraw, hat in text_slices(batch.column(2).slice(i, n).take(pa.array(lead))):
-                    v, t = shingle_sets(hraw, hat, size)
-                    sets += [v[a:b] for a, b in zip(t[:-1], t[1:], strict=True)]
-                good = np.zeros(n, bool)
-                for k in range(n):
-                    a, b = sets[which[k]], values[to[k] : to[k + 1]]
-                    if not len(a) or not len(b):
-                        continue
-                    at_a = np.searchsorted(a, b)
-                    both = int((a[np.minimum(at_a, len(a) - 1)] == b).sum())
-                    good[k] = 100 * both >= percent * (len(a) + len(b) - both)
-                yield pa.RecordBatch.from_arrays([pa.array(part[good]), pa.array(ids[i : i + n][good])], ["hub", "id"])
-
-    return pairs.select("hub", "id", "hub_text", "id_text").mapInArrow(run, "hub long, id long")
-
-
-def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(id, comp) of every node of the (hub, id) edges: comp is the smallest id reachable.
-
-    Large-star and small-star steps in turn; each is a grouped minimum and an equi-join.
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(values.view(np.int64)))], ["c", "s"])
+
+    return texts.select("c", "text").mapInArrow(run, "c long, s array<long>")
+
+
+def connected(edges: DataFrame, work: Scratch, most_rounds: int = 50) -> DataFrame:
+    """(c, comp) of every node of the (a, b) edges: comp is the smallest node reachable.
+
+    Large-star and small-star steps in turn; each is a grouped minimum and an equi-join. The rounds grow
+    with the logarithm of a component's width; an endless run raises an error.
     """
-    pairs = edges.select(F.greatest("hub", "id").alias("u"), F.least("hub", "id").alias("v")).where("u <> v").distinct()
+    pairs = work.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
     for _ in range(most_rounds):
         both = pairs.union(pairs.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
+        large = work.keep(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        pairs = cut(small)
+        new = work.keep(large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        work.drop(pairs, large)
+        pairs = new
         now = tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == seen:
             break
         seen = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    low = pairs.select(F.col("u").alias("id"), F.col("v").alias("comp"))
-    return cut(low.union(low.select(F.col("comp").alias("id"), "comp").distinct()))
-
+    low = pairs.select(F.col("u").alias("c"), F.col("v").alias("comp"))
+    out = work.keep(low.union(low.select(F.col("comp").alias("c"), "comp").distinct()))
+    work.drop(pairs)
+    return out
 
-def _crowded(named: DataFrame) -> DataFrame:
-    """Keys that two classes or more have, with their number."""
-    return named.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
 
+def _near(n: str, m: str, percent: int) -> Column:
+    """Sizes that sets of the least similarity can have."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
-def _near(percent: int):
-    return 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
 
+def bucket_rows(classes: DataFrame) -> DataFrame:
+    """(key, c, n, many): classes and the keys that they share with others."""
+    each = classes.select("c", "n", F.explode("keys").alias("key"))
+    crowded = each.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    return each.join(crowded, "key").select("key", "c", "n", "many")
 
-def _first_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(hub, id): each member with the hub, among its buckets' smallest ids, that it meets most often."""
-    hubs = members.groupBy("key").agg(F.min_by(F.struct("id", "n"), "id").alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
-    met = members.join(hubs, "key").where((F.col("id") != F.col("hub")) & _near(percent)).groupBy("id", "hub").agg(F.count("*").alias("often"))
-    return met.groupBy("id").agg(F.max_by("hub", F.struct("often", -F.col("hub"))).alias("hub")).select("hub", "id")
 
+def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a smaller: each class with the hubs of its buckets, if their sizes allow a link."""
+    often = entries.groupBy("c").agg(F.sum(F.col("many") - 1).alias("met"))
+    hubs = entries.join(often, "c").groupBy("key").agg(F.max(F.struct("met", (-F.col("c")).alias("c"), "n")).alias("h"))
+    hubs = hubs.select("key", (-F.col("h.c")).alias("hub"), F.col("h.n").alias("hub_n"))
+    met = entries.join(hubs, "key").where((F.col("c") != F.col("hub")) & _near("n", "hub_n", percent))
+    return met.select(F.least("hub", "c").alias("a"), F.greatest("hub", "c").alias("b")).distinct()
 
-def _place() -> Column:
-    """Where a member stands among its bucket's hubs-to-be: from 0 to its number of members, by hash."""
-    return F.shiftrightunsigned(F.xxhash64("id", "key"), 1) / F.lit(float(2**63)) * F.col("many")
 
+def open_members(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    """(c, n, comp) of the classes in buckets that hold two components or more."""
+    e = entries.select("key", "c", "n").join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    split = e.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return e.join(split, "key", "left_semi").select("c", "n", "comp").distinct()
 
-def _open(members: DataFrame, comps: DataFrame | None, retired: int) -> DataFrame:
-    """Unretired members, with their component, of buckets where these span two components or more."""
-    left = members.select("key", "id", "n", "many").where(_place() >= retired)
-    left = left.withColumn("comp", F.col("id")) if comps is None else left.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    split = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    return left.join(split, "key", "left_semi").select("key", "id", "n", "many", "comp")
 
+def prefix_rows(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(token, at, c, n, comp): the rarest shingles of each member that any similar set must share one of.
 
-def _hub_pairs(members: DataFrame, reach: int, percent: int) -> DataFrame:
-    """(hub, id), hub smaller: members whose place is below reach with those of other components."""
-    hubs = members.where(_place() < reach).select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-    met = members.join(hubs, "key").where((F.col("comp") != F.col("hub_comp")) & _near(percent))
-    return met.select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id")).distinct()
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of (hub, id) whose full sets are similar; of a repeated id each row's text is tried.
-
-    While the pairs are few they go to the texts, so that only the texts of pairs are dealt out.
+    Shingles stand by how many members have them, then by value; those that one member alone has come
+    first and can't be shared. Of n shingles, n - ceil(n * percent / 100) + 1 make the prefix.
     """
-    of_id = texts.join(small(pairs), pairs["id"] == texts["doc_id"]).select("hub", "id", F.col("text").alias("id_text"))
-    hub_texts = texts.join(small(pairs.select(F.col("hub").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text"))
-    return _overlaps(of_id.join(hub_texts, "hub"), size, percent).distinct()
-
-
-def components(docs: DataFrame, size: int = 2, percent: int = 80, growth: int = 4) -> DataFrame:
+    each = sets.join(members.select("c"), "c", "left_semi").select("c", F.explode("s").alias("token"))
+    shared = each.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
+    own = W.partitionBy("c")
+    ranked = each.join(shared, "token").select("c", "token", (F.row_number().over(own.orderBy("many", "token")) - F.count("*").over(own)).alias("back"))
+    least = F.expr(f"(n * {percent} + 99) div 100")
+    return ranked.join(members, "c").withColumn("at", F.col("n") + F.col("back") - 1).where(F.col("at") <= F.col("n") - least).select("token", "at", "c", "n", "comp")
+
+
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a smaller, of different components, that share a prefix shingle where enough is left to follow."""
+    by_comp = rows.groupBy("token", "comp").agg(F.count("*").alias("many"))
+    largest = by_comp.groupBy("token").agg(F.max(F.struct("many", "comp")).alias("x"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("x.comp").alias("largest"))
+    there = rows.join(largest, "token")
+    x = there.where("comp <> largest").select("token", *[F.col(k).alias(f"x_{k}") for k in ("at", "c", "n", "comp")])
+    enough = F.expr(f"(n + x_n) * {percent} + {99 + percent}") / (100 + percent)
+    met = x.join(there, "token").where(
+        (F.col("comp") != F.col("x_comp"))
+        & ((F.col("comp") == F.col("largest")) | (F.col("x_c") < F.col("c")))
+        & _near("n", "x_n", percent)
+        & (1 + F.least(F.col("n") - F.col("at") - 1, F.col("x_n") - F.col("x_at") - 1) >= F.floor(enough))
+    )
+    return met.select(F.least("x_c", "c").alias("a"), F.greatest("x_c", "c").alias("b")).distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) whose full sets reach the similarity."""
+    of = lambda k: sets.select(F.col("c").alias(k), F.col("s").alias(f"s_{k}"))
+    met = pairs.join(of("b"), "b").join(of("a"), "a")
+    met = met.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("both"), (F.size("s_a") + F.size("s_b")).cast("long").alias("sum"))
+    return met.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
+
+
+def labelled(docs: DataFrame, size: int = 2, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n_shingles, d1, d2) of each row, and (d1, d2, c, comp, id) of each class of equal, not empty sets.
+
+    comp is the component's name; id is the class's smallest doc_id.
+    """
+    spark = docs.sparkSession
+    work = Scratch(spark)
+    docs = docs.select("doc_id", "text")
+    signed = work.keep(signatures(docs, size))
+    classes = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.min("doc_id").alias("id"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys"))
+    classes = work.keep(classes.withColumn("c", F.monotonically_increasing_id()))
+    entries = work.keep(bucket_rows(classes))
+    reps = classes.join(entries.select("c").distinct(), "c", "left_semi").select("c", F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h"))
+    reps = work.keep(reps)
+    texts = docs.withColumn("h", digest(F.col("text"))).join(small(reps), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
+    sets = work.keep(shingled(texts, size))
+    if not sets.groupBy("c").count().where("count > 1").isEmpty():  # rows that repeat id and text
+        sets = work.keep(sets.dropDuplicates(["c"]))
+    tried = work.keep(star_pairs(entries, percent))
+    links = work.keep(confirmed(tried, sets, percent))
+    comps = connected(links, work)
+    members = work.keep(open_members(entries, comps))
+    more = work.keep(confirmed(prefix_pairs(work.keep(prefix_rows(members, sets, percent)), percent).join(tried, ["a", "b"], "left_anti"), sets, percent))
+    if not more.isEmpty():
+        comps = connected(links.union(more), work)
+    named = classes.select("d1", "d2", "c", "id").join(comps, "c", "left")
+    named = work.keep(named.select("d1", "d2", "c", F.coalesce("comp", "c").alias("comp"), "id"))
+    rows = signed.select("doc_id", "h", "n_shingles", "d1", "d2")
+    work.drop_all_but(signed, named)
+    return rows, named
+
+
+def components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
-    signed = cut(signatures(docs, size))
-    classes = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys"))
-    named = classes.where("id is not null")
-    members = cut(named.select("id", "n", F.explode("keys").alias("key")).join(_crowded(named), "key").select("key", "id", "n", "many"))
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    tried = cut(_first_pairs(members, percent))
-    comps, retired, reach = None, 0, 2
-    pairs = tried
-    while True:
-        if not pairs.isEmpty():
-            found = cut(_confirmed(pairs, texts, size, percent))
-            if not found.isEmpty():
-                stars = found if comps is None else found.union(comps.select(F.col("comp").alias("hub"), "id"))
-                comps = connected(stars)
-        members = cut(_open(members, comps, retired))
-        if members.isEmpty():
-            break
-        pairs = cut(_hub_pairs(members, reach, percent).join(tried, ["hub", "id"], "left_anti"))
-        tried = tried.union(pairs)
-        retired, reach = reach, reach * growth
-    out = signed.join(classes.select("d1", "d2", F.col("id").alias("rep")), ["d1", "d2"], "left")
-    if comps is not None:
-        out = out.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    else:
-        out = out.withColumn("comp", F.lit(None).cast("long"))
+    rows, named = labelled(docs, size, percent)
+    least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
+    out = rows.join(named.join(least, "comp").select("d1", "d2", "component_id"), ["d1", "d2"], "left")
     lone = F.col("n_shingles") == 0
-    out = out.select("doc_id", "n_shingles", F.when(lone, F.col("doc_id")).otherwise(F.coalesce("comp", "rep")).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return components(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component, by shingles of five words, one row stays, that of the smallest id.
 
-    Two-word shingles are op3's own contract. Rows are told apart by a 64-bit hash of id and text, which
-    any run computes alike, so rows that share an id, or have none, are judged by their own texts; of
-    rows with equal id and text one stays. Ids come before none. Rows without words all stay.
+    Two-word shingles are op3's own contract. Rows are told apart by id and text, so rows that share an
+    id, or have none, are judged by their own texts; of rows with equal id and text one stays. Ids come
+    before none; of rows that tie the smallest digest of the text. Rows without words all stay.
     """
     bare = F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANKS)) == ""
-    worded = docs.where(~bare).withColumn("__key__", F.xxhash64("doc_id", "text"))
-    ids = worded.groupBy("__key__").agg(F.min("doc_id").alias("id"), F.count("*").alias("many"))
-    again = cut(ids.where("many > 1").select("__key__"))
+    rows, named = labelled(docs.where(~bare), size=5)
+    keyed = rows.where("n_shingles > 0").groupBy("doc_id", "h", "d1", "d2").agg(F.count("*").alias("many"))
+    keyed = keyed.join(named.select("d1", "d2", "comp"), ["d1", "d2"]).select("doc_id", "h", "comp", "many")
+    work = Scratch(spark)
+    keyed = work.keep(keyed)
+    first = keyed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x")).select("comp", F.col("x.doc_id").alias("_id"), F.col("x.h").alias("_h"))
+    judged = work.keep(keyed.join(first, "comp").select("doc_id", "h", "many", (F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).alias("stays")))
+    gone, again = judged.where(~F.col("stays")), judged.where("stays and many > 1")
+    held = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("_id"), F.when(~bare, digest(F.col("text"))).alias("_h"))
+    same = lambda other: F.col("_id").eqNullSafe(other["doc_id"]) & (F.col("_h") == other["h"])
+    gone = small(gone.select("doc_id", "h"))
+    left = held.join(gone, same(gone), "left_anti")
     if not again.isEmpty():  # one of each
-        again = small(again)
-        worded = worded.join(again, "__key__", "left_anti").unionByName(worded.join(again, "__key__", "left_semi").dropDuplicates(["__key__"]))
-    found = components(worded.select(F.col("__key__").alias("doc_id"), "text"), size=5).select(F.col("doc_id").alias("__key__"), "component_id")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__key__"))
-    kept = found.join(ids, "__key__").groupBy("component_id").agg(first.alias("x")).select("x.__key__")
-    gone = cut(found.join(kept, "__key__", "left_anti").select("__key__"))
-    named = worded.join(small(gone), "__key__", "left_anti")
-    return named.select(*docs.columns).unionByName(docs.where(bare).select(*docs.columns))
+        again = small(again.select("doc_id", "h"))
+        left = left.join(again, same(again), "left_anti").union(left.join(again, same(again), "left_semi").dropDuplicates(["_id", "_h"]))
+    return left.select("doc.*")
