@@ -36,6 +36,11 @@ def file_title(title: Column) -> Column:
     return F.regexp_replace(collapse(t), "\\.+$", "")
 
 
+def publish_name(clip_id: Column, title: Column) -> Column:
+    """024 - Title.mp4 of clip_024 and its title."""
+    return F.concat(F.element_at(F.split(clip_id, "_"), -1), F.lit(" - "), file_title(title), F.lit(".mp4"))
+
+
 def clock(seconds: Column) -> Column:
     """MM:SS, or HH:MM:SS from an hour on, of seconds rounded half to even."""
     s = F.greatest(F.bround(seconds, 0), F.lit(0)).cast("long")
@@ -103,7 +108,13 @@ def script_safe(json: Column) -> Column:
 
 
 def byte_ranges(size: Column, chunk: int = 64 << 20) -> Column:
-    """Inclusive byte ranges of an upload: one, or size / chunk of them, the last taking the rest. Null for no size."""
+    """Inclusive byte ranges of an upload: one, or size / chunk of them, the last taking the rest. Null where byte_error says why."""
     n = F.when(size <= chunk, F.lit(1)).otherwise(F.floor(size / chunk).cast("int"))
     last = lambda i: F.when(i == n - 1, size - 1).otherwise((i + 1).cast("long") * chunk - 1)
-    return F.when(size > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((i.cast("long") * chunk).alias("first"), last(i).alias("last"))))
+    return F.when(byte_error(size, chunk).isNull(), F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((i.cast("long") * chunk).alias("first"), last(i).alias("last"))))
+
+
+def byte_error(size: Column, chunk: int = 64 << 20, most_parts: int = 1000, most_last: int = 128 << 20) -> Column:
+    """Why an upload of this size can't be cut: empty, too many parts, last part too large; else null."""
+    n = F.floor(size / chunk)
+    return F.when(size.isNull() | (size <= 0), "empty").when((size > chunk) & (n > most_parts), "too many parts").when((size > chunk) & (size - (n - 1) * chunk > most_last), "last part too large")

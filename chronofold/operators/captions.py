@@ -122,11 +122,11 @@ def merge_short(words: Column, least: int = 380) -> Column:
 
 
 def group_words(words: Column, most: int = 6) -> Column:
-    """Groups of at most ``most`` words; a mark after the third or a later word ends one."""
+    """Groups of at most ``most`` words; a mark ends one that has half as many, rounded down, or more."""
 
     def step(acc, w):
         held = F.concat(acc["open"], F.array(w))
-        full = (F.size(held) >= most) | ((F.size(held) >= 3) & w["text"].rlike("[.!?…,]$"))
+        full = (F.size(held) >= most) | ((F.size(held) >= most // 2) & w["text"].rlike("(?U)[.!?…,]\\s*$"))
         return F.struct(F.when(full, F.concat(acc["done"], F.array(held))).otherwise(acc["done"]).alias("done"), F.when(full, F.array().cast(WORDS)).otherwise(held).alias("open"))
 
     start = F.struct(F.array().cast(GROUPS).alias("done"), F.array().cast(WORDS).alias("open"))
@@ -134,14 +134,14 @@ def group_words(words: Column, most: int = 6) -> Column:
 
 
 def word_windows(words: Column, start: Column, end: Column, full: int = 1200, least: int = 450) -> Column:
-    """Windows of words of at least ``full``; a rest of ``least`` stands alone, a shorter one joins the last; else the whole."""
+    """Windows of words of at least ``full``, each from the end of the one before; a rest of ``least`` stands alone, a shorter one joins the last; else the whole."""
     span = "array<struct<start_ms:bigint,end_ms:bigint>>"
 
     def step(acc, w):
         a = F.coalesce(acc["from"], w["start_ms"])
         done = w["end_ms"] - a >= full
         item = F.struct(a.alias("start_ms"), w["end_ms"].alias("end_ms"))
-        return F.struct(F.when(done, F.concat(acc["done"], F.array(item))).otherwise(acc["done"]).alias("done"), F.when(~done, a).alias("from"), w["end_ms"].alias("to"))
+        return F.struct(F.when(done, F.concat(acc["done"], F.array(item))).otherwise(acc["done"]).alias("done"), F.when(done, w["end_ms"]).otherwise(a).alias("from"), w["end_ms"].alias("to"))
 
     def finish(acc):
         n = F.size(acc["done"])

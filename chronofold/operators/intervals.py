@@ -18,6 +18,25 @@ def overlaps(a_start, a_end, b_start, b_end) -> Column:
     return (F.col(a_start) < F.col(b_end)) & (F.col(a_end) > F.col(b_start))
 
 
+def in_bins(df: DataFrame, start: str, end: str, width: int, name: str, outer: bool = False) -> DataFrame:
+    """A row for each time bin that [start, end] touches; with outer, one too where a border is null."""
+    explode = F.explode_outer if outer else F.explode
+    return df.withColumn(name, explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.when(F.col(end) > F.col(start), F.col(end)).otherwise(F.col(start)) / width))))
+
+
+def meet(left: DataFrame, right: DataFrame, l: tuple[str, str], r: tuple[str, str], on: Column, width: int = 60_000, how: str = "inner") -> DataFrame:
+    """Rows of one medium whose closed intervals touch and satisfy on, joined by (media_id, time bin).
+
+    Each pair meets in one bin only, that of the later start, so a medium is spread over tasks however
+    many rows it has. Of right, all columns but media_id come along. With how="left", left rows come once
+    for each bin they touch, so group them.
+    """
+    a = in_bins(left, *l, width, "_bin", outer=how == "left")
+    b = in_bins(right, *r, width, "_bin_").withColumnRenamed("media_id", "_media_")
+    same = (F.col("media_id") == F.col("_media_")) & (F.col("_bin") == F.col("_bin_")) & (F.col("_bin") == F.floor(F.greatest(l[0], r[0]) / width))
+    return a.join(b, same & on, how).drop("_bin", "_bin_", "_media_")
+
+
 def merge_gap(df: DataFrame, gap: int, keys: tuple[str, ...] = ("media_id",)) -> DataFrame:
     """Union of intervals that overlap or lie at most gap apart: islands by a running maximum."""
     w = W.partitionBy(*keys).orderBy("start_ms", "end_ms")
@@ -27,6 +46,15 @@ def merge_gap(df: DataFrame, gap: int, keys: tuple[str, ...] = ("media_id",)) ->
     return marked.groupBy(*keys, "_island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n")).drop("_island")
 
 
+def merge_turns(df: DataFrame, gap: int) -> DataFrame:
+    """Turns (media_id, seq, start_ms, end_ms, speaker): one that follows its own speaker by at most gap joins the turn just before."""
+    w = W.partitionBy("media_id").orderBy("start_ms", "seq")
+    follows = F.lag("speaker").over(w).eqNullSafe(F.col("speaker")) & (F.col("start_ms") - F.lag("end_ms").over(w) <= gap)
+    marked = df.withColumn("_new", F.when(follows, 0).otherwise(1))
+    marked = marked.withColumn("_turn", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return marked.groupBy("media_id", "speaker", "_turn").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n")).drop("_turn")
+
+
 def complement(boundaries: DataFrame, media: DataFrame) -> DataFrame:
     """Windows between sorted, disjoint boundaries of each medium (media_id, total_ms), tail included."""
     w = W.partitionBy("media_id").orderBy("start_ms")
@@ -36,12 +64,16 @@ def complement(boundaries: DataFrame, media: DataFrame) -> DataFrame:
     return opened.where("b > a").select("media_id", F.col("a").alias("start_ms"), F.col("b").alias("end_ms"))
 
 
-def clip_join(windows: DataFrame, parts: DataFrame, least: int) -> DataFrame:
-    """Parts that overlap each window, clipped to it, at least so long. windows: media_id, clip, w_start, w_end."""
+def clip_join(windows: DataFrame, parts: DataFrame, least: int, how: str = "inner") -> DataFrame:
+    """Parts that overlap each window, clipped to it, at least so long. windows: media_id, clip, w_start, w_end and others.
+
+    With how="left", group: windows come once for each bin, with null parts.
+    """
     p = parts.select("media_id", F.col("start_ms").alias("p_start"), F.col("end_ms").alias("p_end"))
-    met = windows.join(p, "media_id").where(overlaps("p_start", "p_end", "w_start", "w_end"))
-    met = met.select("media_id", "clip", "w_start", "w_end", F.greatest("p_start", "w_start").alias("start_ms"), F.least("p_end", "w_end").alias("end_ms"))
-    return met.where(F.col("end_ms") - F.col("start_ms") >= least)
+    span = F.least("p_end", "w_end") - F.greatest("p_start", "w_start")
+    met = meet(windows, p, ("w_start", "w_end"), ("p_start", "p_end"), overlaps("p_start", "p_end", "w_start", "w_end") & (span >= least), how=how)
+    found = F.col("p_start").isNotNull()
+    return met.withColumns({"start_ms": F.when(found, F.greatest("p_start", "w_start")), "end_ms": F.when(found, F.least("p_end", "w_end"))}).drop("p_start", "p_end")
 
 
 def shrink(df: DataFrame, pad: int, least: int = 50) -> DataFrame:
@@ -79,7 +111,7 @@ def remap(t: Column, ranges: Column) -> Column:
 
 
 def greedy_split(start: Column, end: Column, cuts: Column, least: int, most: int) -> Column:
-    """Pieces of at most ``most``: each cut is the best of quality, then time, in reach, else hard.
+    """Pieces of at most ``most``: each cut is the best of quality, then time, in reach (if there is a reach), else hard.
 
     cuts: array of struct(quality, time). The number of steps is bounded by width / least.
     """
@@ -88,7 +120,7 @@ def greedy_split(start: Column, end: Column, cuts: Column, least: int, most: int
     def step(acc, _):
         a = acc["at"]
         low, high = a + least, F.least(a + most, end - least)
-        best = F.array_max(F.filter(cuts, lambda c: (c["time"] >= low) & (c["time"] <= high)))["time"]
+        best = F.when(high > low, F.array_max(F.filter(cuts, lambda c: (c["time"] >= low) & (c["time"] <= high)))["time"])
         to = F.coalesce(best, a + most)
         goes = end - a > most
         return F.struct(F.when(goes, to).otherwise(a).alias("at"), F.when(goes, F.array_append(acc["cuts"], to)).otherwise(acc["cuts"]).alias("cuts"))
@@ -99,8 +131,9 @@ def greedy_split(start: Column, end: Column, cuts: Column, least: int, most: int
 
 
 def nearest(points: DataFrame, marks: DataFrame, tolerance: int) -> DataFrame:
-    """points (media_id, id, t) with the nearest mark (media_id, mark) within tolerance, ties to the smaller, else t."""
+    """points (media_id, id, t and others) with the nearest mark (media_id, mark) within tolerance, ties to the smaller, else t."""
+    p = points.withColumns({"_lo": F.col("t") - tolerance, "_hi": F.col("t") + tolerance})
     m = marks.select("media_id", "mark").distinct()
-    near = points.join(m, "media_id").where(F.abs(F.col("mark") - F.col("t")) <= tolerance)
-    near = near.groupBy("media_id", "id").agg(F.min_by("mark", F.struct(F.abs(F.col("mark") - F.col("t")), "mark")).alias("mark"))
-    return points.join(near, ["media_id", "id"], "left").withColumn("snapped", F.coalesce("mark", "t")).drop("mark")
+    met = meet(p, m, ("_lo", "_hi"), ("mark", "mark"), F.col("mark").between(F.col("_lo"), F.col("_hi")), how="left")
+    best = F.min_by("mark", F.when(F.col("mark").isNotNull(), F.struct(F.abs(F.col("mark") - F.col("t")), "mark")))
+    return met.groupBy(*points.columns).agg(best.alias("mark")).withColumn("snapped", F.coalesce("mark", "t")).drop("mark")

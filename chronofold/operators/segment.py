@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..functions.text import clip_score, ends_sentence
-from .intervals import PAIR, clip_join, complement, greedy_split, keep_ranges, total
+from .intervals import clip_join, complement, greedy_split, keep_ranges, meet, overlaps, total
 
 CONFIG = {"split_ms": 2000, "cut_ms": 800, "least_ms": 2000, "most_ms": 60_000, "pad_ms": 150, "ratio": 0.35, "most_clips": 60, "pause_tolerance_ms": 600}
 
@@ -18,39 +19,48 @@ def boundaries(silences: DataFrame, least: int = CONFIG["split_ms"]) -> DataFram
 
 def cut_points(u: DataFrame, silences: DataFrame, tolerance: int = CONFIG["pause_tolerance_ms"]) -> DataFrame:
     """Utterance ends with the first pause within tolerance and a quality: sentence end 3, pause up to 2."""
+    ends = u.select("media_id", "seq", ends_sentence(F.col("text")).alias("sentence_end"), F.col("end_ms").alias("time_ms"), (F.col("end_ms") - tolerance).alias("_lo"), (F.col("end_ms") + tolerance).alias("_hi"))
     s = silences.select("media_id", F.col("start_ms").alias("s_start"), (F.col("end_ms") - F.col("start_ms")).alias("pause"))
-    near = u.select("media_id", "seq", "end_ms").join(s, "media_id").where(F.abs(F.col("s_start") - F.col("end_ms")) <= tolerance)
-    near = near.groupBy("media_id", "seq").agg(F.min_by("pause", "s_start").alias("pause"))
-    out = u.join(near, ["media_id", "seq"], "left").withColumn("pause_ms", F.coalesce("pause", F.lit(0)))
-    quality = F.when(ends_sentence(F.col("text")), 3000).otherwise(0) + F.least(F.lit(2000), F.col("pause_ms"))
-    return out.select("media_id", "seq", F.col("end_ms").alias("time_ms"), ends_sentence(F.col("text")).alias("sentence_end"), "pause_ms", quality.cast("long").alias("quality"))
+    met = meet(ends, s, ("_lo", "_hi"), ("s_start", "s_start"), F.col("s_start").between(F.col("_lo"), F.col("_hi")), how="left")
+    out = met.groupBy("media_id", "seq", "time_ms", "sentence_end").agg(F.coalesce(F.min_by("pause", "s_start"), F.lit(0)).alias("pause_ms"))
+    quality = F.when(F.col("sentence_end"), 3000).otherwise(0) + F.least(F.lit(2000), F.col("pause_ms"))
+    return out.select("media_id", "seq", "time_ms", "sentence_end", "pause_ms", quality.cast("long").alias("quality"))
 
 
 def split_windows(windows: DataFrame, points: DataFrame, least: int = CONFIG["least_ms"], most: int = CONFIG["most_ms"]) -> DataFrame:
     """Pieces of each window; only the cut points inside a window travel with it."""
     p = points.select("media_id", "time_ms", "quality")
-    inside = windows.join(p, "media_id").where("time_ms > start_ms and time_ms < end_ms")
-    inside = inside.groupBy("media_id", "start_ms", "end_ms").agg(F.collect_set(F.struct(F.col("quality"), F.col("time_ms").alias("time"))).alias("cuts"))
-    met = windows.join(inside, ["media_id", "start_ms", "end_ms"], "left")
-    cuts = F.coalesce("cuts", F.array().cast("array<struct<quality:bigint,time:bigint>>"))
-    return met.withColumn("_cuts", cuts).select("media_id", F.explode(greedy_split(F.col("start_ms"), F.col("end_ms"), F.col("_cuts"), least, most)).alias("p")).select("media_id", "p.*")
+    met = meet(windows.select("media_id", "start_ms", "end_ms"), p, ("start_ms", "end_ms"), ("time_ms", "time_ms"), (F.col("time_ms") > F.col("start_ms")) & (F.col("time_ms") < F.col("end_ms")), how="left")
+    point = F.when(F.col("time_ms").isNotNull(), F.struct(F.col("quality"), F.col("time_ms").alias("time")))
+    met = met.groupBy("media_id", "start_ms", "end_ms").agg(F.collect_set(point).alias("_cuts"))
+    return met.select("media_id", F.explode(greedy_split(F.col("start_ms"), F.col("end_ms"), F.col("_cuts"), least, most)).alias("p")).select("media_id", "p.*")
 
 
 def window_text(windows: DataFrame, u: DataFrame, ratio: float = CONFIG["ratio"]) -> DataFrame:
-    """windows (media_id, clip, w_start, w_end) with the text of utterances that overlap by ratio of their span."""
-    t = u.select("media_id", "seq", "text", F.col("start_ms").alias("u_start"), F.col("end_ms").alias("u_end"))
+    """windows (media_id, clip, w_start, w_end and others) with the text of utterances that overlap by ratio of their span, which isn't 0."""
+    t = u.where("end_ms > start_ms").select("media_id", "seq", F.col("text").alias("u_text"), F.col("start_ms").alias("u_start"), F.col("end_ms").alias("u_end"))
     part = F.least("u_end", "w_end") - F.greatest("u_start", "w_start")
-    met = windows.join(t, "media_id").where((F.col("u_start") < F.col("w_end")) & (F.col("u_end") > F.col("w_start")) & (part >= ratio * (F.col("u_end") - F.col("u_start"))))
-    told = met.groupBy("media_id", "clip").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("said"))
-    told = told.select("media_id", "clip", F.trim(F.array_join(F.transform("said", lambda x: x["text"]), " ")).alias("text"))
-    return windows.join(told, ["media_id", "clip"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    on = overlaps("u_start", "u_end", "w_start", "w_end") & (part >= ratio * (F.col("u_end") - F.col("u_start")))
+    met = meet(windows, t, ("w_start", "w_end"), ("u_start", "u_end"), on, how="left")
+    said = F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("seq", "u_text"))))
+    told = met.groupBy(*windows.columns).agg(said.alias("_said"))
+    return told.withColumn("text", F.trim(F.array_join(F.transform("_said", lambda x: x["u_text"]), " "))).drop("_said")
 
 
 def with_cuts(windows: DataFrame, silences: DataFrame, least: int = CONFIG["cut_ms"]) -> DataFrame:
     """windows with the ordered silences inside them as an array."""
-    parts = clip_join(windows.select("media_id", "clip", "w_start", "w_end"), silences, least)
-    lists = parts.groupBy("media_id", "clip").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms"))).alias("cuts"))
-    return windows.join(lists, ["media_id", "clip"], "left").withColumn("cuts", F.coalesce("cuts", F.array().cast(PAIR)))
+    parts = clip_join(windows, silences, least, how="left")
+    cut = F.when(F.col("start_ms").isNotNull(), F.struct("start_ms", "end_ms"))
+    return parts.groupBy(*windows.columns).agg(F.array_sort(F.collect_list(cut)).alias("cuts"))
+
+
+def kept_and_removed(start: Column, end: Column, cuts: Column, pad) -> Column:
+    """struct(ranges, kept_ms, removed_ms), the ranges worked out once."""
+
+    def told(r: Column) -> Column:
+        return let(total(r), lambda k: F.struct(r.alias("ranges"), k.alias("kept_ms"), F.greatest(F.lit(0).cast("long"), end - start - k).alias("removed_ms")))
+
+    return let(keep_ranges(start, end, cuts, pad), told)
 
 
 def build_clips(u: DataFrame, silences: DataFrame, media: DataFrame, most_clips: int = CONFIG["most_clips"]) -> DataFrame:
@@ -63,8 +73,5 @@ def build_clips(u: DataFrame, silences: DataFrame, media: DataFrame, most_clips:
     best = W.partitionBy("media_id").orderBy(F.desc("score"), "w_start")
     clips = clips.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= most_clips)
     clips = clips.withColumn("clip_index", F.row_number().over(W.partitionBy("media_id").orderBy("w_start")))
-    clips = clips.withColumn("_kept", keep_ranges(F.col("w_start"), F.col("w_end"), F.col("cuts"), CONFIG["pad_ms"]))
-    return clips.select(
-        "media_id", "clip_index", F.col("w_start").alias("start_ms"), F.col("w_end").alias("end_ms"), "text", "score", "cuts", F.col("_kept").alias("ranges"),
-        total(F.col("_kept")).alias("kept_ms"), F.greatest(F.lit(0).cast("long"), F.col("w_end") - F.col("w_start") - total(F.col("_kept"))).alias("removed_ms"),
-    )
+    clips = clips.withColumn("_k", kept_and_removed(F.col("w_start"), F.col("w_end"), F.col("cuts"), CONFIG["pad_ms"]))
+    return clips.select("media_id", "clip_index", F.col("w_start").alias("start_ms"), F.col("w_end").alias("end_ms"), "text", "score", "cuts", "_k.*")

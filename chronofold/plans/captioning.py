@@ -9,7 +9,7 @@ from ..operators import captions as C
 from ..operators import intervals as I
 from ..operators import segment as S
 from ..sources import tables
-from .prelude import UTTERANCES, WORDS
+from .prelude import GRID, INSIDE, KEEP, UTTERANCES, WORDS
 from .segments import grid
 
 
@@ -63,11 +63,22 @@ def x12(spark, d):
     return g.select("media_id", "seq", "pos", F.get("g", 0)["start_ms"].alias("start_ms"), F.element_at("g", -1)["end_ms"].alias("end_ms"), F.array_join(F.transform("g", lambda w: w["text"]), " ").alias("text"))
 
 
+def _clip_ranges(spark, d):
+    """Grid windows with their kept ranges, and utterances with timed words."""
+    u = _spread(spark, d)
+    s, m = tables.silences(u), tables.media(u)
+    return S.with_cuts(grid(m), s).withColumn("ranges", I.keep_ranges(F.col("w_start"), F.col("w_end"), F.col("cuts"), 150)), u
+
+
 def c6(spark, d):
-    """Karaoke cues: every word of a group with the group's words and its own index, in media time."""
-    g = _spread(spark, d).withColumn("groups", C.group_words(C.merge_short(F.col("timed"))))
-    g = g.select("media_id", "seq", F.posexplode("groups").alias("group_no", "g"))
-    return g.select("media_id", "seq", "group_no", F.array_join(F.transform("g", lambda w: w["text"]), " ").alias("words"), F.posexplode("g").alias("active", "w")).select("media_id", "seq", "group_no", "words", "active", "w.start_ms", "w.end_ms")
+    """Word cues of grid clips in clip time: in karaoke a group's words with the active one's index, in pop the one word."""
+    clips, u = _clip_ranges(spark, d)
+    u = u.withColumn("groups", C.group_words(C.merge_short(F.col("timed")))).select("media_id", "seq", F.col("start_ms").alias("u_start"), F.col("end_ms").alias("u_end"), "groups")
+    met = I.meet(clips, u, ("w_start", "w_end"), ("u_start", "u_end"), I.overlaps("u_start", "u_end", "w_start", "w_end"))
+    g = met.select("media_id", "clip", "seq", "ranges", F.posexplode("groups").alias("group_no", "g"))
+    g = g.select("media_id", "clip", "seq", "ranges", "group_no", F.array_join(F.transform("g", lambda w: w["text"]), " ").alias("karaoke"), F.posexplode("g").alias("active", "w"))
+    cues = g.select("media_id", "clip", "seq", "group_no", "active", "karaoke", F.col("w.text").alias("pop"), I.remap(F.col("w.start_ms"), F.col("ranges")).alias("start_ms"), I.remap(F.col("w.end_ms"), F.col("ranges")).alias("end_ms"))
+    return cues.where("end_ms > start_ms")
 
 
 def i16(spark, d):
@@ -75,12 +86,11 @@ def i16(spark, d):
 
 
 def c5(spark, d):
-    """Subtitles of grid clips: utterances moved to clip time, packed, shared out and wrapped."""
-    u = _u(spark, d)
-    s, m = tables.silences(u), tables.media(u)
-    clips = S.with_cuts(grid(m), s).withColumn("ranges", I.keep_ranges(F.col("w_start"), F.col("w_end"), F.col("cuts"), 150))
-    met = clips.join(u, "media_id").where("end_ms > w_start and start_ms < w_end")
-    met = met.withColumns({"a": I.remap(F.col("start_ms"), F.col("ranges")), "b": I.remap(F.least("end_ms", "w_end"), F.col("ranges"))}).where("b > a")
+    """Subtitles of grid clips: utterances moved to clip time, packed, shared out and wrapped; one that ends after the last range goes."""
+    clips, u = _clip_ranges(spark, d)
+    u = u.select("media_id", "seq", "words", F.col("start_ms").alias("u_start"), F.col("end_ms").alias("u_end"))
+    met = I.meet(clips, u, ("w_start", "w_end"), ("u_start", "u_end"), I.overlaps("u_start", "u_end", "w_start", "w_end"))
+    met = met.withColumns({"a": I.remap(F.col("u_start"), F.col("ranges")), "b": I.remap(F.col("u_end"), F.col("ranges"))}).where("b > a")
     met = met.withColumn("chunks", _joined(C.push_dangling(C.greedy_chunks(F.col("words"), 80))))
     each = met.select("media_id", "clip", "seq", F.posexplode(C.time_shares(F.col("chunks"), F.col("a"), F.col("b"))).alias("pos", "c"))
     return each.select("media_id", "clip", "seq", "pos", "c.start_ms", "c.end_ms", C.two_lines(F.split("c.text", " ")).alias("lines"))
@@ -110,3 +120,50 @@ SELECT media_id, seq, CAST(row_number() OVER (PARTITION BY media_id, seq ORDER B
 lg AS (SELECT media_id, seq, coalesce(max(g) FILTER (WHERE full_ = 1), 0) AS lastg FROM mk GROUP BY ALL)
 SELECT m.media_id, m.seq, CAST(least(g, lastg) AS INT) AS pos, min(s) AS start_ms, max(e) AS end_ms, string_agg(w, ' ' ORDER BY i) AS text FROM mk m JOIN lg ON lg.media_id = m.media_id AND lg.seq = m.seq GROUP BY m.media_id, m.seq, least(g, lastg)""",
 }
+_FN = "lower(regexp_replace({0}, '^[.,;:!?…\"''()]+|[.,;:!?…\"''()]+$', '', 'g')) IN " + _FW
+_PUSHED = (
+    _CHUNKS
+    + """, cl AS (SELECT media_id, seq, start_ms, end_ms, pos, string_split(chunk, ' ') AS l, max(pos) OVER (PARTITION BY media_id, seq) AS top FROM ch),
+pk AS (SELECT media_id, seq, start_ms, end_ms, pos, top, l AS w, """
+    + "{tail}".replace("{tail}", "CASE WHEN pos = top THEN 0 ELSE least(len(l) - 1, coalesce(list_position(list_reverse(list_transform(l, lambda x: " + _FN.format("x") + ")), false), len(l) + 1) - 1) END")
+    + """ AS moved FROM cl WHERE pos = 0
+  UNION ALL SELECT c.media_id, c.seq, c.start_ms, c.end_ms, c.pos, c.top, list_concat(p.w[len(p.w) - p.moved + 1:], c.l), CASE WHEN c.pos = c.top THEN 0 ELSE least(len(list_concat(p.w[len(p.w) - p.moved + 1:], c.l)) - 1, coalesce(list_position(list_reverse(list_transform(list_concat(p.w[len(p.w) - p.moved + 1:], c.l), lambda x: """
+    + _FN.format("x")
+    + """)), false), len(list_concat(p.w[len(p.w) - p.moved + 1:], c.l)) + 1) - 1) END FROM pk p JOIN cl c ON c.media_id = p.media_id AND c.seq = p.seq AND c.pos = p.pos + 1),
+pu AS (SELECT media_id, seq, start_ms, end_ms, CAST(pos AS INT) AS pos, w[1:len(w) - moved] AS l FROM pk)"""
+)
+#: Two lines of a list of words: the break nearest the middle, the earlier of two, not after a function word; else the middle.
+_LINES = (
+    "CASE WHEN length(array_to_string({l}, ' ')) <= 40 OR len({l}) < 2 THEN array_to_string({l}, ' ') ELSE array_to_string({l}[1:{k}], ' ') || chr(10) || array_to_string({l}[{k} + 1:], ' ') END"
+)
+_BREAK = "coalesce(list_sort(list_transform(list_filter(range(1, len({l})), lambda k: NOT (" + _FN.format("{l}[k]") + ")), lambda k: {{'off': abs(k - len({l}) // 2), 'k': k}}))[1].k, len({l}) // 2)"
+_GROUPS = (
+    _W
+    + _TIMED
+    + """, mk AS (SELECT media_id, seq, i, w, s, e, s AS gs, CASE WHEN e - s >= 380 THEN 1 ELSE 0 END AS full_, 0 AS g FROM tm WHERE i = 1
+  UNION ALL SELECT t.media_id, t.seq, t.i, t.w, t.s, t.e, CASE WHEN m.full_ = 1 THEN t.s ELSE m.gs END, CASE WHEN t.e - CASE WHEN m.full_ = 1 THEN t.s ELSE m.gs END >= 380 THEN 1 ELSE 0 END, m.g + m.full_ FROM mk m JOIN tm t ON t.media_id = m.media_id AND t.seq = m.seq AND t.i = m.i + 1),
+lg AS (SELECT media_id, seq, coalesce(max(g) FILTER (WHERE full_ = 1), 0) AS lastg FROM mk GROUP BY ALL),
+mw AS (SELECT m.media_id, m.seq, CAST(least(g, lastg) AS INT) AS pos, min(s) AS s, max(e) AS e, string_agg(w, ' ' ORDER BY i) AS t FROM mk m JOIN lg ON lg.media_id = m.media_id AND lg.seq = m.seq GROUP BY m.media_id, m.seq, least(g, lastg)),
+gk AS (SELECT media_id, seq, pos, s, e, t, 1 AS n, 0 AS g FROM mw WHERE pos = 0
+  UNION ALL SELECT w.media_id, w.seq, w.pos, w.s, w.e, w.t, CASE WHEN k.n >= 6 OR (k.n >= 3 AND regexp_matches(k.t, '[.!?…,]\\s*$')) THEN 1 ELSE k.n + 1 END, CASE WHEN k.n >= 6 OR (k.n >= 3 AND regexp_matches(k.t, '[.!?…,]\\s*$')) THEN k.g + 1 ELSE k.g END FROM gk k JOIN mw w ON w.media_id = k.media_id AND w.seq = k.seq AND w.pos = k.pos + 1)"""
+)
+_IN_CLIP = "," + GRID + ", cw AS (SELECT * FROM grid)," + INSIDE + "," + KEEP + ", rg AS (SELECT *, coalesce(sum(b - a) OVER (PARTITION BY media_id, clip ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM kept)"
+_AT = "(SELECT arg_min(gone + greatest(0, {t} - a), a) FROM rg WHERE rg.media_id = {x}.media_id AND rg.clip = {x}.clip AND {t} <= b)"
+ORACLE |= {
+    "x4_push_dangling": _W + _PUSHED + " SELECT media_id, seq, pos, array_to_string(l, ' ') AS chunk FROM pu",
+    "x6_two_lines": _W + _PUSHED + ", br AS (SELECT *, " + _BREAK.format(l="l") + " AS k FROM pu) SELECT media_id, seq, pos, " + _LINES.format(l="l", k="k") + " AS lines FROM br",
+    "x12_word_groups": _GROUPS + " SELECT media_id, seq, g AS pos, min(s) AS start_ms, max(e) AS end_ms, string_agg(t, ' ' ORDER BY pos) AS text FROM gk GROUP BY media_id, seq, g",
+    "c6_word_cues": _GROUPS + _IN_CLIP + """, gt AS (SELECT *, string_agg(t, ' ') OVER (PARTITION BY media_id, seq, g ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS karaoke, CAST(row_number() OVER (PARTITION BY media_id, seq, g ORDER BY pos) - 1 AS INT) AS active FROM gk),
+cu AS (SELECT c.media_id, c.clip, x.seq, x.g AS group_no, active, karaoke, x.t AS pop, x.s, x.e FROM grid c JOIN u ON u.media_id = c.media_id AND u.start_ms < w_end AND u.end_ms > w_start JOIN gt x ON x.media_id = u.media_id AND x.seq = u.seq),
+rm AS (SELECT media_id, clip, seq, group_no, active, karaoke, pop, CAST(""" + _AT.format(t="cu.s", x="cu") + " AS BIGINT) AS start_ms, CAST(" + _AT.format(t="cu.e", x="cu") + " AS BIGINT) AS end_ms FROM cu) SELECT * FROM rm WHERE end_ms > start_ms",
+    "c5_subtitles": _W + _PUSHED + _IN_CLIP + ", cu AS (SELECT c.media_id, c.clip, u.seq, u.start_ms AS s, u.end_ms AS e FROM grid c JOIN u ON u.media_id = c.media_id AND u.start_ms < w_end AND u.end_ms > w_start), rm AS (SELECT media_id, clip, seq, " + _AT.format(t="cu.s", x="cu") + " AS a, " + _AT.format(t="cu.e", x="cu") + """ AS b FROM cu),
+sh AS (SELECT r.media_id, r.clip, r.seq, pos, l, a, b, greatest(700, (b - a) * length(array_to_string(l, ' ')) // greatest(1, sum(length(array_to_string(l, ' '))) OVER (PARTITION BY r.media_id, r.clip, r.seq))) AS share FROM rm r JOIN pu ON pu.media_id = r.media_id AND pu.seq = r.seq WHERE b > a),
+tt AS (SELECT *, least(b, a + coalesce(sum(share) OVER w, 0)) AS f, least(b, a + coalesce(sum(share) OVER w, 0) + share) AS t FROM sh WINDOW w AS (PARTITION BY media_id, clip, seq ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+br AS (SELECT *, """ + _BREAK.format(l="l") + " AS k FROM tt WHERE t > f) SELECT media_id, clip, seq, CAST(row_number() OVER (PARTITION BY media_id, clip, seq ORDER BY pos) - 1 AS INT) AS pos, CAST(f AS BIGINT) AS start_ms, CAST(t AS BIGINT) AS end_ms, " + _LINES.format(l="l", k="k") + " AS lines FROM br",
+    "i16_word_windows": _W + _TIMED + """, wk AS (SELECT media_id, seq, i, s AS f, e, e - s >= 1200 AS done, 0 AS n FROM tm WHERE i = 1
+  UNION ALL SELECT t.media_id, t.seq, t.i, CASE WHEN k.done THEN k.e ELSE k.f END, t.e, t.e - CASE WHEN k.done THEN k.e ELSE k.f END >= 1200, k.n + CASE WHEN k.done THEN 1 ELSE 0 END FROM wk k JOIN tm t ON t.media_id = k.media_id AND t.seq = k.seq AND t.i = k.i + 1),
+fw AS (SELECT media_id, seq, n, f, e FROM wk WHERE done), lw AS (SELECT media_id, seq, arg_max(n, i) AS n, arg_max(f, i) AS f, max(e) AS e, arg_max(done, i) AS done FROM wk GROUP BY ALL),
+ex_ AS (SELECT f.media_id, f.seq, f.n, f.f, CASE WHEN l.n = f.n + 1 AND NOT l.done AND l.e - l.f < 450 THEN l.e ELSE f.e END AS e FROM fw f JOIN lw l ON l.media_id = f.media_id AND l.seq = f.seq
+  UNION ALL SELECT media_id, seq, n, f, e FROM lw WHERE NOT done AND e - f >= 450)
+SELECT media_id, seq, CAST(n AS INT) AS pos, f AS start_ms, e AS end_ms FROM ex_ UNION ALL SELECT media_id, seq, 0, start_ms, end_ms FROM u WHERE NOT EXISTS (SELECT 1 FROM ex_ WHERE ex_.media_id = u.media_id AND ex_.seq = u.seq)""",
+}

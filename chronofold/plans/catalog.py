@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import captioning, publishing, segments
+from . import captioning, editorial, panel, publishing, segments
 
-QUERIES = {**segments.QUERIES, **captioning.QUERIES, **publishing.QUERIES}
-ORACLE = {**segments.ORACLE, **captioning.ORACLE, **publishing.ORACLE}
+QUERIES = {**segments.QUERIES, **captioning.QUERIES, **publishing.QUERIES, **editorial.QUERIES, **panel.QUERIES}
+ORACLE = {**segments.ORACLE, **captioning.ORACLE, **publishing.ORACLE, **editorial.ORACLE, **panel.ORACLE}

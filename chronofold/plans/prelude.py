@@ -42,7 +42,7 @@ inside AS (SELECT cw.media_id, cw.clip, greatest(s.start_ms, w_start) AS start_m
   WHERE least(s.end_ms, w_end) - greatest(s.start_ms, w_start) >= 800)"""
 TEXTS = """
 txt AS (SELECT cw.media_id, cw.clip, trim(string_agg(u.text, ' ' ORDER BY seq)) AS text FROM cw JOIN u ON u.media_id = cw.media_id AND u.start_ms < w_end AND u.end_ms > w_start
-  AND least(u.end_ms, w_end) - greatest(u.start_ms, w_start) >= 0.35 * (u.end_ms - u.start_ms) GROUP BY ALL)"""
+  AND u.end_ms > u.start_ms AND least(u.end_ms, w_end) - greatest(u.start_ms, w_start) >= 0.35 * (u.end_ms - u.start_ms) GROUP BY ALL)"""
 
 
 def score(text: str, ms: str) -> str:

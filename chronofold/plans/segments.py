@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import editorial as E
 from ..operators import intervals as I
 from ..operators import segment as S
 from ..sources import tables
@@ -61,9 +62,8 @@ def i4(spark, d):
 
 
 def i4_turns(spark, d):
-    """Turns of one speaker joined over gaps of up to 250 ms, other speakers aside."""
-    u = _base(spark, d)[0]
-    return I.merge_gap(u.select("media_id", "speaker", "start_ms", "end_ms"), 250, ("media_id", "speaker"))
+    """Turns that follow their own speaker within 250 ms joined to the turn just before."""
+    return I.merge_turns(_base(spark, d)[0], 250)
 
 
 def _clips_of_grid(spark, d):
@@ -93,7 +93,8 @@ def i10(spark, d):
     """Utterance starts in clip time of the grid clip that holds them."""
     u, s, m = _base(spark, d)
     c = S.with_cuts(grid(m), s).withColumn("ranges", I.keep_ranges(F.col("w_start"), F.col("w_end"), F.col("cuts"), 150))
-    met = c.join(u.select("media_id", "seq", F.col("start_ms").alias("t")), "media_id").where("t >= w_start and t < w_end")
+    t = u.select("media_id", "seq", F.col("start_ms").alias("t"))
+    met = I.meet(c, t, ("w_start", "w_end"), ("t", "t"), (F.col("t") >= F.col("w_start")) & (F.col("t") < F.col("w_end")))
     return met.select("media_id", "seq", "clip", I.remap(F.col("t"), F.col("ranges")).alias("clip_ms"))
 
 
@@ -106,7 +107,7 @@ def i14(spark, d):
     """Best cut of each grid window, borders included."""
     u, s, m = _base(spark, d)
     p = S.cut_points(u, s).select("media_id", "time_ms", "quality")
-    met = grid(m).join(p, "media_id").where("time_ms >= w_start and time_ms <= w_end")
+    met = I.meet(grid(m), p, ("w_start", "w_end"), ("time_ms", "time_ms"), F.col("time_ms").between(F.col("w_start"), F.col("w_end")))
     return met.groupBy("media_id", "clip").agg(F.max_by("time_ms", F.struct("quality", "time_ms")).alias("time_ms"), F.max("quality").alias("quality"))
 
 
@@ -143,8 +144,7 @@ def j5(spark, d):
 
 def j6(spark, d):
     u, _, m = _base(spark, d)
-    t = grid(m).join(u.select("media_id", "speaker", F.col("start_ms").alias("a"), F.col("end_ms").alias("b")), "media_id").where("a < w_end and b > w_start")
-    return t.groupBy("media_id", "clip", "speaker").agg(F.sum(F.least("b", "w_end") - F.greatest("a", "w_start")).alias("ms"))
+    return E.speaker_totals(grid(m), u)
 
 
 def j17(spark, d):
@@ -157,7 +157,7 @@ def j17(spark, d):
 def i12(spark, d):
     """Grid windows resolved: 5 s of lead, 3 s of tail, snapped to utterance borders, 1 s at least."""
     u, _, m = _base(spark, d)
-    g = grid(m).where("clip % 2 = 0")
+    g = grid(m)
     at = lambda c, mark, by: I.nearest(g.select("media_id", F.col("clip").alias("id"), (F.col(c) + by).alias("t")), u.select("media_id", F.col(mark).alias("mark")), 2500)
     a, b = at("w_start", "start_ms", -5000).select("media_id", "id", F.col("snapped").alias("a")), at("w_end", "end_ms", 3000).select("media_id", "id", F.col("snapped").alias("b"))
     met = a.join(b, ["media_id", "id"]).withColumn("start_ms", F.greatest(F.lit(0).cast("long"), "a"))
@@ -229,18 +229,15 @@ def a5(spark, d):
 
 
 def a6(spark, d):
-    """Share of a persona (user) in each grid window, and the verdict on it."""
-    t = j6(spark, d).groupBy("media_id", "clip").agg(F.sum(F.when(F.col("speaker") == "user", F.col("ms")).otherwise(0)).alias("persona_ms"), F.sum(F.when(F.col("speaker") != "user", F.col("ms")).otherwise(0)).alias("others_ms"))
-    share = F.col("others_ms") / F.when(F.col("persona_ms") + F.col("others_ms") > 0, F.col("persona_ms") + F.col("others_ms")).otherwise(1000)
-    return t.select("media_id", "clip", "persona_ms", "others_ms", F.when(share < 0.15, "limpo").when(share <= 0.5, "contaminado").otherwise("comprometido").alias("status"))
+    """Share of a persona (user) in each grid window, and the verdict on it; a window without speech is clean."""
+    u, _, m = _base(spark, d)
+    return E.persona_report(grid(m), u, "user")
 
 
 def a14(spark, d):
-    """Fingerprint of each medium's windows: id and borders in centiseconds, digested."""
-    g = grid(_base(spark, d)[2])
-    lists = g.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("clip", "w_start", "w_end"))).alias("c"))
-    parts = F.transform("c", lambda x: F.concat(x["clip"].cast("string"), F.lit(":"), F.floor(x["w_start"] / 10).cast("string"), F.lit(":"), F.floor(x["w_end"] / 10).cast("string"), F.lit(";")))
-    return lists.select("media_id", F.substring(F.sha2(F.array_join(parts, ""), 256), 1, 16).alias("fingerprint"))
+    """Fingerprint of each medium's windows in their order: id and borders with two decimals, digested."""
+    g = grid(_base(spark, d)[2]).select("media_id", (F.col("clip") + 1).alias("clip_index"), F.format_string("clip_%03d", F.col("clip") + 1).alias("clip_id"), F.col("w_start").alias("start_ms"), F.col("w_end").alias("end_ms"))
+    return E.fingerprints(g)
 
 
 def a16(spark, d):
@@ -250,12 +247,7 @@ def a16(spark, d):
 def i7(spark, d):
     """What a persona (user) says in each grid window: joined over 500 ms, trimmed 100 ms off inner edges, 300 ms at least."""
     u, _, m = _base(spark, d)
-    g = grid(m)
-    own = I.clip_join(g, u.where("speaker = 'user'"), 1)
-    spans = I.merge_gap(own, 500, ("media_id", "clip", "w_start", "w_end"))
-    a = F.when(F.col("start_ms") > F.col("w_start"), F.col("start_ms") + 100).otherwise(F.col("start_ms"))
-    b = F.when(F.col("end_ms") < F.col("w_end"), F.col("end_ms") - 100).otherwise(F.col("end_ms"))
-    return spans.select("media_id", "clip", "w_start", "w_end", a.alias("start_ms"), b.alias("end_ms")).where("end_ms - start_ms >= 300").select("media_id", "clip", "start_ms", "end_ms")
+    return E.keep_spans(grid(m), u, "user").select("media_id", "clip", "start_ms", "end_ms")
 
 
 def i6(spark, d):
@@ -298,16 +290,10 @@ def s14(spark, d):
     return parse_srt(k3(spark, d))
 
 
-def j16(spark, d):
-    """J17's neighbour as a join: each transition turn with its medium's total."""
-    u, _, m = _base(spark, d)
-    return w2(spark, d).where("transition").join(m, "media_id").select("media_id", "seq", "total_ms")
-
-
 QUERIES = {
     "f1_overlap_predicate": f1, "f2_boundary_filter": f2, "f5_x1_a13_sentence_words_hooks": f5, "i1_clip_to_window": i1, "i2_shrink": i2, "i3_complement": i3, "i4_merge_gap_events": i4, "i4_merge_gap_turns": i4_turns,
     "i5_keep_ranges": i5, "i6_complement_of_keep": i6, "i7_keep_spans": i7, "i8_foreign_turns": i8, "i9_union_of_cuts": i9, "i10_time_remap": i10, "i11_durations": i11, "i12_resolve_window": i12, "i12_resolve_every_window": i12_every, "i13_greedy_split": i13, "i14_best_cut": i14,
-    "j1_window_text": j1, "j2_window_silences": j2, "c2_j3_m2_cut_points": c2, "j4_nearest_snap": j4, "j5_label_gap_fill": j5, "j6_speaker_totals": j6, "j16_transition_totals": j16, "j17_neighbour_overlap": j17,
+    "j1_window_text": j1, "j2_window_silences": j2, "c2_j3_m2_cut_points": c2, "j4_nearest_snap": j4, "j5_label_gap_fill": j5, "j6_speaker_totals": j6, "j17_neighbour_overlap": j17,
     "m1_clip_score": m1, "c1_build_clips": c1, "t1_w1_best_clips": w1, "w2_transition_zone": w2, "w4_first_appearance": w4, "a1_seconds_by_speaker": a1, "a3_first_samples": a3, "a5_ordered_text": a5, "a6_persona_report": a6, "a14_fingerprint": a14, "a16_last_end": a16,
     "k3_srt_text": k3, "k4_briefing": k4, "s14_srt_parse": s14,
 }
@@ -339,8 +325,8 @@ ORACLE = {
 f AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY media_id ORDER BY t) <= 7200000 THEN 0 ELSE 1 END AS f FROM e),
 g AS (SELECT *, sum(f) OVER (PARTITION BY media_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM f)
 SELECT media_id, min(t) AS start_ms, max(t) AS end_ms, count(*) AS n FROM g GROUP BY media_id, k""",
-    "i4_merge_gap_turns": _U + """, f AS (SELECT *, CASE WHEN start_ms - max(end_ms) OVER (PARTITION BY media_id, speaker ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 250 THEN 0 ELSE 1 END AS f FROM u),
-g AS (SELECT *, sum(f) OVER (PARTITION BY media_id, speaker ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS k FROM f)
+    "i4_merge_gap_turns": _U + """, f AS (SELECT *, CASE WHEN lag(speaker) OVER w = speaker AND start_ms - lag(end_ms) OVER w <= 250 THEN 0 ELSE 1 END AS f FROM u WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, seq)),
+g AS (SELECT *, sum(f) OVER (PARTITION BY media_id ORDER BY start_ms, seq ROWS UNBOUNDED PRECEDING) AS k FROM f)
 SELECT media_id, speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM g GROUP BY media_id, speaker, k""",
     "i5_keep_ranges": _GC + " SELECT media_id, clip, a AS start_ms, b AS end_ms FROM kept",
     "i6_complement_of_keep": _I7 + """, e AS (SELECT media_id, clip, w_start, start_ms, end_ms FROM keep UNION ALL SELECT media_id, clip, w_start, w_end, w_end FROM grid)
@@ -353,7 +339,7 @@ r AS (SELECT *, coalesce(sum(b - a) OVER (PARTITION BY media_id, clip ORDER BY a
 SELECT t.media_id, t.seq, t.clip, CAST((SELECT arg_min(gone + greatest(0, t.t - a), a) FROM r WHERE r.media_id = t.media_id AND r.clip = t.clip AND t.t <= b) AS BIGINT) AS clip_ms FROM t""",
     "i11_durations": _GC + " SELECT cw.media_id, cw.clip, CAST(sum(b - a) AS BIGINT) AS final_ms, CAST(greatest(0, min(w_end - w_start) - sum(b - a)) AS BIGINT) AS removed_ms FROM cw JOIN kept k ON k.media_id = cw.media_id AND k.clip = cw.clip GROUP BY ALL",
     "i12_resolve_every_window": _G + ", a AS (SELECT media_id, clip, clip % 5 <> 0 AS snap, CASE WHEN clip % 3 = 1 THEN w_start + 400 ELSE w_start - 5000 END AS t FROM grid), b AS (SELECT media_id, clip, clip % 5 <> 0 AS snap, CASE WHEN clip % 4 = 3 THEN w_end - 400 ELSE w_end + 3000 END AS t FROM grid), sa AS (SELECT media_id, clip, greatest(0, CASE WHEN snap THEN coalesce(" + _SNAP.format(m="start_ms") + ", t) ELSE t END) AS start_ms FROM a p), sb AS (SELECT media_id, clip, CASE WHEN snap THEN coalesce(" + _SNAP.format(m="end_ms") + ", t) ELSE t END AS e FROM b p) SELECT sa.media_id, sa.clip, sa.start_ms, greatest(sa.start_ms + 1000, e) AS end_ms FROM sa JOIN sb USING (media_id, clip)",
-    "i12_resolve_window": _G + ", a AS (SELECT media_id, clip, w_start - 5000 AS t FROM grid WHERE clip % 2 = 0), b AS (SELECT media_id, clip, w_end + 3000 AS t FROM grid WHERE clip % 2 = 0), sa AS (SELECT media_id, clip, greatest(0, coalesce(" + _SNAP.format(m="start_ms") + ", t)) AS start_ms FROM a p), sb AS (SELECT media_id, clip, coalesce(" + _SNAP.format(m="end_ms") + ", t) AS e FROM b p) SELECT sa.media_id, sa.clip, sa.start_ms, greatest(sa.start_ms + 1000, e) AS end_ms FROM sa JOIN sb USING (media_id, clip)",
+    "i12_resolve_window": _G + ", a AS (SELECT media_id, clip, w_start - 5000 AS t FROM grid), b AS (SELECT media_id, clip, w_end + 3000 AS t FROM grid), sa AS (SELECT media_id, clip, greatest(0, coalesce(" + _SNAP.format(m="start_ms") + ", t)) AS start_ms FROM a p), sb AS (SELECT media_id, clip, coalesce(" + _SNAP.format(m="end_ms") + ", t) AS e FROM b p) SELECT sa.media_id, sa.clip, sa.start_ms, greatest(sa.start_ms + 1000, e) AS end_ms FROM sa JOIN sb USING (media_id, clip)",
     "i13_greedy_split": _U + "," + WINDOWS + "," + POINTS + "," + SPLIT.replace("60000", "20000") + " SELECT * FROM pieces",
     "i14_best_cut": _G + "," + POINTS + " SELECT g.media_id, clip, arg_max(time_ms, (quality, time_ms)) AS time_ms, CAST(max(quality) AS BIGINT) AS quality FROM grid g JOIN pts p ON p.media_id = g.media_id AND time_ms BETWEEN w_start AND w_end GROUP BY ALL",
     "j1_window_text": _G + ", cw AS (SELECT * FROM grid)," + TEXTS + " SELECT cw.*, coalesce(text, '') AS text FROM cw LEFT JOIN txt USING (media_id, clip)",
@@ -362,7 +348,6 @@ SELECT t.media_id, t.seq, t.clip, CAST((SELECT arg_min(gone + greatest(0, t.t -
     "j4_nearest_snap": _G + ", p AS (SELECT media_id, clip AS id, w_start AS t FROM grid) SELECT media_id, id, t, coalesce(" + _SNAP.format(m="start_ms") + ", t) AS snapped FROM p",
     "j5_label_gap_fill": _U + ", k AS (SELECT * FROM u WHERE seq % 3 <> 2) SELECT media_id, seq, (SELECT arg_min(speaker, (abs(k.start_ms - u.start_ms), k.start_ms)) FROM k WHERE k.media_id = u.media_id) AS label FROM u",
     "j6_speaker_totals": _G + " " + _J6,
-    "j16_transition_totals": _U + f", t AS (SELECT media_id, seq, {_W2} AS t FROM u WINDOW w AS (PARTITION BY media_id ORDER BY seq)) SELECT media_id, seq, total_ms FROM t JOIN med USING (media_id) WHERE t",
     "j17_neighbour_overlap": _G + ", g AS (SELECT media_id, clip, w_start, w_end + CASE WHEN clip % 2 = 0 THEN 3000 ELSE 0 END AS w_end FROM grid), n AS (SELECT *, lead(clip) OVER w AS next_clip, lead(w_start) OVER w AS ns FROM g WINDOW w AS (PARTITION BY media_id ORDER BY w_start)) SELECT media_id, clip, next_clip FROM n WHERE ns < w_end",
     "m1_clip_score": _U + f" SELECT media_id, seq, {score('text', '(end_ms - start_ms)')} AS score FROM u",
     "c1_build_clips": _CLIPS + " SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY w_start) AS INT) AS clip_index, w_start AS start_ms, w_end AS end_ms, text, score, kept_ms, greatest(0, w_end - w_start - kept_ms) AS removed_ms FROM rk JOIN kt USING (media_id, clip) WHERE rk <= 60",
@@ -372,8 +357,11 @@ SELECT t.media_id, t.seq, t.clip, CAST((SELECT arg_min(gone + greatest(0, t.t -
     "a1_seconds_by_speaker": _U + " SELECT speaker, round(CAST(sum(end_ms - start_ms) AS DOUBLE) / 1000, 1) AS seconds, count(*) AS n FROM u GROUP BY speaker",
     "a3_first_samples": _U + ", r AS (SELECT media_id, speaker, CAST(row_number() OVER (PARTITION BY media_id, speaker ORDER BY seq) AS INT) AS k, text FROM u WHERE length(text) >= 25) SELECT * FROM r WHERE k <= 5",
     "a5_ordered_text": _U + " SELECT media_id, string_agg(text, ' ' ORDER BY seq) AS text FROM u GROUP BY media_id",
-    "a6_persona_report": _G + f", t AS ({_J6}), s AS (SELECT media_id, clip, CAST(sum(CASE WHEN speaker = 'user' THEN ms ELSE 0 END) AS BIGINT) AS persona_ms, CAST(sum(CASE WHEN speaker <> 'user' THEN ms ELSE 0 END) AS BIGINT) AS others_ms FROM t GROUP BY ALL), p AS (SELECT *, others_ms / CAST(CASE WHEN persona_ms + others_ms > 0 THEN persona_ms + others_ms ELSE 1000 END AS DOUBLE) AS x FROM s) SELECT media_id, clip, persona_ms, others_ms, CASE WHEN x < 0.15 THEN 'limpo' WHEN x <= 0.5 THEN 'contaminado' ELSE 'comprometido' END AS status FROM p",
-    "a14_fingerprint": _G + " SELECT media_id, substr(sha256(string_agg(clip || ':' || (w_start // 10) || ':' || (w_end // 10) || ';', '' ORDER BY clip)), 1, 16) AS fingerprint FROM grid GROUP BY media_id",
+    "a6_persona_report": _G + f""", t AS ({_J6}), s AS (SELECT media_id, clip, coalesce(sum(ms) FILTER (speaker = 'user'), 0) AS p, coalesce(sum(ms) FILTER (speaker <> 'user'), 0) AS o FROM grid LEFT JOIN t USING (media_id, clip) GROUP BY ALL),
+r AS (SELECT *, CAST(o AS DOUBLE) / CAST(CASE WHEN p + o > 0 THEN p + o ELSE 1000 END AS DOUBLE) AS x FROM s)
+SELECT media_id, clip, round(CAST(p AS DOUBLE) / 1000, 1) AS persona_s, round(CAST(o AS DOUBLE) / 1000, 1) AS outros_s, CAST(round_even(x * 100, 0) AS BIGINT) AS outros_pct, CASE WHEN x < 0.15 THEN 'limpo' WHEN x <= 0.5 THEN 'contaminado' ELSE 'comprometido' END AS status FROM r""",
+    "a14_fingerprint": _G + """, c AS (SELECT media_id, clip, 'clip_' || format('{:03d}', clip + 1) AS id, (w_start + 5) // 10 AS a, (w_end + 5) // 10 AS b FROM grid)
+SELECT media_id, substr(sha256(string_agg(format('{}:{}.{:02d}:{}.{:02d};', id, a // 100, a % 100, b // 100, b % 100), '' ORDER BY clip)), 1, 16) AS fingerprint FROM c GROUP BY media_id""",
     "a16_last_end": _U + " SELECT media_id, arg_max(end_ms, seq) AS limit_ms FROM u GROUP BY media_id",
     "k3_srt_text": _U + ", n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY seq) AS n FROM u WHERE text <> '' AND end_ms > start_ms) SELECT media_id, string_agg(n || chr(10) || " + _CLOCK.format("start_ms") + " || ' --> ' || " + _CLOCK.format("end_ms") + " || chr(10) || replace(text, chr(10), ' ') || chr(10), chr(10) ORDER BY n) AS srt FROM n GROUP BY media_id",
     "k4_briefing": _U + " SELECT media_id, string_agg('[' || (start_ms // 1000) || 's] (' || format('{:02d}:{:02d}', start_ms // 60000, start_ms // 1000 % 60) || ') ' || text, chr(10) ORDER BY seq) AS briefing FROM u GROUP BY media_id",
