@@ -10,13 +10,19 @@ that must be joined is one token: the rarest. Rarity is the token's count over a
    and length bounds drop what would stick out; the words there are compared exactly.
 4. Hits are gathered by document: covered words by a fold over ascending starts, items as a set.
 
-The item side is broadcast only while its rows are at most ``most_broadcast``; beyond that the same
-joins shuffle by token, where AQE splits skewed keys.
+The item side is broadcast only while it has at most ``most_broadcast`` rows and ``most_bytes`` bytes,
+both counted. Beyond that, (token, place) rows, without the text, are joined by token with one row for
+each window, where adaptive execution splits skewed tokens; what passes the bounds is compared in a
+join with the texts of those documents. Both ways give the same rows.
+
+Beyond it rows are known by id and a digest of the text: rows equal in both are found once and each get the result.
 
 Defined cases: a null or empty text has no words, so no hits; null or empty items give no windows;
-equal windows of several items count for each of them; item ids that repeat count once; rows that
-repeat a doc_id are judged one by one; empty tables give no hits or no rows; other columns are kept
-by ``clean`` and ignored by ``hits``.
+equal windows of several items count for each of them; item ids that repeat count once; a null item
+id's windows hit words but name no item; of tokens that tie in rarity the smallest, at its first
+offset, counts, which changes no result; rows that repeat a doc_id are judged by their own texts, null
+ids too; a very long text is one array of words; empty tables give no hits or no rows; other columns,
+whatever their names, are kept by ``clean`` and ignored by ``hits``.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, small, table, words_by
+from .common import ascii_lower, cut, table, words_by
 
 #: Fixed value: what separates words, all ASCII but digits and letters (after lower-casing).
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -43,34 +49,57 @@ def windows(items: DataFrame, window: int = 10) -> DataFrame:
     return each.groupBy("w").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids")).withColumn("n", F.size("w"))
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = 10, most_broadcast: int = 200_000) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, item_ids (sorted as strings)."""
-    w = F.col("_w")
+def digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def _fits(df: DataFrame, size: Column, most_rows: int, most_bytes: int) -> bool:
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= most_rows and total <= most_bytes
+
+
+def hits(docs: DataFrame, items: DataFrame, window: int = 10, most_broadcast: int = 200_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """Per row of docs: doc_id, h (the text's digest), n_words, n_hit, n_items, item_ids (sorted as strings)."""
     wins = cut(windows(items, window))
     offered = wins.select("w", "n", F.posexplode("w").alias("off", "token"))
-    words = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), _words(F.col("text")).alias("_w"))
+    words = docs.select("doc_id", digest(F.col("text")).alias("h"), _words(F.col("text")).alias("_w"))
     tokens = cut(offered.select("token").distinct())
-    common = words.select(F.explode("_w").alias("token")).join(small(tokens, most_broadcast), "token").groupBy("token").count()
+    each = words.select(F.explode("_w").alias("token"))
+    if _fits(tokens, F.octet_length("token"), most_broadcast, most_bytes):
+        common = each.join(F.broadcast(tokens), "token").groupBy("token").count()
+    else:
+        common = each.groupBy("token").count().join(tokens, "token")
     ranked = offered.join(common, "token", "left").fillna(0, ["count"]).groupBy("w", "n").agg(F.min_by(F.struct("token", "off"), F.struct("count", "token", "off")).alias("p"), F.min("count").alias("rarest"))
     ranked = ranked.where("rarest > 0").join(wins.select("w", "ids"), "w")  # a token that no document has rules its window out
-    prefix = ranked.groupBy(F.col("p.token").alias("token")).agg(F.collect_list(F.struct("w", "n", F.col("p.off").alias("off"), "ids")).alias("of"))
-    # an empty token ends each document and meets an empty list: every document comes out once at least
-    marker = docs.sparkSession.range(1).select(F.lit("").alias("token"), F.lit(None).cast(prefix.schema["of"].dataType).alias("of"))
-    keys = small(cut(prefix.unionByName(marker)), most_broadcast)
-    placed = words.select("doc_id", "_row", "_w", F.size("_w").cast("long").alias("n_words"), F.posexplode(F.array_append("_w", F.lit(""))).alias("at", "token"))
-    met = placed.join(keys, "token")
-    met = met.select("doc_id", "_row", "_w", "n_words", "at", F.explode_outer("of").alias("x"))
-    begin = F.col("at") - F.col("x.off")
-    whole = F.col("x").isNotNull() & (begin >= 0) & (begin + F.col("x.n") <= F.col("n_words"))
-    real = whole & (F.when(whole, F.slice(w, F.greatest(begin, F.lit(0)) + 1, F.col("x.n"))) == F.col("x.w"))
-    met = met.where(F.col("x").isNull() | real).select("doc_id", "_row", "n_words", F.when(real, F.struct(begin.alias("b"), (begin + F.col("x.n")).alias("e"))).alias("span"), F.when(real, F.col("x.ids")).alias("ids"))
-    gathered = met.groupBy("doc_id", "_row", "n_words").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids"))
+    prefix = cut(ranked.select(F.col("p.token").alias("token"), F.col("p.off").cast("long").alias("off"), "w", "n", "ids"))
+    begin = F.col("at") - F.col("off")
+    inside = (begin >= 0) & (begin + F.col("n") <= F.col("n_words"))
+    there = F.slice("_w", (begin + 1).cast("int"), F.col("n")) == F.col("w")
+    placed = words.withColumn("n_words", F.size("_w").cast("long"))
+    weight = F.octet_length(F.array_join("w", " ")) + F.octet_length(F.array_join("ids", " ")) + 64
+    span = F.struct(begin.alias("b"), (begin + F.col("n")).alias("e"))
+    spans, of = F.sort_array(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids")
+    if _fits(prefix, weight, most_broadcast, most_bytes):
+        # one pass: each row's first word comes out in any case, so that rows without hits do
+        each = placed.withColumn("_row", F.monotonically_increasing_id()).select("doc_id", "h", "_row", "_w", "n_words", F.posexplode_outer("_w").alias("at", "token"))
+        met = each.join(F.broadcast(prefix), "token", "left")
+        real = F.coalesce(inside & F.when(inside, there), F.lit(False))
+        met = met.select("doc_id", "h", "_row", "n_words", "at", F.when(real, span).alias("span"), F.when(real, F.col("ids")).alias("ids")).where("span is not null or at is null or at = 0")
+        out = met.groupBy("doc_id", "h", "_row", "n_words").agg(spans, of).drop("_row")
+    else:
+        met = placed.select("doc_id", "h", "n_words", F.posexplode("_w").alias("at", "token")).join(prefix, "token").where(inside)
+        met = met.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "at", "off", "n", "w", "ids").distinct()
+        met = words.join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).where(there)
+        found = met.select("_id", "_h", span.alias("span"), "ids").groupBy("_id", "_h").agg(spans, of)
+        out = placed.select("doc_id", "h", "n_words").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    zero = F.lit(0).cast("long")
     hit = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")),
-        lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["e"] - F.greatest(s["b"], acc["to"]))).alias("n"), F.greatest(acc["to"], s["e"]).alias("to")),
+        F.coalesce("spans", F.array().cast("array<struct<b:bigint,e:bigint>>")),
+        F.struct(zero.alias("n"), zero.alias("to")),
+        lambda acc, s: F.struct((acc["n"] + F.greatest(zero, s["e"] - F.greatest(s["b"], acc["to"]))).alias("n"), F.greatest(acc["to"], s["e"]).alias("to")),
     )["n"]
-    return gathered.select("doc_id", "_row", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
+    ids = F.coalesce("item_ids", F.array().cast("array<string>"))
+    return out.select("doc_id", "h", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,10 +108,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the rows that hold a window of an item; a row is known by its id and its text's digest."""
-    own = F.struct("doc_id", F.unhex(F.md5("text")).alias("text"))
-    bad = hits(docs.select(own.alias("doc_id"), "text"), items).where("n_hit > 0").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.text").alias("_text")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.unhex(F.md5(docs["text"])) == F.col("_text")), "left_anti")
+    """docs without the rows that hold a window of an item."""
+    bad = hits(docs.select("doc_id", "text"), items).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    held = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", digest(F.col("text")).alias("h"))
+    return held.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_anti").select("_doc.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
