@@ -5,13 +5,17 @@ responses at one instant the largest record_id counts. Validators are checked: e
 comparison if both have one, else last-modified dates if both have one. A resolved revisit's headers
 are the response's, overlaid with those that a not-modified reply may change.
 
-A url may hold a third of all records. Records are dealt to (url, time range); each range's last
-response is found by a grouped maximum, carried over ranges in a window of a few rows, and searched
-within the range, so no task holds a url.
-
-Defined cases: a null url is one key; a null time never resolves; null headers count as none; a
-revisit without an earlier response is an orphan; without shared validators it is unverified, and
-merged all the same; on a mismatch nothing is merged; an empty table gives an empty result.
+A url may hold a third of all records, and an instant too. Responses are first reduced to one for each
+(url, instant). Instants are dealt to ranges between quantiles of time; each range's last response is a
+grouped maximum, carried over ranges in a window of a few rows, and searched within the range, so no
+task holds a url. Revisits themselves are only joined, on (url, instant).
+
+Defined cases: what isn't a url (null, empty, no scheme or no host) has no canonical url, and no revisit to
+it resolves; a null time never resolves; null headers count as none; a revisit without an earlier
+response is an orphan; without shared validators it is unverified, and merged all the same; on a
+mismatch nothing is merged; of responses that tie in instant and record_id the one of the
+larger header text counts; repeated rows are resolved one by one; very long urls and headers are
+whole values; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +31,18 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "va
 
 
 def canonical(url: Column) -> Column:
-    """https, lower-case host, no default port, fragment, tracking parameters or closing slash."""
+    """https, lower-case host, no default port, fragment, tracking parameters or closing slash; null for no url."""
     u = F.regexp_replace(F.coalesce(url, F.lit("")), "#.*$", "")
     u = F.regexp_replace(u, "(?<=[?&])(?:utm_[a-z]+|ref)=[^&]*(?:&|$)", "")
     u = F.regexp_replace(u, "[?&]+$", "")
     host = ascii_lower(F.regexp_replace(F.regexp_extract(u, "://([^/?]*)", 1), ":(?:80|443)$", ""))
     rest = F.regexp_replace(F.regexp_extract(u, "://[^/?]*(.*)$", 1), "/+$", "")
-    return F.concat(F.lit("https://"), host, rest)
+    return F.when(u.rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/?]"), F.concat(F.lit("https://"), host, rest))
+
+
+def _range(ts: Column, borders: list[int]) -> Column:
+    """How many of the borders, few and ascending, ts has reached."""
+    return F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b <= ts)) if borders else F.lit(0)
 
 
 def resolve(records: DataFrame, ranges: int = 256) -> DataFrame:
@@ -43,18 +52,16 @@ def resolve(records: DataFrame, ranges: int = 256) -> DataFrame:
     Result: record_id, canonical_url, ts, target_id, target_ts, outcome, headers.
     """
     r = records.select("record_id", canonical(F.col("url")).alias("canonical_url"), "ts", "kind", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"))
-    lo, hi = records.agg(F.min("ts"), F.max("ts")).first()
-    width = max(1, ((hi or 0) - (lo or 0)) // ranges + 1)
-    r = r.withColumn("_range", F.floor((F.col("ts") - F.lit(lo or 0)) / width))
-    full = F.when((F.col("kind") == "response") & F.col("ts").isNotNull(), F.struct("ts", "record_id", "headers"))
-    # a response at the same instant sorts after revisits, so that it isn't earlier than them
-    within = W.partitionBy("canonical_url", "_range").orderBy("ts", F.col("kind") == "response", "record_id").rowsBetween(W.unboundedPreceding, -1)
-    r = r.withColumns({"_full": full, "_near": F.last(full, ignorenulls=True).over(within)})
-    last = r.where(F.col("_full").isNotNull()).groupBy("canonical_url", "_range").agg(F.max_by("_full", F.struct("ts", "record_id")).alias("_last"))
-    revisits = r.where("kind = 'revisit'")
-    seen = revisits.select("canonical_url", "_range").distinct().join(last, ["canonical_url", "_range"], "full")
-    carried = seen.withColumn("_far", F.last("_last", ignorenulls=True).over(W.partitionBy("canonical_url").orderBy("_range").rowsBetween(W.unboundedPreceding, -1))).select("canonical_url", "_range", "_far")
-    met = revisits.join(carried, ["canonical_url", "_range"], "left").withColumn("_t", F.when(F.col("ts").isNotNull(), F.coalesce("_near", "_far")))
+    placed = r.where("canonical_url is not null and ts is not null")
+    quantiles = records.agg(F.percentile_approx("ts", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(20 * ranges))).first()[0]
+    full = placed.where("kind = 'response'").groupBy("canonical_url", "ts").agg(F.max_by(F.struct("ts", "record_id", "headers"), F.struct("record_id", header_text(F.col("headers")))).alias("_full"))
+    asked = placed.where("kind = 'revisit'").select("canonical_url", "ts").distinct()
+    times = asked.withColumn("_asked", F.lit(True)).join(full, ["canonical_url", "ts"], "full").withColumn("_range", _range(F.col("ts"), sorted(set(quantiles or []))))
+    near = F.last("_full", ignorenulls=True).over(W.partitionBy("canonical_url", "_range").orderBy("ts").rowsBetween(W.unboundedPreceding, -1))
+    last = times.groupBy("canonical_url", "_range").agg(F.max_by("_full", F.when(F.col("_full").isNotNull(), F.col("ts"))).alias("_last"))
+    carried = last.withColumn("_far", F.last("_last", ignorenulls=True).over(W.partitionBy("canonical_url").orderBy("_range").rowsBetween(W.unboundedPreceding, -1))).select("canonical_url", "_range", "_far")
+    found = times.withColumn("_near", near).where("_asked").join(carried, ["canonical_url", "_range"]).select("canonical_url", "ts", F.coalesce("_near", "_far").alias("_t"))
+    met = r.where("kind = 'revisit'").join(found, ["canonical_url", "ts"], "left")
     target, own = F.col("_t.headers"), F.col("headers")
     tag = lambda h: F.regexp_replace(F.try_element_at(h, F.lit("etag")), "^W/", "")
     modified = lambda h: F.try_element_at(h, F.lit("last-modified"))
