@@ -2,16 +2,22 @@
 
 ``scan`` finds base spans (assign, access, hex) and candidate tokens in each whole text. A candidate
 is a run of 12 or more token characters that holds a letter and a digit; the network reads all of it
-with 20 characters before and after, in overlapping windows of 64, and the highest score counts. The
-network (one embedding, one convolution, max and mean pooling, one
-logistic output; numpy alone) is trained on labelled findings: base findings of a bounded sample of
-texts and made-up secrets are positive; other candidates of the sample and made-up ids, numbers,
-addresses and words are negative. Its outputs are calibrated on held-back findings, and the
-threshold is the largest that keeps the wanted recall there.
+with 20 characters before and after, in overlapping windows of 64, and the highest score counts. Every
+candidate is scored, those within base spans too, and each that passes is a span of kind cnn.
+
+The network (one embedding, one convolution, max and mean pooling, one logistic output; numpy alone) is
+trained on labelled findings. The tables label no secrets, so positives are made up, and planted in
+surroundings taken from a bounded sample of real texts; negatives are made-up ids, numbers, paths,
+digests and words planted alike, and the sample's own candidates that lie in no base span. Base
+findings label nothing. Some secrets and digests are drawn from one alphabet, so that only their
+surroundings tell them apart, and not always. Findings held back from training give the calibration
+(Platt's, with its smoothed targets) and the threshold: the largest that keeps the wanted recall there.
 
 Defined cases: a null or empty text has no span; overlapping spans of different kinds all count;
-a candidate inside a base span adds none; rows that repeat are scanned one by one; an empty table
-gives an empty result; other columns are ignored.
+spans that tie in their start stand in the order assign, access, hex, cnn; a very long text or candidate
+is read whole, in as many windows as it takes; rows that repeat are scanned one by one; without any
+text to sample, surroundings are made up too; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -81,6 +87,7 @@ class Network:
     out: np.ndarray
     shift: float
     slope: float = 1.0
+    level: float = 0.0
     threshold: float = 0.5
 
     @staticmethod
@@ -124,9 +131,9 @@ class Network:
         return np.array(top)
 
     def chances(self, each) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(each), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(each) + self.level, -30, 30)))
 
-    def train(self, x: np.ndarray, y: np.ndarray, passes: int = 6, rate: float = 0.02, batch: int = 64, seed: int = 4) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, passes: int = 12, rate: float = 0.01, batch: int = 64, decay: float = 0.002, seed: int = 4) -> None:
         r = np.random.RandomState(seed)
         names = ("embed", "conv", "bias", "out")
         mean, var, step = {n: 0.0 for n in names}, {n: 0.0 for n in names}, 0
@@ -148,38 +155,93 @@ class Network:
                     np.add.at(grad["embed"], x[b][:, k : k + n], dcols[:, :, k * dim : (k + 1) * dim])
                 step += 1
                 self.shift -= rate * d.sum()
+                grad["out"] += decay * self.out
+                grad["conv"] += decay * self.conv
                 for name in names:
                     mean[name] = 0.9 * mean[name] + 0.1 * grad[name]
                     var[name] = 0.99 * var[name] + 0.01 * grad[name] ** 2
                     setattr(self, name, getattr(self, name) - rate * (mean[name] / (1 - 0.9**step)) / (np.sqrt(var[name] / (1 - 0.99**step)) + 1e-8))
 
 
-def made_up(n: int, seed: int = 9) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label) of invented findings, half of them secrets."""
-    r = np.random.RandomState(seed)
-    pick = lambda chars, k: "".join(chars[i] for i in r.randint(0, len(chars), k))
-    syllables = ["the", "ing", "er", "an", "tion", "re", "on", "es", "ou", "de", "la", "en", "sch", "que"]
-    word = lambda: "".join(syllables[i] for i in r.randint(0, len(syllables), r.randint(1, 4)))
-    keys = ["key", "auth", "bearer", "credential", "access", "private", "pwd", "signature"]
+_LETTERS, _ALNUM, _HEX = string.ascii_letters, string.ascii_letters + string.digits, "0123456789abcdef"
+#: Words that stand before a made-up secret, and before a made-up digest or id.
+_SECRET_WORDS = ("key", "auth", "bearer", "credential", "access", "private", "pwd", "signature", "login", "session key")
+_PLAIN_WORDS = ("commit", "order", "build", "etag", "checksum", "ticket", "invoice", "file", "version", "part no")
+_ONSETS = ("b", "c", "ch", "d", "f", "g", "h", "j", "k", "l", "m", "n", "p", "ph", "pl", "pr", "qu", "r", "s", "sh", "st", "t", "th", "tr", "v", "w", "y", "z")
+_VOWELS, _ENDS = ("a", "e", "i", "o", "u", "ai", "ea", "ee", "io", "ou"), ("", "", "n", "r", "s", "t", "l", "d", "ng", "rt", "nt", "ck", "ng", "y")
+_SYLLABLES = ("the", "ing", "er", "an", "tion", "re", "on", "es", "ou", "de", "la", "en", "sch", "que")
+
+
+class _Maker:
+    """Draws made-up tokens: secrets of several issuers' shapes, and harmless runs of the same characters."""
+
+    def __init__(self, seed: int):
+        self.r = np.random.RandomState(seed)
+
+    def pick(self, chars: str, n: int) -> str:
+        return "".join(chars[i] for i in self.r.randint(0, len(chars), n))
+
+    def word(self) -> str:
+        """Syllables of common languages, or consonants and vowels in turn: readable either way."""
+        r = self.r
+        if r.rand() < 0.4:
+            return "".join(_SYLLABLES[i] for i in r.randint(0, len(_SYLLABLES), r.randint(1, 4)))
+        said = "".join(_ONSETS[r.randint(len(_ONSETS))] + _VOWELS[r.randint(len(_VOWELS))] for _ in range(r.randint(1, 4))) + _ENDS[r.randint(len(_ENDS))]
+        return said.capitalize() if r.rand() < 0.15 else said
+
+    def words(self) -> str:
+        return " ".join(self.word() for _ in range(self.r.randint(1, 6)))
+
+    def secret(self) -> str:
+        r, pick = self.r, self.pick
+        return [
+            lambda: pick(_ALNUM, r.randint(20, 48)),
+            lambda: pick(_ALNUM + "+/", r.randint(28, 60)) + "=",
+            lambda: pick(_HEX, r.randint(16, 31)),
+            lambda: "ghp_" + pick(_ALNUM, 36),
+            lambda: "sk_live_" + pick(_ALNUM, 24),
+            lambda: "xoxb-" + pick(string.digits, 11) + "-" + pick(_ALNUM, 24),
+            lambda: pick(string.ascii_lowercase, r.randint(2, 6)) + "_" + pick(_ALNUM, r.randint(20, 40)),
+        ][r.randint(7)]()
+
+    def harmless(self) -> str:
+        r, pick, word = self.r, self.pick, self.word
+        return [
+            lambda: word() + word() + word() + pick(string.digits, r.randint(1, 4)),
+            lambda: pick(string.digits, 4) + "-" + pick(string.digits, 2) + "-" + pick(string.digits, 2) + "T" + pick(string.digits, 6),
+            lambda: word() + "_" + word() + "_" + pick(string.digits, 2) + "/" + word(),
+            lambda: word() + "-" + word() + "-" + pick(string.digits, 3) + "-" + word(),
+            lambda: "/".join([word(), pick(string.digits, 4), word(), word()]),
+            lambda: "/" + "/".join("_".join([word(), *[pick(string.digits, r.randint(1, 5))] * r.randint(2), word()]) for _ in range(r.randint(3, 12))),
+            lambda: pick(_HEX, r.randint(12, 31)),
+            lambda: pick(string.ascii_uppercase, r.randint(2, 6)) + ["", "-", "_"][r.randint(3)] + pick(string.digits, r.randint(7, 15)),
+            lambda: "_".join([word(), pick(string.digits, r.randint(1, 3)), *[word() for _ in range(r.randint(1, 5))]]),
+        ][r.randint(9)]()
+
+
+def made_up(n: int, seed: int = 9, surroundings: list[tuple[str, str]] = ()) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label) of invented findings, half of them secrets, planted in the surroundings."""
+    m = _Maker(seed)
     out = []
     for k in range(n):
         secret = k % 2 == 0
-        if secret:
-            token = [lambda: pick(string.ascii_letters + string.digits, r.randint(20, 48)), lambda: pick(string.ascii_letters + string.digits + "+/", r.randint(28, 60)) + "=", lambda: pick("0123456789abcdef", r.randint(24, 48)), lambda: "ghp_" + pick(string.ascii_letters + string.digits, 36), lambda: "sk_live_" + pick(string.ascii_letters + string.digits, 24), lambda: "xoxb-" + pick(string.digits, 11) + "-" + pick(string.ascii_letters + string.digits, 24)][k // 2 % 6]()
+        token = (m.secret() if secret else m.harmless()).ljust(12, "e")
+        if not (any("0" <= c <= "9" for c in token) and any(c.isalpha() for c in token)):
+            token += "a7"
+        if len(surroundings) and m.r.rand() < 0.7:
+            lead, rest = surroundings[m.r.randint(len(surroundings))]
         else:
-            token = [lambda: word() + word() + word() + pick(string.digits, r.randint(1, 4)), lambda: pick(string.digits, 4) + "-" + pick(string.digits, 2) + "-" + pick(string.digits, 2) + "T" + pick(string.digits, 6), lambda: word() + "_" + word() + "_" + pick(string.digits, 2) + "/" + word(), lambda: word() + "-" + word() + "-" + pick(string.digits, 3) + "-" + word(), lambda: "/".join([word(), pick(string.digits, 4), word(), word()]), lambda: "/" + "/".join("_".join([word(), *[pick(string.digits, r.randint(1, 5))] * r.randint(2), word()]) for _ in range(r.randint(3, 12)))][k // 2 % 6]()
-            token = token.ljust(12, "e")
-        lead = " ".join(word() for _ in range(r.randint(1, 6))) + " "
-        if secret and r.rand() < 0.7:
-            lead += keys[r.randint(len(keys))] + [" = \"", ": ", "=", ": '", " "][r.randint(5)]
-        text = lead + token + ["\"", "'", "", "."][r.randint(4)] + " " + " ".join(word() for _ in range(r.randint(1, 6)))
-        out.append((text, len(lead), len(lead) + len(token), int(secret)))
+            lead, rest = m.words() + " ", " " + m.words()
+        told = _SECRET_WORDS if secret else _PLAIN_WORDS
+        if m.r.rand() < (0.7 if secret else 0.4):
+            lead += told[m.r.randint(len(told))] + [" = \"", ": ", "=", ": '", " "][m.r.randint(5)]
+        out.append((lead + token + ["\"", "'", "", "."][m.r.randint(4)] + rest, len(lead), len(lead) + len(token), int(secret)))
     return out
 
 
-def fit(findings: list[tuple[str, int, int, int]], recall: float = 0.95, made: int = 3000) -> Network:
+def fit(findings: list[tuple[str, int, int, int]], recall: float = 0.95, made: int = 3000, surroundings: list[tuple[str, str]] = ()) -> Network:
     """Train on two of three findings; calibrate and set the threshold on the third."""
-    findings = made_up(made) + findings
+    findings = made_up(made, surroundings=surroundings) + findings
     each = [windows(t, a, b) for t, a, b, _ in findings]
     y = np.array([f[3] for f in findings], float)
     back = np.arange(len(y)) % 3 == 2
@@ -187,31 +249,41 @@ def fit(findings: list[tuple[str, int, int, int]], recall: float = 0.95, made: i
     learned, held = [each[k] for k in np.flatnonzero(~back)], [each[k] for k in np.flatnonzero(back)]
     net.train(np.concatenate(learned), np.repeat(y[~back], [len(x) for x in learned]))
     z, v = net.logits(held), y[back]
-    s = 1.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(s * z, -30, 30)))
-        s = float(np.clip(s - ((p - v) @ z / len(z)) / ((p * (1 - p)) @ (z * z) / len(z) + 1e-6), 0.05, 20))
-    net.slope = s
+    # smoothed targets: held-back findings that the logit parts fully don't make it certain
+    aim = np.where(v == 1, (v.sum() + 1) / (v.sum() + 2), 1 / ((1 - v).sum() + 2))
+    s = np.array([1.0, 0.0])
+    x = np.stack([z, np.ones_like(z)], 1)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ s, -30, 30)))
+        s = s - np.linalg.solve((x.T * (p * (1 - p))) @ x / len(z) + 1e-3 * np.eye(2), x.T @ (p - aim) / len(z))
+        s[0] = np.clip(s[0], 0.05, 20)
+    net.slope, net.level = map(float, s)
     chances = np.sort(net.chances(held)[v == 1])
     net.threshold = float(chances[int((1 - recall) * len(chances))]) if len(chances) else 0.5
     return net
 
 
-def sample_findings(docs: DataFrame, most_texts: int = 400, most_chars: int = 4000) -> list[tuple[str, int, int, int]]:
-    """Labelled findings of a bounded sample: base findings against other candidates, cut to their surroundings."""
-    from .common import ship
+def sample_findings(docs: DataFrame, most_texts: int = 400, most_chars: int = 4000) -> tuple[list[tuple[str, int, int, int]], list[tuple[str, str]]]:
+    """Of a bounded sample of texts: candidates in no base span, as negatives, and surroundings to plant findings in.
 
+    Half of the sample are texts with a candidate, half any texts.
+    """
     ship(docs.sparkSession)
     likely = F.col("text").rlike("[A-Za-z+/_=-]{4,}[0-9][A-Za-z0-9+/_=-]{7,}|[0-9][0-9a-f]{31,}")
-    rows = docs.where(likely & (F.length("text") <= most_chars)).select("text", F.xxhash64("text").alias("k")).orderBy("k").limit(most_texts).collect()
-    out = []
-    for r in rows:
+    short = docs.where(F.length("text").between(1, most_chars)).select("text", F.xxhash64("text").alias("k"))
+    first = lambda df: df.orderBy("k", "text").limit(most_texts // 2).collect()
+    negatives, surroundings = [], []
+    for r in [*first(short.where(likely)), *first(short)]:
         base = base_spans(r.text)
         for a, b in candidates(r.text):
-            label = int(any(s <= a and b <= e or (a <= s and e <= b) for s, _, e in base))
-            lo = max(0, a - AROUND)
-            out.append((r.text[lo : b + WIDTH], a - lo, b - lo, label))
-    return out
+            if not any(s < b and a < e for s, _, e in base):
+                lo = max(0, a - AROUND)
+                negatives.append((r.text[lo : b + WIDTH], a - lo, b - lo, 0))
+        blanks = [m.start() for m in re.finditer(" ", r.text)]
+        for at in blanks[:: max(1, len(blanks) // 4)]:
+            if not any(s - 2 * AROUND < at < e + 2 * AROUND for s, _, e in base):
+                surroundings.append((r.text[max(0, at - 2 * AROUND) : at + 1], r.text[at : at + 2 * AROUND]))
+    return negatives, surroundings
 
 
 def scan(docs: DataFrame, net: Network) -> DataFrame:
@@ -227,9 +299,7 @@ def scan(docs: DataFrame, net: Network) -> DataFrame:
             tried = []
             for k, t in enumerate(texts):
                 if t:
-                    for a, b in candidates(t):
-                        if not any(s <= a and b <= e for s, _, e in found[k]):
-                            tried.append((k, a, b))
+                    tried += [(k, a, b) for a, b in candidates(t)]
             more: list[list] = [[] for _ in texts]
             p = net.chances(windows(texts[k], a, b) for k, a, b in tried)
             for (k, a, b), chance in zip(tried, p, strict=True):
@@ -247,5 +317,6 @@ def scan(docs: DataFrame, net: Network) -> DataFrame:
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = scan(docs, fit(sample_findings(docs)))
+    negatives, surroundings = sample_findings(docs)
+    found = scan(docs, fit(negatives, surroundings=surroundings))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
