@@ -77,6 +77,19 @@ def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def counted_out(df: DataFrame, low: Column, high: Column, name: str, step: int = 10_000) -> DataFrame:
+    """A row of df for each whole number from low to high, as name; none if high is below low.
+
+    Longer ranges than step are dealt out in parts, so that neither an array nor a task holds them.
+    """
+    here, far = high - low < step, high - low >= step
+    short = df.where(here & (high >= low)).withColumn(name, F.explode(F.sequence(low, high)))
+    parts = df.where(far).withColumn("__part__", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((high - low) / step)))).repartition(F.col("__part__"), low)
+    begin = low + F.col("__part__") * step
+    long = parts.withColumn(name, F.explode(F.sequence(begin, F.least(high, begin + step - 1)))).drop("__part__")
+    return short.unionByName(long)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; the built-in lower() is right, and fast, for pure ASCII."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

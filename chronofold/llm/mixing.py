@@ -10,9 +10,10 @@ all words stops at ``most_epochs`` times its own, and the excess is shared again
 in order of size by weight make that one running sum; sources are few next to rows, and only their
 totals meet in one task.
 
-Defined cases: a null or empty text has no words and takes none; a null source is a source; rows
-that repeat are one row with a count until the end; a source without words has target 0; an empty
-table gives an empty result; other columns are kept by ``mixed``.
+Defined cases: a null or empty text has no words and takes none; a very long text is one row, cut where the
+budget ends in it; a null source is a source; rows whose keys tie stand by id and size; rows that repeat
+are one row with a count until the end; a source without words has target 0; an empty table gives
+an empty result; other columns, whatever their names, are kept by ``mixed`` and ignored by ``mix``.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blank_words, cut, table
+from .common import blank_words, counted_out, cut, table
 
 SEED, RANGES_HEX = "mix-1", 3
 
@@ -46,7 +47,7 @@ def targets(sizes: DataFrame, most_epochs: int = 3) -> DataFrame:
 
 
 def mix(docs: DataFrame, most_epochs: int = 3) -> DataFrame:
-    """_key, _copy, doc_id, source, size, source_size, target, taken of each row of docs."""
+    """_key, _copy, _many, doc_id, source, size, source_size, target, taken of each row of docs."""
     rows = docs.select("doc_id", "source", F.size(blank_words(F.col("text"))).cast("long").alias("size"), _key().alias("_key"))
     rows = cut(rows.groupBy("source", "_key", "doc_id", "size").agg(F.count("*").alias("_many")).withColumn("_range", F.substring("_key", 1, RANGES_HEX)))
     words = F.col("size") * F.col("_many")
@@ -59,21 +60,27 @@ def mix(docs: DataFrame, most_epochs: int = 3) -> DataFrame:
     within = W.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("_begin", F.coalesce(F.sum(words).over(within), F.lit(0)))
     placed = placed.join(ranges, placed["source"].eqNullSafe(ranges["_s"]) & (placed["_range"] == ranges["_r"]))
-    placed = placed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_many"))))
+    placed = counted_out(placed, F.lit(1).cast("long"), F.col("_many"), "_copy")
     begin = F.col("_from") + F.col("_begin") + (F.col("_copy") - 1) * F.col("size")
     budget = F.round("target").cast("long")
     epochs = F.coalesce(F.try_divide(budget, F.col("source_size")).cast("long"), F.lit(0))
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - begin))
-    return placed.select("_key", "_copy", "doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return placed.select("_key", "_copy", "_many", "doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mixed(docs: DataFrame, most_epochs: int = 3) -> DataFrame:
     """The mix itself: each row as often as its epochs, and the row at a cut with its first words only."""
-    plan = mix(docs, most_epochs).where("taken > 0").select(F.col("source").alias("_s"), F.col("_key").alias("_k"), F.col("_copy").alias("_c"), F.col("size").alias("_size"), "taken")
+    plan = mix(docs, most_epochs).where("taken > 0").select(F.col("source").alias("_s"), F.col("_key").alias("_k"), F.col("_copy").alias("_c"), "_many", F.col("size").alias("_size"), "taken")
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("source").alias("_source"), _key().alias("_key"))
-    rows = rows.withColumn("_copy", F.row_number().over(W.partitionBy("_source", "_key").orderBy("_key")).cast("long"))
-    met = rows.join(plan, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_k")) & (F.col("_copy") == F.col("_c")))
+    of = (F.col("_key") == F.col("_k")) & F.col("_source").eqNullSafe(F.col("_s"))
+    met = rows.join(plan.where("_many = 1"), of)
+    again = cut(plan.where("_many > 1"))
+    if not again.isEmpty():  # only rows that repeat are numbered
+        repeated = rows.join(again.select("_k", "_s").distinct(), of, "left_semi")
+        repeated = repeated.withColumn("_copy", F.row_number().over(W.partitionBy("_source", "_key").orderBy("_key")).cast("long"))
+        met = met.unionByName(repeated.join(again, of & (F.col("_copy") == F.col("_c"))).drop("_copy"))
+    # at most most_epochs turns
     met = met.withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.try_divide(F.col("taken") - 1, F.col("_size")).cast("long"))))
     words = F.least(F.col("_size"), F.col("taken") - F.col("_turn") * F.col("_size"))
     cut_short = words < F.col("_size")

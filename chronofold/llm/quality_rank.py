@@ -9,9 +9,11 @@ gives the output score, 0.3 at the cut.
 Labels are learned from at most ``most_rows`` rows (those of the smallest id hashes) outside the
 held-out fold, in at most ``most_pairs`` pairs; every text is measured and scored.
 
-Defined cases: a null or empty text is measured as no words and scored like any other; rows that
-repeat are scored one by one; an empty table gives an empty result; without labels of both classes
-every score is 0.5; a null doc_id is held in neither fold's training and held_out is false for it.
+Defined cases: a null or empty text is measured as no words and scored like any other; a very long text
+is measured whole; rows that repeat are scored one by one; of quantiles that tie the middle one is
+the cut; a label that repeats counts as often, up to most_rows; an empty table gives an empty result;
+without labels of both classes every score is 0.5; a null doc_id is held in neither fold's training
+and held_out is false for it; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -112,7 +114,7 @@ def learn(x: np.ndarray, good: np.ndarray, cutoff: float = 0.3, most_pairs: int
             w -= 0.3 * g / np.sqrt(grad2)
     s = f @ w
     tried = np.unique(np.quantile(s, np.linspace(0, 1, 401)))
-    # the cut: the score quantile of best balanced error, halfway to the next score below
+    # the cut: the score quantile of best accuracy on the training labels, halfway to the next score below
     bad_to = np.searchsorted(np.sort(s[~good]), tried) / max(1, (~good).sum())
     good_to = np.searchsorted(np.sort(s[good]), tried) / max(1, good.sum())
     share = good.mean()

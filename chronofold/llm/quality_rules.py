@@ -4,10 +4,11 @@
 conjunctions by sequential covering on the statistics of labelled rows; ``verdict`` turns the
 ordered list into one Spark conditional expression.
 
-Defined cases: a null or empty text has zero for each statistic and fails the base rules; repeated
-rows are judged one by one; an empty table gives an empty result; without labels of both classes
-the list is empty and only the base rules decide; other columns are kept, and a column that bears
-the name of a statistic is replaced.
+Defined cases: a null or empty text has zero for each statistic and fails the base rules; a very long text
+is measured whole, in its row; repeated rows are judged one by one; of conditions that tie in gain the
+first feature and threshold wins, so runs agree; a label that repeats counts as often, up to most_rows; an
+empty table gives an empty result; without labels of both classes the list is empty and only the
+base rules decide; other columns are kept, and a column that bears the name of a statistic is replaced.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ Rows rank within their arc. Equal rows are one row with a count until the end, s
 however often, is never gathered.
 
 Defined cases: a null text has no bytes (size 1, checksum 0); a null doc_id is a key of its own for
-each text; rows that repeat are placed one by one; an empty table gives an empty result; more shards
-than rows leave shards empty; other columns are ignored.
+each text; a very long text counts as one row; keys that tie in arc and hash stand by id, checksum
+and size; rows that repeat are placed one by one; an empty table gives an empty result; more shards
+than rows leave shards empty; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import counted_out, table
 
 ARCS = 1 << 16
 
@@ -75,7 +76,8 @@ def assign(docs: DataFrame, shards: int, nodes: int = 128) -> DataFrame:
     rows = rows.withColumn("_rank", F.coalesce(F.sum("_many").over(before), F.lit(0)))
     low, high = F.greatest("_rank", "_from"), F.least(F.col("_rank") + F.col("_many"), F.col("_to"))
     # at most ARCS segments and one more for each shard that fills up: a bounded broadcast
-    met = rows.join(F.broadcast(segments), "_arc").where(low < high).withColumn("_at", F.explode(F.sequence(low, high - 1)))
+    met = rows.join(F.broadcast(segments), "_arc").where(low < high).select("doc_id", "size", "text_crc32", "shard", "_slot", "_from", low.alias("_low"), (high - 1).alias("_high"))
+    met = counted_out(met, F.col("_low"), F.col("_high"), "_at")
     return met.select("doc_id", "size", "text_crc32", "shard", (F.col("_slot") + F.col("_at") - F.col("_from")).alias("slot"))
 
 

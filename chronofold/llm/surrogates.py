@@ -12,14 +12,15 @@ the same word of its surrogate and count as names; small words (van, de) stay.
 
 Collision check: all distinct (entity, surrogate) pairs are gathered in Spark; surrogates that equal
 an entity of the corpus, or that two entities share, are drawn again under the next key until they
-are new, in joins. The redrawn entities go back as a broadcast while they are at most
-``most_exceptions``; beyond that they are joined with the mentions of each row. After ``attempts``
-draws without a new one (a given name of a short list may have none) the first draw stands; first
-draws differ among themselves as they permute a format, but can equal an entity of the corpus.
-
-Defined cases: a null text stays null; an empty one stays empty; overlapping finds: the earlier, then
-the longer one counts; rows that repeat get equal results; an empty table gives an empty result;
-other columns are kept by ``replaced``.
+are new, in joins, until none is left. From the third redraw on given names leave their list and are
+permuted like other words, and from the sixth on emails and names grow by a drawn letter at each, so that a
+format whose surrogates are all taken ends too. The redrawn entities go back as a broadcast while they
+are at most ``most_exceptions``; beyond that they are joined with the mentions of each row.
+
+Defined cases: a null text stays null; an empty one stays empty; a very long one is read whole; overlapping
+finds: the earlier, then the longer, then the first kind of email, ip, card, name, phone in code
+order counts; rows that repeat get equal results; an empty table gives an empty result; other columns are
+kept by ``replaced``, but for those named n_ and a kind, which are replaced.
 """
 
 from __future__ import annotations
@@ -50,8 +51,14 @@ _SMALLS = rf"(?:(?:{'|'.join(SMALL)}) )*"
 #: A title and a name: words, initials and small words as far as they go; of a script without case, one word.
 NAME = re.compile(rf"\b({'|'.join(TITLES)})(\.? )({_SMALLS}{_NEXT}(?: {_SMALLS}{_NEXT})*|(?![A-Za-zÀ-ɏͰ-ӿ])[^\W\d_]+)")
 GIVEN = {
-    "m": ("James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Peter", "Paul", "Hans", "Klaus", "Pierre", "Jean", "Carlos", "José"),
-    "f": ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Sarah", "Anna", "Ursula", "Monika", "Marie", "Claire", "Carmen", "Lucía", "Sofía"),
+    "m": (
+        "James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Peter", "Paul", "Hans", "Klaus", "Pierre", "Jean", "Carlos", "José",
+        "Joseph", "Charles", "Daniel", "Matthew", "Mark", "George", "Edward", "Henry", "Jürgen", "Wolfgang", "Dieter", "Stefan", "Michel", "Philippe", "François", "Luis", "Miguel", "Javier", "Pedro", "Diego",
+    ),
+    "f": (
+        "Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Sarah", "Anna", "Ursula", "Monika", "Marie", "Claire", "Carmen", "Lucía", "Sofía",
+        "Margaret", "Nancy", "Helen", "Emily", "Laura", "Alice", "Julia", "Emma", "Petra", "Sabine", "Renate", "Ingrid", "Nathalie", "Isabelle", "Sophie", "Camille", "María", "Ana", "Elena", "Isabel",
+    ),
 }
 KINDS = ("email", "phone", "card", "ip", "name")
 #: First and last characters of the ranges that letters and digits are drawn from; others stay.
@@ -116,14 +123,19 @@ def norm(kind: str, entity: str) -> str:
     return entity.lower() if kind == "email" else re.sub(r"[^\d+]", "", entity) if kind in ("phone", "card") else entity
 
 
+def _grown(entity: str, key: bytes, attempt: int) -> str:
+    """Letters that a late redraw adds, as many as it takes."""
+    return "".join(chr(97 + _draw(key, entity, attempt, k) % 26) for k in range(attempt - 5))
+
+
 def surrogate(kind: str, entity: str, key: bytes = KEY, attempt: int = 0) -> str:
     salt = f"{kind}/{attempt}"
     if kind == "email":
         user, _, host = entity.lower().partition("@")
         labels = host.split(".")
         at = ".".join([permuted(x, key, f"domain/{attempt}") for x in labels[:-1]] + labels[-1:])
-        new = permuted(user, key, salt) + "@" + at
-        return "".join(n.upper() if o.isupper() else n for o, n in zip(entity, new, strict=True))
+        new = permuted(user, key, salt)
+        return "".join(n.upper() if o.isupper() else n for o, n in zip(entity, new + "@" + at, strict=True)).replace("@", _grown(entity, key, attempt) + "@")
     if kind in ("card", "phone"):
         digits = re.sub(r"\D", "", entity)
         # a card keeps its first digit, a number with + its country's code (one digit for 1 and 7, else two)
@@ -145,13 +157,13 @@ def surrogate(kind: str, entity: str, key: bytes = KEY, attempt: int = 0) -> str
     m = NAME.fullmatch(entity)
     gender, (given, *more) = TITLES[m[1]], m[3].split(" ")
     lists = [g for g, names in GIVEN.items() if given in names and gender in ("", g)]
-    if lists:
+    if lists and attempt < 3:
         names = sorted(GIVEN[lists[0]], key=lambda n: _draw(key, salt, lists[0], n))
         given = names[(names.index(given) + 1) % len(names)]
     else:
-        more = [given, *more]
+        lists, more = [], [given, *more]
     new = [x if x in SMALL else permuted(x, key, salt) for x in more]
-    return m[1] + m[2] + " ".join([given, *new] if lists else new)
+    return m[1] + m[2] + " ".join([given, *new] if lists else new) + _grown(entity, key, attempt)
 
 
 def untitled(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int]]:
@@ -214,7 +226,7 @@ def entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return found.groupBy("kind", "entity").agg(F.min_by(F.struct("mention", "surrogate"), "mention").alias("m")).select("kind", "entity", "m.*")
 
 
-def exceptions(docs: DataFrame, key: bytes = KEY, attempts: int = 8) -> DataFrame:
+def exceptions(docs: DataFrame, key: bytes = KEY, attempts: int = 60) -> DataFrame:
     """(kind, entity, attempt) of the entities whose first surrogate collides: the draw that is new."""
     pairs = cut(entities(docs, key))
     used = pairs.select("kind", F.col("entity").alias("surrogate")).union(pairs.select("kind", "surrogate"))
@@ -235,9 +247,11 @@ def exceptions(docs: DataFrame, key: bytes = KEY, attempts: int = 8) -> DataFram
 
         return run
 
-    for n in range(1, attempts + 1):
-        if left.isEmpty():
-            break
+    n = 0
+    while not left.isEmpty():
+        n += 1
+        if n > attempts:  # of formats that can't grow, a whole number space would have to be taken
+            raise RuntimeError(f"no new surrogate in {attempts} draws for {[tuple(r) for r in left.select('kind', 'entity').limit(5).collect()]}")
         fresh = left.mapInArrow(draw(n), "kind string, entity string, surrogate string").join(used, ["kind", "surrogate"], "left_anti")
         won = cut(fresh.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity")))
         used, done = used.union(won.select("kind", "surrogate")), done.union(won.select("kind", "entity", F.lit(n)))

@@ -9,9 +9,11 @@ no further host is reached and the ranks of a kind, which sum to 1, change by at
 all. The graph knows hosts without userinfo and port; output and rules have the url's own.
 
 Defined cases: a null url or one without :// has empty host and path, fits no rule, and its verdict
-is the default; a null html has no links; a host that no walk reaches gets the default (allow); a
-host without outgoing edges keeps its rank; rows that repeat are judged one by one; an empty table
-gives an empty result; other columns are ignored.
+is the default; a null html has no links; a host that no walk reaches gets the default (allow), and so
+does one whose trust and distrust tie; a host without outgoing edges keeps its rank; of rules that fit
+and tie in length the later in their list counts; very long urls and pages are read whole; rows that
+repeat are judged one by one; an empty table gives an empty result; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -109,7 +111,8 @@ def judge(pages: DataFrame, rules: tuple = RULES, threshold: float = 0.5, tolera
     of = of.withColumns({"rule": rule, "rule_verdict": verdict})
     of = of.withColumn("key", host_key(F.col("host")))
     scores = host_scores(of.withColumn("host", F.col("key")), tolerance).select(F.col("host").alias("key"), "score")
-    met = of.drop("html").join(scores, "key", "left")
+    of = of.drop("html")
+    met = of.where("key <> ''").join(scores, "key", "left").unionByName(of.where("key = ''").withColumn("score", F.lit(None).cast("double")))  # no host, no score
     by_links = F.when(F.round("score", 9) < threshold, "block").otherwise("allow")
     return met.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", by_links).alias("verdict"), "score")
 
