@@ -23,10 +23,19 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
 
 
 def assign(df: DataFrame, key: str, vector: str, centroids: DataFrame, label: str, most: int = 10_000) -> DataFrame:
-    """Each row's label of greatest cosine, ties to the smaller label. The model of at most ``most`` centroids is one broadcast row."""
-    if centroids.count() > most:
-        raise ValueError(f"more than {most} centroids: assign by blocks of them")
-    model = centroids.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid").alias("c")))).alias("model"))
-    met = df.join(F.broadcast(model))
-    best = F.array_max(F.transform("model", lambda m: F.struct(F.round(dot(m["c"], unit(F.col(vector))), 9).alias("cosine"), (-m["label"]).alias("neg"))))
-    return met.withColumn("best", best).select(key, (-F.col("best.neg")).alias("nearest"), F.round("best.cosine", 4).alias("cosine"))
+    """Each row's label of greatest cosine, ties to the smaller label; key tells rows apart.
+
+    Centroids are one broadcast row, or beyond ``most`` one for each block of about as many, in turn.
+    """
+    blocks = max(1, -(-centroids.count() // most))
+    held = df.select(key, unit(F.col(vector)).alias("_v"))
+    found = None
+    for b in range(blocks):
+        part = centroids if blocks == 1 else centroids.where(F.pmod(F.xxhash64(label), F.lit(blocks)) == b)
+        model = part.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid").alias("c")))).alias("model"))
+        best = F.array_max(F.transform("model", lambda m: F.struct(F.round(dot(m["c"], F.col("_v")), 9).alias("cosine"), (-m["label"]).alias("neg"))))
+        one = held.join(F.broadcast(model)).select(key, best.alias("best"))
+        found = one if found is None else found.unionByName(one)
+    if blocks > 1:
+        found = found.groupBy(key).agg(F.max("best").alias("best"))
+    return found.select(key, (-F.col("best.neg")).alias("nearest"), F.round("best.cosine", 4).alias("cosine"))

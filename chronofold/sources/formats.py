@@ -161,7 +161,7 @@ def find_projects(spark: SparkSession, root: str, most_depth: int = 6) -> DataFr
     """Projects below root, newest first: name, path, clips, minutes, modified of each metadata.json with clips, at most so deep."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata.json").load(root)
     f = f.where(F.size(F.split(F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split(":", 1)[-1]) + "/", ""), "/")) <= most_depth)
-    j = f.select("path", F.col("modificationTime").alias("modified"), F.from_json(F.decode("content", F.lit("UTF-8")), METADATA)["clips"].alias("clips")).where(F.size("clips") > 0)
+    j = f.select("path", F.col("modificationTime").alias("modified"), F.from_json(F.col("content").cast("string"), METADATA)["clips"].alias("clips")).where(F.size("clips") > 0)
     seconds = F.aggregate("clips", F.lit(0.0), lambda acc, c: acc + F.coalesce(F.rtrim(c["final_duration"], F.lit("s")).try_cast("double"), F.lit(0.0)))
     folder = F.regexp_replace("path", "/[^/]*$", "")
     return j.select(F.element_at(F.split(folder, "/"), -1).alias("name"), folder.alias("path"), F.size("clips").alias("clips"), F.round(seconds / 60, 1).alias("minutes"), "modified").orderBy(F.desc("modified"), "path")
