@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import editorial as E
 from ..operators import intervals as I
 from ..operators import segment as S
@@ -149,8 +150,16 @@ def k8_payload(spark, d):
     return p.select("media_id", F.size(F.from_json("payload", "array<struct<id:string>>")).alias("n"), F.col("payload").rlike("[<>&]").alias("unsafe"))
 
 
+def k12(spark, d):
+    """The user's report of each grid window, printed in columns."""
+    u, _, m = _base(spark, d)
+    g = grid(m)
+    times = g.select("media_id", "clip", F.format_string("clip_%03d", F.col("clip") + 1).alias("clip_id"), T.clock(F.col("w_start") / 1000).alias("start"), T.clock(F.col("w_end") / 1000).alias("end"))
+    return D.persona_lines(E.persona_report(g, u, "user").join(times, ["media_id", "clip"]))
+
+
 QUERIES = {
-    "c3_f10_f11_apply_adjustments": c3, "c4_f12_f18_apply_persona": c4, "s10_d4_adjustments_json": s10, "f10_f11_unfit_plans": f10, "f9_s11_j4_selection": f9, "t9_j17_selected_overlaps": t9, "k2_metadata_clips": k2, "k2_metadata_header": k2_header,
+    "k12_persona_lines": k12, "c3_f10_f11_apply_adjustments": c3, "c4_f12_f18_apply_persona": c4, "s10_d4_adjustments_json": s10, "f10_f11_unfit_plans": f10, "f9_s11_j4_selection": f9, "t9_j17_selected_overlaps": t9, "k2_metadata_clips": k2, "k2_metadata_header": k2_header,
     "s12_titles_json": s12, "k8_f19_j12_report_rows": k8, "a9_report_totals": a9, "k8_k9_report_payload": k8_payload,
 }
 
@@ -187,7 +196,9 @@ md AS (SELECT media_id, pos, id, id || '.mp4' AS filename, id || '.srt' AS subti
 _REP = _META + """, ti AS (SELECT media_id, 'clip_' || format('{:03d}', clip + 1) AS id, 'T ' || clip AS titulo, '<b>&' AS descricao, 'a b|c' AS tags, clip % 2 = 0 AS estrela FROM grid WHERE clip % 3 = 0),
 rep AS (SELECT m.media_id, pos, m.id, coalesce(titulo, '') AS titulo, coalesce(descricao, '') AS descricao, coalesce(tags, '') AS tags, coalesce(estrela, false) AS estrela, start, "end", start_seconds AS seconds, final_duration AS duration, silence_removed AS removed, importance_score AS score, transcription AS text
   FROM md m LEFT JOIN ti ON ti.media_id = m.media_id AND ti.id = m.id WHERE rendered OR NOT EXISTS (SELECT 1 FROM md x WHERE x.media_id = m.media_id AND x.rendered))"""
+_SHARE = ", t AS (SELECT g.media_id, clip, speaker, sum(least(end_ms, w_end) - greatest(start_ms, w_start)) AS ms FROM grid g JOIN u ON u.media_id = g.media_id AND start_ms < w_end AND end_ms > w_start GROUP BY ALL), s AS (SELECT media_id, clip, w_start, w_end, coalesce(sum(ms) FILTER (speaker = 'user'), 0) AS p, coalesce(sum(ms) FILTER (speaker <> 'user'), 0) AS o FROM grid LEFT JOIN t USING (media_id, clip) GROUP BY ALL)"
 ORACLE = {
+    "k12_persona_lines": _G + _SHARE + f", r AS (SELECT *, CAST(o AS DOUBLE) / CAST(CASE WHEN p + o > 0 THEN p + o ELSE 1000 END AS DOUBLE) AS x, {_SEC.format('w_start')} AS a, {_SEC.format('w_end')} AS b, {_NAME.format('clip')} AS clip_id FROM s) SELECT media_id, clip_id, printf('%-11s %-20s %7.1fs %6.1fs %3d%%  %s', clip_id, {_CLOCK.format('a')} || '-' || {_CLOCK.format('b')}, round(CAST(p AS DOUBLE) / 1000, 1), round(CAST(o AS DOUBLE) / 1000, 1), CAST(round_even(x * 100, 0) AS BIGINT), CASE WHEN x < 0.15 THEN 'limpo' WHEN x <= 0.5 THEN 'contaminado' ELSE 'comprometido' END) AS line FROM r",
     "c3_f10_f11_apply_adjustments": _C3 + f", cc AS (SELECT media_id, clip, count(*) AS n, sum(end_ms - start_ms) AS ms FROM inside GROUP BY ALL) SELECT cw.media_id, {_NAME.format('cw.clip')} AS clip_id, CAST(cw.clip + 1 AS INT) AS clip_index, w_start AS start_ms, w_end AS end_ms, coalesce(text, '') AS text, CAST({score('coalesce(text, chr(32))', '(w_end - w_start)')} AS DOUBLE) AS score, CAST(coalesce(n, 0) AS INT) AS n_cuts, CAST(coalesce(ms, 0) AS BIGINT) AS cut_ms FROM cw LEFT JOIN txt USING (media_id, clip) LEFT JOIN cc USING (media_id, clip)",
     "c4_f12_f18_apply_persona": _C4 + f" SELECT cw.media_id, {_NAME.format('cw.clip')} AS clip_id, CAST(0 AS BIGINT) AS pad_ms, CAST(coalesce(n, 0) AS INT) AS n_cuts, CAST(k AS BIGINT) AS kept_ms, CAST(greatest(0, w_end - w_start - k) AS BIGINT) AS removed_ms FROM cw JOIN kt USING (media_id, clip) LEFT JOIN nc USING (media_id, clip)",
     "s10_d4_adjustments_json": _G + f" SELECT media_id, {_NAME.format('clip')} AS clip_id, CASE WHEN clip % 6 = 3 THEN (w_start // 1000 + 1) * 1000 END AS set_start, CASE WHEN clip % 12 = 3 THEN w_end - 400 END AS set_end, clip % 6 = 4 AS remove, CASE WHEN clip % 6 = 0 THEN {_NAME.format('(clip + 1)')} || ' ' || {_NAME.format('(clip + 2)')} ELSE '' END AS absorb, CAST(4000 AS BIGINT) AS lead_ms, CAST(3000 AS BIGINT) AS tail_ms, media_id % 2 = 0 AS snap, CAST(NULL AS VARCHAR) AS error FROM grid WHERE clip % 6 IN (0, 3, 4)",

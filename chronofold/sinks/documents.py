@@ -92,6 +92,12 @@ def speaker_documents(u: DataFrame, turns: DataFrame, most_samples: int = 5, lea
     return met.select("media_id", F.to_json(F.struct(F.size("totals_s").alias("num_speakers"), "totals_s", F.coalesce("samples", F.create_map().cast("map<string,array<string>>")).alias("samples"), "utterances", "turns")).alias("json"))
 
 
+def persona_lines(report: DataFrame) -> DataFrame:
+    """(media_id, clip_id, line): a persona report in columns; report: media_id, clip_id, start, end and what persona_report tells."""
+    line = F.format_string("%-11s %-20s %7.1fs %6.1fs %3d%%  %s", "clip_id", F.concat("start", F.lit("-"), "end"), "persona_s", "outros_s", "outros_pct", "status")
+    return report.select("media_id", "clip_id", line.alias("line"))
+
+
 def write_version(df: DataFrame, root: str, at: dt.datetime | None = None) -> str:
     """Write df as Parquet to a new folder of root named by time, so that no earlier state is overwritten."""
     path = f"{root}/version={(at or dt.datetime.now(dt.timezone.utc)):%Y%m%d_%H%M%S_%f}"
