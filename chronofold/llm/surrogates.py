@@ -159,7 +159,9 @@ def surrogate(kind: str, entity: str, key: bytes = KEY, attempt: int = 0) -> str
     lists = [g for g, names in GIVEN.items() if given in names and gender in ("", g)]
     if lists and attempt < 3:
         names = sorted(GIVEN[lists[0]], key=lambda n: _draw(key, salt, lists[0], n))
-        given = names[(names.index(given) + 1) % len(names)]
+        at = names.index(given)
+        # none of the name's own words
+        given = next(n for n in (names[(at + k) % len(names)] for k in range(1, len(names) + 1)) if n not in more)
     else:
         lists, more = [], [given, *more]
     new = [x if x in SMALL else permuted(x, key, salt) for x in more]

@@ -508,3 +508,13 @@ def test_clashing_names_on_every_table(spark, tmp_path):
         if name in ("op10_url_filter", "op2_warc_revisits", "op1_benchmark_decontamination", "op6_quality_rules", "op8_source_mixing"):
             assert Counter(map(str, q(spark, str(tmp_path)).collect())) == Counter(map(str, q(spark, SF).collect())), name
     shutil.rmtree(tmp_path / "pages.parquet")
+
+
+def test_ranks_are_alike_both_ways(spark):
+    """Broadcast ranks and shuffled ranks of one graph agree, and a medium-sized graph's ranks sum to 1."""
+    rng = random.Random(13)
+    edges = [("trust", f"h{rng.randrange(40)}", f"h{rng.randrange(40)}", float(rng.randint(1, 3))) for _ in range(120)]
+    e = spark.createDataFrame(edges, "kind string, src string, dst string, weight double").groupBy("kind", "src", "dst").agg(F.sum("weight").alias("weight"))
+    s = spark.createDataFrame([("trust", "h1", 2.0), ("trust", "h2", 1.0), ("trust", "lonely", 1.0)], "kind string, host string, weight double")
+    a, b = ({r.host: r.rank for r in url_filter.propagate(e, s, 1e-4, most_broadcast=n).collect()} for n in (200_000, 0))
+    assert a.keys() == b.keys() and all(a[h] == pytest.approx(b[h], abs=1e-9) for h in a) and sum(a.values()) == pytest.approx(1)
