@@ -65,31 +65,45 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(up).union(up.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-6, damping: float = 0.85, cut_every: int = 4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-6, damping: float = 0.85, cut_every: int = 4, most_broadcast: int = 200_000) -> DataFrame:
     """(kind, host, rank): personalised PageRank of each kind of seed over that kind's edges.
 
-    edges: kind, src, dst, weight; seeds: kind, host, weight.
+    edges: kind, src, dst, weight; seeds: kind, host, weight. Ranks of at most most_broadcast nodes, which are
+    counted, go to the edges, dealt by target once for all steps, so that a step shuffles nothing (at most
+    as many edges, counted too, stay in one partition); more are joined by shuffles.
     """
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("all"))
     start = cut(seeds.join(total, "kind").select("kind", "host", (F.col("weight") / F.col("all")).alias("seed")))
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
     nodes = edges.select("kind", F.col("src").alias("host")).union(edges.select("kind", "dst")).union(start.select("kind", "host")).distinct()
     stay = nodes.join(out, (nodes["kind"] == out["kind"]) & (nodes["host"] == out["src"]), "left_anti").select("kind", F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("share"))
-    shares = cut(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share")).union(stay))
+    shares = edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share")).union(stay)
+    # the seeds' part of each step comes from a node without name, whose rank is always 1
+    arcs = shares.select("kind", "src", "dst", (damping * F.col("share")).alias("part")).union(start.select("kind", F.lit(""), "host", (1 - damping) * F.col("seed")))
+    arcs = cut(arcs.toDF("kind", "src", "dst", "part"))
+    source = start.select("kind", F.lit("").alias("host"), F.lit(1.0).alias("rank")).distinct()
+    few = nodes.count() <= most_broadcast
+    if few and arcs.count() <= most_broadcast:
+        arcs = arcs.coalesce(1).persist()  # so few edges are one task's work
+    elif few:
+        arcs = arcs.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "dst").persist()
     rank = start.select("kind", "host", F.col("seed").alias("rank"))
 
     def step(rank: DataFrame) -> DataFrame:
-        moved = shares.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
-        return moved.union(start.select("kind", "host", (1 - damping) * F.col("seed"))).toDF("kind", "host", "rank").groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        held = rank.union(source).withColumnRenamed("host", "src")
+        return arcs.join(F.broadcast(held) if few else held, ["kind", "src"]).groupBy("kind", "dst").agg(F.sum(F.col("rank") * F.col("part")).alias("rank")).select("kind", F.col("dst").alias("host"), "rank")
 
     while True:
         old = rank
         for _ in range(cut_every):
             rank = step(rank)
-        rank = cut(rank)
+        rank = cut(rank.coalesce(8) if few else rank)
         # a host once reached keeps a rank, so a host on one side only is newly reached
-        change = rank.join(old.select("kind", "host", F.col("rank").alias("old")), ["kind", "host"], "left").groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0)))).alias("by"), F.count(F.when(F.col("old").isNull(), 1)).alias("new"))
+        before = old.select("kind", "host", F.col("rank").alias("old"))
+        change = rank.join(F.broadcast(before) if few else before, ["kind", "host"], "left").groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0)))).alias("by"), F.count(F.when(F.col("old").isNull(), 1)).alias("new"))
         if change.where(f"by > {tolerance!r} or new > 0").isEmpty():
+            if few:
+                arcs.unpersist()
             return rank
 
 
