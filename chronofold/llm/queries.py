@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fill_middle, mixing, near_dedup, quality_rank, quality_rules, secret_scan, sharding, surrogates, url_filter, warc
+from . import centroids, decontaminate, fill_middle, mixing, near_dedup, quality_rank, quality_rules, secret_scan, sharding, surrogates, url_filter, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_source_mixing": mixing.op8,
     "op9_secret_scan": secret_scan.op9,
     "op10_url_filter": url_filter.op10,
+    "op12_centroid_clustering": centroids.op12,
     "op13_fill_in_middle": fill_middle.op13,
 }
 ORACLE = {
     "op1_benchmark_decontamination": decontaminate.ORACLE,
     "op2_warc_revisits": warc.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
+    "op12_centroid_clustering": centroids.ORACLE,
     "op13_fill_in_middle": fill_middle.ORACLE,
 }

@@ -35,13 +35,15 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame([(1, "x"), (2, None), (None, ""), (3, "one two three four")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     spark.createDataFrame([(3, 1, 0), (4, 0, None), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([(1, None, None), (2, "nonsense", ""), (None, "http://A.example.com/en/x#y", "<a href='http://b.net/'>"), (3, "http://b.net/es/?q", None), (3, "http://b.net/es/?q", None)], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    vectors = [(i, [i / 7.0] * 64, 0) for i in range(6)] + [(1, None, None), (None, [0.5] * 64, 1), (None, [0.25] * 64, 1), (9, [0.5], 1)]
+    spark.createDataFrame([(*v, "clash") for v in vectors], "vec_id long, embedding array<float>, label int, cluster string").write.parquet(f"{at}/embeddings.parquet")
     return at
 
 
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "embeddings"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{at}/{t}.parquet")
     return at
 
