@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, decontaminate, fill_middle, mixing, near_dedup, quality_rank, quality_rules, secret_scan, sharding, surrogates, url_filter, warc
+from . import centroids, decontaminate, fill_middle, license_scan, mixing, near_dedup, quality_rank, quality_rules, secret_scan, sharding, surrogates, url_filter, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mixing": mixing.op8,
     "op9_secret_scan": secret_scan.op9,
     "op10_url_filter": url_filter.op10,
+    "op11_license_scan": license_scan.op11,
     "op12_centroid_clustering": centroids.op12,
     "op13_fill_in_middle": fill_middle.op13,
 }
@@ -22,6 +23,7 @@ ORACLE = {
     "op1_benchmark_decontamination": decontaminate.ORACLE,
     "op2_warc_revisits": warc.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
+    "op11_license_scan": license_scan.ORACLE,
     "op12_centroid_clustering": centroids.ORACLE,
     "op13_fill_in_middle": fill_middle.ORACLE,
 }
