@@ -32,7 +32,8 @@ def f1(spark, d):
 
 
 def f2(spark, d):
-    return S.boundaries(_base(spark, d)[1])
+    _, s, m = _base(spark, d)
+    return S.boundaries(s, m)
 
 
 def f5(spark, d):
@@ -51,7 +52,7 @@ def i2(spark, d):
 
 def i3(spark, d):
     _, s, m = _base(spark, d)
-    return I.complement(S.boundaries(s), m)
+    return I.complement(S.boundaries(s, m), m, span=I.SPAN_MS)
 
 
 def i4(spark, d):
@@ -100,7 +101,7 @@ def i10(spark, d):
 
 def i13(spark, d):
     u, s, m = _base(spark, d)
-    return S.split_windows(I.complement(S.boundaries(s), m), S.cut_points(u, s), most=20_000)
+    return S.split_windows(I.complement(S.boundaries(s, m), m), S.cut_points(u, s), most=20_000)
 
 
 def i14(spark, d):

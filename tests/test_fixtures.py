@@ -48,7 +48,7 @@ def test_clips_of_a_talk(spark, talk):
     got = S.build_clips(*talk).orderBy("clip_index").collect()
     assert [(r.clip_index, r.start_ms) for r in got] == [(1, 0), (2, 13_000), (3, 53_000)]
     assert S.build_clips(*talk, most_clips=2).count() == 2 and S.build_clips(talk[0].limit(0), *talk[1:]).count() == 0
-    pieces = S.split_windows(I.complement(S.boundaries(talk[1]), talk[2]), S.cut_points(talk[0], talk[1]), most=20_000).collect()
+    pieces = S.split_windows(I.complement(S.boundaries(talk[1], talk[2]), talk[2]), S.cut_points(talk[0], talk[1]), most=20_000).collect()
     assert all(r.end_ms - r.start_ms <= 20_000 for r in pieces) and sum(r.end_ms - r.start_ms for r in pieces) == 94_000
 
 
