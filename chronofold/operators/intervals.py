@@ -109,6 +109,11 @@ def meet(left: DataFrame, right: DataFrame, l: tuple[str, str], r: tuple[str, st
     return out
 
 
+def longest(df: DataFrame, start: str, end: str) -> int:
+    """The length of the longest interval, for the joins that ask how long a side can be."""
+    return df.agg(F.max(F.col(end) - F.col(start))).first()[0] or 0
+
+
 def _bin_of_later(a: str, b: str) -> Column:
     return F.greatest(_bin(a), _bin(b))
 

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import editorial as E
 from ..operators import intervals as I
 from ..operators import segment as S
+from ..shared import Kept
 from ..sinks import documents as D
 from ..sources import formats, tables
 from .prelude import GRID, INSIDE, KEEP, TEXTS, UTTERANCES, score
@@ -42,7 +43,7 @@ def plan_json(spark, d):
 
 def adjusted(spark, d):
     u, s, _ = _base(spark, d)
-    return E.apply_adjustments(base_clips(spark, d).cache(), formats.parse_adjustments(plan_json(spark, d)), u, s)
+    return E.apply_adjustments(Kept(spark).keep(base_clips(spark, d)), formats.parse_adjustments(plan_json(spark, d)), u, s)
 
 
 def _told(clips):
@@ -57,7 +58,7 @@ def c3(spark, d):
 def c4(spark, d):
     """The user's parts of the adjusted clips: what is cut and what stays, without padding."""
     u, _, _ = _base(spark, d)
-    c = E.apply_persona(adjusted(spark, d).cache(), u, "user")
+    c = E.apply_persona(Kept(spark).keep(adjusted(spark, d)), u, "user")
     k = S.kept_and_removed(F.col("start_ms"), F.col("end_ms"), F.col("cuts"), 0)
     return c.withColumn("k", k).select("media_id", "clip_id", "pad_ms", F.size("cuts").alias("n_cuts"), "k.kept_ms", "k.removed_ms")
 
