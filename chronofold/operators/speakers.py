@@ -101,11 +101,16 @@ def cluster_shares(clusters: DataFrame, least: float = 0.05) -> DataFrame:
     return sizes.groupBy("media_id").agg(F.sum("n").alias("n"), (F.min("n") / F.sum("n")).alias("smallest")).withColumn("doubtful", F.col("smallest") < least)
 
 
-def label_clusters(clusters: DataFrame) -> DataFrame:
-    """(media_id, seq, label): clusters named S1, S2... in the order in which they are first heard."""
+def cluster_names(clusters: DataFrame) -> DataFrame:
+    """(media_id, cluster, label): clusters named S1, S2... in the order in which they are first heard."""
     first = clusters.groupBy("media_id", "cluster").agg(F.min("seq").alias("seq"))
-    names = first.withColumn("label", F.concat(F.lit("S"), F.row_number().over(W.partitionBy("media_id").orderBy("seq")).cast("string"))).drop("seq")
-    return clusters.join(names, ["media_id", "cluster"]).select("media_id", "seq", "label")
+    number = F.row_number().over(W.partitionBy("media_id").orderBy("seq", "cluster"))
+    return first.select("media_id", "cluster", F.concat(F.lit("S"), number.cast("string")).alias("label"))
+
+
+def label_clusters(clusters: DataFrame) -> DataFrame:
+    """(media_id, seq, label) of clusters (media_id, seq, cluster)."""
+    return clusters.join(cluster_names(clusters), ["media_id", "cluster"]).select("media_id", "seq", "label")
 
 
 def fill_gaps(u: DataFrame, known: str = "label", span: int | None = None) -> DataFrame:
@@ -157,12 +162,19 @@ def refine(u: DataFrame, window_voices: DataFrame, centroids: DataFrame, gap: in
     window_voices (media_id, seq, pos, embedding), or the utterance's own where it has none. Others
     stay as they are.
     """
+    likest = assignments(window_voices, centroids)
+    return refined_turns(u, likest, gap)
+
+
+def refined_turns(u: DataFrame, found: DataFrame, gap: int = 250) -> DataFrame:
+    """The turns of refine, from given speakers of word windows: found (media_id, seq, pos, speaker)."""
     marked = transitions(u, ROWS)
     still = marked.where(~F.col("transition")).select("media_id", "seq", F.lit(0).alias("pos"), "start_ms", "end_ms", "speaker")
     w = marked.where("transition").select("media_id", "seq", "speaker", F.posexplode(word_windows(F.col("timed"), F.col("start_ms"), F.col("end_ms"))).alias("pos", "w"))
-    likest = assignments(window_voices, centroids).withColumnRenamed("speaker", "found")
-    new = w.join(likest, ["media_id", "seq", "pos"], "left").select("media_id", "seq", "pos", F.col("w.start_ms").alias("start_ms"), F.col("w.end_ms").alias("end_ms"), F.coalesce("found", "speaker").alias("speaker"))
-    return merge_turns(still.unionByName(new).withColumn("seq", F.struct("end_ms", "speaker", "seq", "pos")), gap, span=SPAN_MS)
+    new = w.join(found.withColumnRenamed("speaker", "found"), ["media_id", "seq", "pos"], "left")
+    new = new.select("media_id", "seq", "pos", F.col("w.start_ms").alias("start_ms"), F.col("w.end_ms").alias("end_ms"), F.coalesce("found", "speaker").alias("speaker"))
+    events = still.unionByName(new).withColumn("seq", F.struct("end_ms", "speaker", "seq", "pos"))
+    return merge_turns(events, gap, span=SPAN_MS)
 
 
 def turn_totals(turns: DataFrame) -> DataFrame:

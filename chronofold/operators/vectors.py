@@ -72,23 +72,23 @@ class Tiles:
         return best, rank
 
 
-def assign(df: DataFrame, key: str, vector: str, centroids: DataFrame, label: str, most_bytes: int = 256 << 20) -> DataFrame:
+def assign(df: DataFrame, key: str, vector: str, centroids: DataFrame, label: str, most: int | None = None) -> DataFrame:
     """Each row's label of greatest cosine, ties to the smaller label; key tells rows apart.
 
-    Centroids go to the tasks in tiles and the vectors are scanned once. Centroids of more than ``most_bytes``
-    (they are counted and measured first) are cut into so many blocks, each a scan, whose best are compared.
+    Centroids go to the tasks in tiles and the vectors are scanned once. More than ``most`` centroids (which are
+    counted; as many as fill 256 MB if not given) are cut into blocks of about as many, each a scan, whose best are compared.
     A zero vector's cosine is 0; without centroids there is no row.
     """
     spark = df.sparkSession
     n, width = centroids.agg(F.count("*"), F.coalesce(F.max(F.size("centroid")), F.lit(1))).first()
-    blocks = max(1, -(-n * width * 16 // most_bytes))
+    blocks = max(1, -(-n // (most or max(1, (256 << 20) // (16 * width)))))
     held = df.select(F.col(key).alias("key"), unit(F.col(vector)).alias("v"))
     schema = StructType(held.schema.fields[:1]).add("rank", "long").add("cosine", "double")
     ranked = centroids.select(F.col(label).alias("label"), "centroid")
     found = None
     for b in range(blocks if n else 0):
         part = ranked if blocks == 1 else ranked.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == b)
-        model = sorted((r[0], r[1]) for r in part.collect())  # at most about most_bytes
+        model = sorted((r[0], r[1]) for r in part.collect())  # about most, which is bounded
         if not model:
             continue
         labels = [m[0] for m in model]

@@ -92,12 +92,23 @@ def first_day(dated: DataFrame, by: list[str], today: Column) -> DataFrame:
     return dated.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("day") >= today, F.col("day"))), F.max("day")).alias("day"))
 
 
+def schedules(starts: DataFrame, by: list[str], count: int, slots: tuple[str, ...] = SLOTS, zone: str = ZONE) -> DataFrame:
+    """(by, turn, publish_at): the next count instants after each row's start (a local timestamp): days by slots, in order, as UTC text.
+
+    Days and slots come out of the row itself, bounded by count.
+    """
+    days = F.sequence(F.lit(0), F.lit(count // len(slots) + 1))
+    day = lambda i: F.date_add(F.col("start").cast("date"), i).cast("string")
+    at = F.flatten(F.transform(days, lambda i: F.transform(F.array(*map(F.lit, slots)), lambda s: F.to_timestamp(F.concat_ws(" ", day(i), s), "yyyy-MM-dd HH:mm"))))
+    next_ = F.slice(F.array_sort(F.filter(at, lambda t: t > F.col("start"))), 1, count)
+    each = starts.select(*by, F.posexplode(next_).alias("turn", "at"))
+    return each.select(*by, (F.col("turn") + 1).alias("turn"), F.date_format(F.to_utc_timestamp("at", zone), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publish_at"))
+
+
 def schedule(spark: SparkSession, count: int, start: str, slots: tuple[str, ...] = SLOTS, zone: str = ZONE) -> DataFrame:
-    """The next count instants after start (both local): days by slots, in order, as UTC text. Bounded by count."""
-    days = spark.range(count // len(slots) + 2).select(F.date_add(F.lit(start).cast("timestamp").cast("date"), F.col("id").cast("int")).alias("day"), F.explode(F.array(*map(F.lit, slots))).alias("slot"))
-    at = F.to_timestamp(F.concat_ws(" ", F.col("day").cast("string"), "slot"), "yyyy-MM-dd HH:mm")
-    first = days.select(at.alias("at")).where(F.col("at") > F.lit(start).cast("timestamp")).orderBy("at").limit(count)
-    return first.select(F.date_format(F.to_utc_timestamp("at", zone), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publish_at"))
+    """The next count instants after one start."""
+    one = spark.range(1).select(F.lit(start).cast("timestamp").alias("start"))
+    return schedules(one, [], count, slots, zone).orderBy("turn").select("publish_at")
 
 
 def prioritized(queue: DataFrame, by: str, second: bool = False) -> DataFrame:

@@ -142,7 +142,7 @@ def f20(spark, d):
 
 def m5(spark, d):
     """Zoom of each clip at every half second."""
-    m = _base(spark, d)[2].select("media_id", F.explode(F.sequence(F.lit(0), F.least(F.lit(119), F.floor(F.col("total_ms") / 500).cast("int")))).alias("half"))
+    m = _base(spark, d)[2].select("media_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("total_ms") / 500).cast("int"))).alias("half"))
     return m.select("media_id", "half", F.round(L.zoom(F.col("half") / 2), 6).alias("zoom"))
 
 
@@ -250,7 +250,7 @@ ORACLE = {
     "c11_direct_batch": f"WITH {_OUT}" + _TODO.format(more="", most=4) + _BATCH.format(done="publicado", planned="CAST(NULL AS VARCHAR)", out=f"CASE WHEN result = 'ok' THEN '{NOW}' END"),
     "t3_c11_second_channel": f"WITH {_OUT}" + _TODO.format(more="AND tk IS NULL", most=3) + f"SELECT q.channel, q.pos, CASE WHEN result = 'ok' THEN 'publicado' WHEN result = 'erro' THEN 'erro' ELSE tk END AS tiktok_status, CASE WHEN result = 'ok' THEN '{NOW}' END AS tiktok_published_at, CASE WHEN result = 'ok' THEN detail END AS tiktok_publish_id, CASE WHEN result = 'erro' THEN detail END AS tiktok_erro FROM q JOIN tk USING (channel, pos) LEFT JOIN td ON td.channel = q.channel AND td.pos = q.pos",
     "f20_answers": "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'quota' ELSE 'erro' END AS first, CASE event_id % 6 WHEN 1 THEN 'quota' WHEN 3 THEN 'erro' WHEN 4 THEN 'quota' WHEN 5 THEN 'erro' ELSE 'ok' END AS second, CASE event_id % 6 WHEN 0 THEN 'a' || event_id WHEN 1 THEN 'b' || event_id ELSE '' END AS video, CASE event_id % 6 WHEN 0 THEN 't/a' || event_id WHEN 4 THEN '?/?' WHEN 5 THEN '?/?' END AS channel FROM events",
-    "m5_zoom_curve": "WITH" + UTTERANCES + ", h AS (SELECT media_id, CAST(i AS INT) AS half, (i / 2.0) % 28 AS p FROM med, LATERAL (SELECT unnest(range(0, least(119, total_ms // 500) + 1)) AS i)) SELECT media_id, half, round(1.0 + 0.12 * CASE WHEN p < 4 THEN (1 - cos(pi() * p / 4)) / 2 WHEN p < 14 THEN 1.0 WHEN p < 18 THEN (1 + cos(pi() * (p - 14) / 4)) / 2 ELSE 0.0 END, 6) AS zoom FROM h",
+    "m5_zoom_curve": "WITH" + UTTERANCES + ", h AS (SELECT media_id, CAST(i AS INT) AS half, (i / 2.0) % 28 AS p FROM med, LATERAL (SELECT unnest(range(0, total_ms // 500 + 1)) AS i)) SELECT media_id, half, round(1.0 + 0.12 * CASE WHEN p < 4 THEN (1 - cos(pi() * p / 4)) / 2 WHEN p < 14 THEN 1.0 WHEN p < 18 THEN (1 + cos(pi() * (p - 14) / 4)) / 2 ELSE 0.0 END, 6) AS zoom FROM h",
     "m6_m8_x14_d7_layout": f"SELECT p_partkey, {_SIZE} AS font, greatest(1, CAST(floor({_SIZE} * 0.055) AS INT)) AS shadow, CAST(round(p_size / 5 / 10 * 100, 0) AS INT) AS bar, '/home/a b/CORTES_' || replace(replace(p_name, ' ', ' . '), ' ', '_') AS folder, p_partkey % 3 = 0 AS slot FROM part",
     "x13_pixel_wrap": _W + _CHUNKS.replace("80", "30") + """, c AS (SELECT *, max(pos) OVER (PARTITION BY media_id, seq) AS top, string_split(chunk, ' ') AS l FROM ch),
 p AS (SELECT *, lead(l) OVER w AS nx, lag(l) OVER w AS pv FROM c WINDOW w AS (PARTITION BY media_id, seq ORDER BY pos)),

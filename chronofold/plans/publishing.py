@@ -34,8 +34,7 @@ def a8(spark, d):
     """Minutes by project from duration texts; what isn't one counts zero."""
     docs = tables.read(spark, d, "documents")
     told = F.when(F.col("doc_id") % 7 == 0, "lixo").otherwise(F.concat(F.floor(F.col("n_chars") / 10).cast("string"), F.lit(".5s")))
-    seconds = F.coalesce(F.rtrim(told, F.lit("s")).try_cast("double"), F.lit(0.0))
-    return docs.groupBy("source").agg(F.count("*").alias("clips"), F.round(F.sum(seconds) / 60, 1).alias("minutes"))
+    return docs.groupBy("source").agg(F.count("*").alias("clips"), F.round(F.sum(D.seconds(told)) / 60, 1).alias("minutes"))
 
 
 def a10(spark, d):
@@ -50,14 +49,13 @@ def a15(spark, d):
 
 def t2(spark, d):
     """Pending items of each channel, starred first, else in queue order."""
-    q = queue(spark, d).where("status = 'pendente'")
-    return q.select("channel", "pos", F.row_number().over(W.partitionBy("channel").orderBy(~F.col("estrela"), "pos")).alias("turn"))
+    return P.prioritized(queue(spark, d), "channel").select("channel", "pos", "turn")
 
 
 def t8(spark, d):
     """First day of each channel from a date on, else its latest."""
-    day, today = P.local_day(F.col("publish_at")), F.lit("1999-06-01").cast("date")
-    return queue(spark, d).groupBy("channel").agg(F.coalesce(F.min(F.when(day >= today, day)), F.max(day)).alias("day"))
+    dated = queue(spark, d).withColumn("day", P.local_day(F.col("publish_at")))
+    return P.first_day(dated, ["channel"], F.lit("1999-06-01").cast("date"))
 
 
 def a11(spark, d):
@@ -72,15 +70,19 @@ def j14(spark, d):
 
 
 def c10(spark, d):
-    return P.schedule(spark, 10, "2026-09-06 10:00:00")
+    """The next ten slots of each channel after its latest order, some hours into that day."""
+    last = queue(spark, d).groupBy("channel").agg(F.max("publish_at").alias("at"))
+    start = F.timestamp_millis(F.unix_millis(F.col("at")) + F.col("channel") % 24 * 3_600_000)
+    return P.schedules(last.select("channel", start.alias("start")), ["channel"], 10)
 
 
 def c11(spark, d):
     """Outcomes of a batch: a quota error stops its channel, so later items stay pending; other errors don't."""
-    q = t2(spark, d)
+    q = queue(spark, d).withColumns({c: F.lit(None).cast("string") for c in ("publish_at", "published_at", "video_id", "erro")})
     result = F.when(F.col("pos") % 11 == 0, "quota").when(F.col("pos") % 11 < 3, "erro").otherwise("ok")
-    stop = F.max((F.col("result") == "quota").cast("int")).over(W.partitionBy("channel").orderBy("turn").rowsBetween(W.unboundedPreceding, 0))
-    return q.withColumn("result", result).select("channel", "pos", F.when(stop == 1, "pendente").when(F.col("result") == "erro", "erro").otherwise("publicado").alias("status"))
+    outcomes = q.select("channel", "pos", result.alias("result"), F.lit("").alias("detail"))
+    out = P.publish_batch(q, outcomes, "channel", 1_000_000, "now")
+    return out.join(t2(spark, d).select("channel", "pos"), ["channel", "pos"], "left_semi").select("channel", "pos", "status")
 
 
 def f8_whole(spark, d):
@@ -130,7 +132,7 @@ def f15(spark, d):
 
 def f17(spark, d):
     m = tables.media(tables.utterances(spark, d))
-    return m.select("media_id", F.when(F.col("total_ms") <= 30_000, 5).otherwise(20).alias("hold_s"))
+    return m.select("media_id", L.hold_seconds(F.col("total_ms")).alias("hold_s"))
 
 
 def c3(spark, d):
@@ -239,7 +241,7 @@ ORACLE = {
     "t8_upcoming_day": f"WITH {_Q} SELECT channel, coalesce(min(day) FILTER (day >= DATE '1999-06-01'), max(day)) AS day FROM q GROUP BY channel",
     "a11_w7_d8_day_agenda": f"WITH {_Q} SELECT * FROM (SELECT day, CAST(row_number() OVER (PARTITION BY day ORDER BY due, pos) AS INT) AS k, pos, greatest(count(*) OVER (PARTITION BY day) - 3, 0) AS more FROM q) WHERE k <= 3",
     "j14_calendar": f"WITH {_Q}, s AS (SELECT DATE '1998-12-28' + CAST(i AS INT) AS day FROM range(42) r(i)) SELECT s.day, count(q.pos) AS n FROM s LEFT JOIN q ON q.day = s.day GROUP BY s.day",
-    "c10_j13_t4_d6_schedule": "SELECT strftime(due + INTERVAL 3 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS publish_at FROM (SELECT TIMESTAMP '2026-09-06' + to_days(CAST(i AS INT)) + to_hours(h) AS due FROM range(4) r(i), (VALUES (6), (13), (18), (2)) s(h)) WHERE due > TIMESTAMP '2026-09-06 10:00:00' ORDER BY due LIMIT 10",
+    "c10_j13_t4_d6_schedule": f"WITH {_Q}, s AS (SELECT channel, max(due) + to_hours(channel % 24) AS start FROM q GROUP BY channel), c AS (SELECT channel, start, date_trunc('day', start) + to_days(CAST(i AS INT)) + to_hours(h) AS slot FROM s, range(4) r(i), (VALUES (6), (13), (18), (2)) v(h)), k AS (SELECT channel, slot, CAST(row_number() OVER (PARTITION BY channel ORDER BY slot) AS INT) AS turn FROM c WHERE slot > start) SELECT channel, turn, strftime(slot + INTERVAL 3 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS publish_at FROM k WHERE turn <= 10",
     "c11_publish_batch": f"WITH {_T2} SELECT channel, pos, CASE WHEN max(CASE WHEN pos % 11 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY turn) = 1 THEN 'pendente' WHEN pos % 11 < 3 THEN 'erro' ELSE 'publicado' END AS status FROM t",
     "f8_whole_title_issues": """WITH t AS (SELECT item_id, trim(CASE item_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN upper(text) ELSE text END) AS b FROM benchmark)
 SELECT item_id, 'no title' AS issue FROM t WHERE b = '' UNION ALL SELECT item_id, 'title too long' FROM t WHERE length(b) > 70 UNION ALL SELECT item_id, 'title in capitals' FROM t WHERE b <> '' AND b = upper(b) AND b <> lower(b)

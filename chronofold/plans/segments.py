@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import editorial as E
 from ..operators import intervals as I
 from ..operators import segment as S
+from ..operators import speakers as V
 from ..sources import tables
 from .prelude import GRID, INSIDE, KEEP, POINTS, SPLIT, TEXTS, UTTERANCES, WINDOWS, WORDS, score
 
@@ -28,7 +29,8 @@ def grid(media: DataFrame, step: int = 15_000) -> DataFrame:
 def f1(spark, d):
     """Neighbouring five-second marks against utterances: strict overlap."""
     u, _, _ = _base(spark, d)
-    return u.select("media_id", "seq", ((F.col("start_ms") < 10_000) & (F.col("end_ms") > 5_000)).alias("overlaps"))
+    marks = u.withColumns({"a": F.lit(5_000), "b": F.lit(10_000)})
+    return marks.select("media_id", "seq", I.overlaps("start_ms", "end_ms", "a", "b").alias("overlaps"))
 
 
 def f2(spark, d):
@@ -59,12 +61,12 @@ def i4(spark, d):
     """Events of a user within two hours of each other, as islands."""
     e = tables.read(spark, d, "events")
     ms = (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
-    return I.merge_gap(e.select(F.col("user_id").alias("media_id"), ms.alias("start_ms"), ms.alias("end_ms")), 7_200_000)
+    return I.merge_gap(e.select(F.col("user_id").alias("media_id"), ms.alias("start_ms"), ms.alias("end_ms")), 7_200_000, span=90 * 86_400_000)
 
 
 def i4_turns(spark, d):
     """Turns that follow their own speaker within 250 ms joined to the turn just before."""
-    return I.merge_turns(_base(spark, d)[0], 250)
+    return I.merge_turns(_base(spark, d)[0], 250, span=I.SPAN_MS)
 
 
 def _clips_of_grid(spark, d):
@@ -136,11 +138,8 @@ def j4(spark, d):
 
 def j5(spark, d):
     """Speaker of every third turn forgotten, then filled from the nearest known by start; ties to the earlier."""
-    u = _base(spark, d)[0].withColumn("known", F.when(F.col("seq") % 3 != 2, F.struct(F.col("start_ms").alias("at"), "speaker")))
-    w = W.partitionBy("media_id").orderBy("start_ms", "seq")
-    u = u.withColumns({"back": F.last("known", True).over(w.rowsBetween(W.unboundedPreceding, 0)), "ahead": F.first("known", True).over(w.rowsBetween(0, W.unboundedFollowing))})
-    earlier = F.col("ahead").isNull() | (F.col("start_ms") - F.col("back.at") <= F.col("ahead.at") - F.col("start_ms"))
-    return u.select("media_id", "seq", F.coalesce(F.when(earlier, F.col("back.speaker")), F.col("ahead.speaker"), F.col("back.speaker")).alias("label"))
+    u = _base(spark, d)[0].select("media_id", "seq", "start_ms", F.when(F.col("seq") % 3 != 2, F.col("speaker")).alias("label"))
+    return V.fill_gaps(u, span=I.SPAN_MS).select("media_id", "seq", "label")
 
 
 def j6(spark, d):
@@ -155,29 +154,24 @@ def j17(spark, d):
     return g.select("media_id", "clip", F.lead("clip").over(w).alias("next_clip"), (F.lead("w_start").over(w) < F.col("w_end")).alias("hit")).where("hit").drop("hit")
 
 
+def _asked(g: DataFrame, start, end, snap) -> DataFrame:
+    none = F.lit(None).cast("long")
+    of = {"id": F.col("clip"), "cur_start": F.col("w_start"), "cur_end": F.col("w_end"), "set_start": start, "set_end": end, "reach": none, "lead_ms": F.lit(E.LEAD).cast("long"), "tail_ms": F.lit(E.TAIL).cast("long"), "snap": snap}
+    return g.select("media_id", *[c.alias(n) for n, c in of.items()])
+
+
 def i12(spark, d):
     """Grid windows resolved: 5 s of lead, 3 s of tail, snapped to utterance borders, 1 s at least."""
     u, _, m = _base(spark, d)
-    g = grid(m)
-    at = lambda c, mark, by: I.nearest(g.select("media_id", F.col("clip").alias("id"), (F.col(c) + by).alias("t")), u.select("media_id", F.col(mark).alias("mark")), 2500)
-    a, b = at("w_start", "start_ms", -5000).select("media_id", "id", F.col("snapped").alias("a")), at("w_end", "end_ms", 3000).select("media_id", "id", F.col("snapped").alias("b"))
-    met = a.join(b, ["media_id", "id"]).withColumn("start_ms", F.greatest(F.lit(0).cast("long"), "a"))
-    return met.select("media_id", F.col("id").alias("clip"), "start_ms", F.greatest(F.col("start_ms") + 1000, F.col("b")).alias("end_ms"))
+    none = F.lit(None).cast("long")
+    return E.resolve_windows(_asked(grid(m), none, none, F.lit(True)), u).withColumnRenamed("id", "clip")
 
 
 def i12_every(spark, d):
     """Every grid window resolved: explicit borders stand without lead or tail, and snapping can be off."""
     u, _, m = _base(spark, d)
-    g = grid(m).withColumn("snap", F.col("clip") % 5 != 0)
-    start = F.when(F.col("clip") % 3 == 1, F.col("w_start") + 400).otherwise(F.col("w_start") - 5000)
-    end = F.when(F.col("clip") % 4 == 3, F.col("w_end") - 400).otherwise(F.col("w_end") + 3000)
-
-    def at(t, mark, name):
-        points = g.select("media_id", F.col("clip").alias("id"), t.alias("t"), "snap")
-        return I.nearest(points, u.select("media_id", F.col(mark).alias("mark")), 2500).select("media_id", "id", F.when(F.col("snap"), F.col("snapped")).otherwise(F.col("t")).alias(name))
-
-    met = at(start, "start_ms", "a").join(at(end, "end_ms", "b"), ["media_id", "id"]).withColumn("start_ms", F.greatest(F.lit(0).cast("long"), "a"))
-    return met.select("media_id", F.col("id").alias("clip"), "start_ms", F.greatest(F.col("start_ms") + 1000, F.col("b")).alias("end_ms"))
+    start, end = F.when(F.col("clip") % 3 == 1, F.col("w_start") + 400), F.when(F.col("clip") % 4 == 3, F.col("w_end") - 400)
+    return E.resolve_windows(_asked(grid(m), start, end, F.col("clip") % 5 != 0), u).withColumnRenamed("id", "clip")
 
 
 def m1(spark, d):
@@ -197,18 +191,13 @@ def w1(spark, d):
 
 def w2(spark, d):
     """Turns at a change of speaker: the label differs from a neighbour's, edges don't count."""
-    u = _base(spark, d)[0]
-    w = W.partitionBy("media_id").orderBy("seq")
-    other = lambda x: F.coalesce(~F.col("speaker").eqNullSafe(x["speaker"]) & x.isNotNull(), F.lit(False))
-    s = F.struct("speaker")
-    return u.select("media_id", "seq", (other(F.lag(s).over(w)) | other(F.lead(s).over(w))).alias("transition"))
+    return V.transitions(_base(spark, d)[0], V.ROWS).select("media_id", "seq", "transition")
 
 
 def w4(spark, d):
     """Speakers renamed S1, S2... by first appearance."""
-    u = _base(spark, d)[0]
-    first = u.groupBy("media_id", "speaker").agg(F.min("seq").alias("seq"))
-    return first.select("media_id", "speaker", F.concat(F.lit("S"), F.row_number().over(W.partitionBy("media_id").orderBy("seq", "speaker")).cast("string")).alias("label"))
+    u = _base(spark, d)[0].select("media_id", "seq", F.col("speaker").alias("cluster"))
+    return V.cluster_names(u).withColumnRenamed("cluster", "speaker")
 
 
 def a1(spark, d):
