@@ -30,13 +30,14 @@ def cut_points(u: DataFrame, silences: DataFrame, tolerance: int = CONFIG["pause
     return out.select("media_id", "seq", "time_ms", "sentence_end", "pause_ms", quality.cast("long").alias("quality"))
 
 
-def split_windows(windows: DataFrame, points: DataFrame, least: int = CONFIG["least_ms"], most: int = CONFIG["most_ms"]) -> DataFrame:
-    """Pieces of each window; only the cut points inside a window travel with it."""
+def split_windows(windows: DataFrame, points: DataFrame, least: int = CONFIG["least_ms"], most: int = CONFIG["most_ms"], named: str | None = None) -> DataFrame:
+    """Pieces of each window; only the cut points inside a window travel with it. named: a column for the window's own start."""
     p = points.select("media_id", "time_ms", "quality")
     met = meet(windows.select("media_id", "start_ms", "end_ms"), p, ("start_ms", "end_ms"), ("time_ms", "time_ms"), (F.col("time_ms") > F.col("start_ms")) & (F.col("time_ms") < F.col("end_ms")), how="left", r_most=0)
     point = F.when(F.col("time_ms").isNotNull(), F.struct(F.col("quality"), F.col("time_ms").alias("time")))
     met = met.groupBy("media_id", "start_ms", "end_ms").agg(F.collect_set(point).alias("_cuts"))
-    return met.select("media_id", F.explode(greedy_split(F.col("start_ms"), F.col("end_ms"), F.col("_cuts"), least, most)).alias("p")).select("media_id", "p.*")
+    pieces = F.explode(greedy_split(F.col("start_ms"), F.col("end_ms"), F.col("_cuts"), least, most)).alias("p")
+    return met.select("media_id", *([F.col("start_ms").alias(named)] if named else []), pieces).select("media_id", *([named] if named else []), "p.*")
 
 
 def window_text(windows: DataFrame, u: DataFrame, ratio: float = CONFIG["ratio"], w_most: int | None = None) -> DataFrame:
