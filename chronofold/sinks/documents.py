@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clock, script_safe
+from .versions import read_version, write_version  # noqa: F401
 
 
 def tenths(ms: Column) -> Column:
@@ -96,17 +95,3 @@ def persona_lines(report: DataFrame) -> DataFrame:
     """(media_id, clip_id, line): a persona report in columns; report: media_id, clip_id, start, end and what persona_report tells."""
     line = F.format_string("%-11s %-20s %7.1fs %6.1fs %3d%%  %s", "clip_id", F.concat("start", F.lit("-"), "end"), "persona_s", "outros_s", "outros_pct", "status")
     return report.select("media_id", "clip_id", line.alias("line"))
-
-
-def write_version(df: DataFrame, root: str, at: dt.datetime | None = None) -> str:
-    """Write df as Parquet to a new folder of root named by time, so that no earlier state is overwritten."""
-    path = f"{root}/version={(at or dt.datetime.now(dt.timezone.utc)):%Y%m%d_%H%M%S_%f}"
-    df.write.mode("error").parquet(path)
-    return path
-
-
-def read_version(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
-    """The rows of one version below root, the latest if none is named."""
-    all_ = spark.read.parquet(root)
-    wanted = F.lit(version) if version else all_.agg(F.max("version")).first()[0]
-    return all_.where(F.col("version") == wanted).drop("version")

@@ -168,8 +168,8 @@ def find_projects(spark: SparkSession, root: str, most_depth: int = 6) -> DataFr
 
 
 def find_files(spark: SparkSession, root: str, endings: tuple[str, ...], least_bytes: int = 0, most: int = 30, skip: tuple[str, ...] = ()) -> DataFrame:
-    """Largest files below root with one of the endings: path, bytes, modified. Content isn't read."""
+    """Largest files below root with one of the endings: path, bytes, modified. skip: folders that no part of the path may be. Content isn't read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
-    for s in skip:
-        f = f.where(~F.col("path").contains(s))
+    if skip:
+        f = f.where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(s.strip("/")) for s in skip])))
     return f.where(F.lower("path").rlike("(" + "|".join(e.replace(".", "\\.") for e in endings) + ")$") & (F.col("bytes") >= least_bytes)).orderBy(F.desc("bytes"), "path").limit(most)
