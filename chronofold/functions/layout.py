@@ -55,16 +55,40 @@ def hold_seconds(ms: Column) -> Column:
     return F.when(ms <= 30_000, 5).otherwise(20)
 
 
+def zoom_phases(style: Style = Style()) -> list[tuple[float, float, str]]:
+    """(from, until, kind) of a cycle: in by half a cosine wave, held, out by another; then it rests."""
+    go, hold = max(0.1, style.transition_s), max(0.0, style.hold_s)
+    return [(0.0, go, "in"), (go, go + hold, "held"), (go + hold, 2 * go + hold, "out")]
+
+
 def zoom(t: Column, style: Style = Style()) -> Column:
-    """Zoom factor at t seconds: in by half a cosine wave, rest, out by another, rest."""
+    """Zoom factor at t seconds."""
     if style.zoom <= 0:
         return F.lit(1.0)
-    go, hold = max(0.1, style.transition_s), max(0.0, style.hold_s)
-    phase = t % style.cycle_s
-    shape = F.when(phase < go, (1 - F.cos(pi * phase / go)) / 2).when(phase < go + hold, 1.0).when(phase < 2 * go + hold, (1 + F.cos(pi * (phase - (go + hold)) / go)) / 2).otherwise(0.0)
+    phase, shape = t % style.cycle_s, F.lit(0.0)
+    for start, until, kind in reversed(zoom_phases(style)):
+        turn = F.cos(pi * (phase - start) / max(0.1, style.transition_s))
+        value = {"in": (1 - turn) / 2, "held": F.lit(1.0), "out": (1 + turn) / 2}[kind]
+        shape = F.when(phase < until, value).otherwise(shape)
     return 1.0 + style.zoom * shape
 
 
+def zoom_filter(width: Column, height: Column, fps: Column, style: Style = Style(), upscale: int = 2) -> Column:
+    """The renderer's zoom, as text: the phases nested into one expression of the frame number. Empty without zoom."""
+    if style.zoom <= 0:
+        return F.lit("")
+    rate, go = F.format_string("%.6f", fps.cast("double")), f"{max(0.1, style.transition_s):.3f}"
+    phase = F.concat(F.lit("mod(on/"), rate, F.lit(f",{style.cycle_s:.3f})"))
+    shape = F.lit("0")
+    for start, until, kind in reversed(zoom_phases(style)):
+        since = phase if not start else F.concat(F.lit("("), phase, F.lit(f"-{start:.3f})"))
+        value = {"in": F.concat(F.lit("(1-cos(PI*"), since, F.lit(f"/{go}))/2")), "held": F.lit("1"), "out": F.concat(F.lit("(1+cos(PI*"), since, F.lit(f"/{go}))/2"))}[kind]
+        shape = F.concat(F.lit("if(lt("), phase, F.lit(f",{until:.3f}),"), value, F.lit(","), shape, F.lit(")"))
+    larger = f"scale=iw*{upscale}:ih*{upscale}," if upscale > 1 else ""
+    size = F.concat(width.cast("string"), F.lit("x"), height.cast("string"))
+    return F.concat(F.lit(f"{larger}zoompan=z='1.0+{style.zoom:.4f}*("), shape, F.lit(")':d=1:x='iw/2-(iw/zoom/2)':y='ih/2-(ih/zoom/2)':s="), size, F.lit(":fps="), rate)
+
+
 def wrap(words: Column, most: int, measure: Callable[[Column], Column]) -> Column:
     """Lines of words no wider than most, by measure of their text; a last line of one word gets the word before it, if that line keeps two."""
 
@@ -110,19 +134,25 @@ def filter_graph(ranges: Column, short_side: int) -> Column:
     return F.concat(joined, F.lit(f";[outv]{scale}[scaled]")) if scale else joined
 
 
-def overlay_graph(cues: Column, height: Column, signature: Column, style: Style = Style()) -> Column:
-    """Chain of overlays, one for each cue (start_ms, end_ms), shown in its time; the signature comes first, below them."""
+def overlay_graph(cues: Column, height: Column, signature: Column, style: Style = Style(), zoom: Column | None = None) -> Column:
+    """Chain of overlays, one for each cue (start_ms, end_ms), shown in its time; the signature comes first, below them.
+
+    zoom: a filter's text, or empty; it comes before all overlays, so that only the picture moves.
+    """
     n = F.size(cues)
     margin = F.floor(height * F.when(signature, style.bottom + style.lift).otherwise(style.bottom)).cast("string")
     low = F.floor(height * style.signature_bottom).cast("string")
-    first = F.when(signature, F.concat(F.lit("[0:v]["), (n + 1).cast("string"), F.lit(":v]overlay=x=(W-w)/2:y=H-h-"), low, F.lit("[sig]")))
+    zooms = F.lit(False) if zoom is None else zoom != ""
+    picture = F.when(zooms, F.lit("[zoomed]")).otherwise(F.lit("[0:v]"))
+    moved = F.when(zooms, F.concat(F.lit("[0:v]"), zoom if zoom is not None else F.lit(""), F.lit("[zoomed]")))
+    first = F.when(signature, F.concat(picture, F.lit("["), (n + 1).cast("string"), F.lit(":v]overlay=x=(W-w)/2:y=H-h-"), low, F.lit("[sig]")))
 
     def one(c: Column, i: Column) -> Column:
-        source = F.when(i > 0, F.concat(F.lit("[v"), (i - 1).cast("string"), F.lit("]"))).when(signature, "[sig]").otherwise("[0:v]")
+        source = F.when(i > 0, F.concat(F.lit("[v"), (i - 1).cast("string"), F.lit("]"))).when(signature, F.lit("[sig]")).otherwise(picture)
         when = F.concat(seconds_text(c["start_ms"]), F.lit(","), seconds_text(c["end_ms"]))
         return F.concat(source, F.lit("["), (i + 1).cast("string"), F.lit(":v]overlay=x=0:y=H-h-"), margin, F.lit(":enable='between(t,"), when, F.lit(")'[v"), i.cast("string"), F.lit("]"))
 
-    return F.array_join(F.array_compact(F.concat(F.array(first), F.transform(cues, one))), ";")
+    return F.array_join(F.array_compact(F.concat(F.array(moved, first), F.transform(cues, one))), ";")
 
 
 def score_width(score: Column) -> Column:

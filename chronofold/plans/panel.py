@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import layout as L
 from ..functions import text as T
+from ..functions.measured import Glyphs, wrap_measured
 from ..functions.text import word_list
 from ..operators import captions as C
 from ..operators import speakers as V
 from ..operators import views as P
+from ..operators.frames import quiet
 from ..sources import formats, tables
 from .captioning import _CHUNKS, _GROUPS, _W, _spread
 from .editorial import _META, k2, titles_json
@@ -169,6 +171,40 @@ def c9(spark, d):
     return g.where(F.size("words") > 0).select("media_id", "seq", L.overlay_graph(cues, F.lit(1920), F.col("seq") % 2 == 0).alias("graph"))
 
 
+#: Widths of an invented font: narrow, wide and all other characters.
+FONT = {c: 4.0 for c in "ijl.,;:!|"} | {c: 14.0 for c in "mwMW"} | {" ": 5.0}
+
+
+def x13_measured(spark, d):
+    """Lines of at most 300 pixels by the widths of their characters, without a lonely last word."""
+    u = tables.utterances(spark, d).withColumn("words", word_list(F.col("text")))
+    lines = wrap_measured(F.col("words"), 300, Glyphs(FONT, 10.0))
+    return u.select("media_id", "seq", F.posexplode(lines).alias("pos", "line"))
+
+
+def s2(spark, d):
+    """Quiet stretches of each kind of event, whose values are samples numbered by event."""
+    e = tables.read(spark, d, "events")
+    samples = e.select(F.col("event_type").alias("media_id"), F.col("event_id").alias("i"), (F.col("value") % 10 / 10).alias("x"))
+    return quiet(samples, 20, 100, -6.0, 300, span_ms=60_000)
+
+
+def m5_filter(spark, d):
+    """Zoom filter of each project's picture, on for two thirds of them."""
+    m = _base(spark, d)[2]
+    w, h, fps = F.col("media_id") % 5 * 320 + 640, F.col("media_id") % 3 * 540 + 540, F.lit(24) + F.col("media_id") % 4 * 1.99
+    on, still = L.zoom_filter(w, h, fps, L.Style(hold_s=5.0)), L.zoom_filter(w, h, fps, L.Style(zoom=0.0))
+    return m.select("media_id", F.when(F.col("media_id") % 3 > 0, on).otherwise(still).alias("filter"))
+
+
+def c9_zoomed(spark, d):
+    """Overlay chains over a moving picture: the zoom comes first, for two of three utterances."""
+    g = _spread(spark, d).withColumn("groups", C.group_words(C.merge_short(F.col("timed"))))
+    cues = F.transform("groups", lambda x: F.struct(F.get(x, F.lit(0))["start_ms"].alias("start_ms"), F.element_at(x, -1)["end_ms"].alias("end_ms")))
+    zoom = F.when(F.col("seq") % 3 > 0, L.zoom_filter(F.lit(1080), F.lit(1920), F.lit(30))).otherwise("")
+    return g.where(F.size("words") > 0).select("media_id", "seq", L.overlay_graph(cues, F.lit(1920), F.col("seq") % 2 == 0, zoom=zoom).alias("graph"))
+
+
 # ---- speakers ----
 
 
@@ -215,7 +251,7 @@ def c8(spark, d):
 
 QUERIES = {
     "s13_queue_json": s13, "j11_c12_panel_view": j11, "f13_f23_published": f13, "f21_status_labels": f21, "f14_without_date": f14, "a10_panel_kpis": a10, "t5_t6_panel_orders": t5, "c13_agenda": c13, "j18_rename_files": j18,
-    "c11_f20_scheduled_batch": c11, "c11_direct_batch": c11_direct, "t3_c11_second_channel": t3, "f20_answers": f20, "m5_zoom_curve": m5, "m6_m8_x14_d7_layout": m6, "x13_pixel_wrap": x13, "c9_overlay_graph": c9,
+    "c11_f20_scheduled_batch": c11, "c11_direct_batch": c11_direct, "t3_c11_second_channel": t3, "f20_answers": f20, "m5_zoom_curve": m5, "m6_m8_x14_d7_layout": m6, "x13_pixel_wrap": x13, "c9_overlay_graph": c9, "x13_measured_wrap": x13_measured, "s2_quiet_frames": s2, "m5_zoom_filter": m5_filter, "c9_zoomed_graph": c9_zoomed,
     "c7_m4_diarize": c7, "a2_cluster_shares": a2, "j16_window_speakers": j16, "c8_refined_turns": c8,
 }
 
@@ -260,3 +296,27 @@ SELECT media_id, seq, CAST(pos AS INT) AS pos, CASE WHEN gives THEN array_to_str
 SELECT media_id, seq, CASE WHEN seq % 2 = 0 THEN '[0:v][' || (max(n) + 1) || ':v]overlay=x=(W-w)/2:y=H-h-182[sig];' ELSE '' END || string_agg(CASE WHEN g > 0 THEN '[v' || (g - 1) || ']' WHEN seq % 2 = 0 THEN '[sig]' ELSE '[0:v]' END || '[' || (g + 1) || ':v]overlay=x=0:y=H-h-' || h || format(':enable=''between(t,{}.{:03d},{}.{:03d})''', s // 1000, s % 1000, e // 1000, e % 1000) || '[v' || g || ']', ';' ORDER BY g) AS graph FROM x GROUP BY media_id, seq""",
     "a2_cluster_shares": "WITH" + UTTERANCES + ", c AS (SELECT media_id, speaker, count(*) AS n FROM u GROUP BY ALL), s AS (SELECT media_id, CAST(sum(n) AS BIGINT) AS n, CAST(min(n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS x FROM c GROUP BY media_id) SELECT media_id, n, round(x, 6) AS smallest, x < 0.4 AS doubtful FROM s",
 }
+_WIDE = "list_sum(list_transform(string_split({x}, ''), lambda c: CASE WHEN contains('ijl.,;:!|', c) THEN 4 WHEN contains('mwMW', c) THEN 14 ELSE 10 END))"
+_ZOOM = (
+    "'scale=iw*2:ih*2,zoompan=z=''1.0+0.1200*(if(lt(' || {p} || ',4.000),(1-cos(PI*' || {p} || '/4.000))/2,if(lt(' || {p} || ',{b}),1,if(lt(' || {p} || ',{c}),(1+cos(PI*(' || {p} || '-{b})/4.000))/2,0))))'':d=1"
+    ":x=''iw/2-(iw/zoom/2)'':y=''ih/2-(ih/zoom/2)'':s=' || {size} || ':fps=' || {fps}"
+)
+_MOVING = _ZOOM.format(b="14.000", c="18.000", size="'1080x1920'", fps="'30.000000'", p="'mod(on/30.000000,28.000)'")
+_CHAIN = ORACLE["c9_overlay_graph"]
+_CHAIN = _CHAIN.replace("CASE WHEN seq % 2 = 0 THEN '[0:v]['", f"CASE WHEN seq % 3 > 0 THEN '[0:v]' || {_MOVING} || '[zoomed];' ELSE '' END || CASE WHEN seq % 2 = 0 THEN CASE WHEN seq % 3 > 0 THEN '[zoomed][' ELSE '[0:v][' END")
+_CHAIN = _CHAIN.replace("ELSE '[0:v]' END", "WHEN seq % 3 > 0 THEN '[zoomed]' ELSE '[0:v]' END")
+ORACLE |= {
+    "x13_measured_wrap": _W + f""", wd AS (SELECT media_id, seq, words, list_transform(words, lambda x: {_WIDE.format(x="x")}) AS wd FROM ws WHERE len(words) > 0),
+wk AS (SELECT media_id, seq, words, wd, 1 AS i, 0 AS chunk, wd[1] AS size FROM wd
+  UNION ALL SELECT media_id, seq, words, wd, i + 1, CASE WHEN size + 5 + wd[i + 1] <= 300 THEN chunk ELSE chunk + 1 END, CASE WHEN size + 5 + wd[i + 1] <= 300 THEN size + 5 + wd[i + 1] ELSE wd[i + 1] END FROM wk WHERE i < len(words)),
+c AS (SELECT media_id, seq, chunk AS pos, list(words[i] ORDER BY i) AS l, list(wd[i] ORDER BY i) AS lw FROM wk GROUP BY ALL),
+p AS (SELECT *, max(pos) OVER (PARTITION BY media_id, seq) AS top, lead(l) OVER w AS nx, lead(lw) OVER w AS nw, lag(l) OVER w AS pv, lag(lw) OVER w AS pw FROM c WINDOW w AS (PARTITION BY media_id, seq ORDER BY pos)),
+m AS (SELECT *, pos = top - 1 AND len(nx) = 1 AND len(l) > 2 AND lw[-1] + 5 + nw[1] <= 300 AS gives, pos = top AND len(l) = 1 AND len(pv) > 2 AND pw[-1] + 5 + lw[1] <= 300 AS takes FROM p)
+SELECT media_id, seq, CAST(pos AS INT) AS pos, array_to_string(CASE WHEN gives THEN l[1:-2] WHEN takes THEN list_concat([pv[-1]], l) ELSE l END, ' ') AS line FROM m""",
+    "s2_quiet_frames": """WITH f AS (SELECT event_type AS media_id, event_id // 20 AS f, avg((value % 10 / 10) * (value % 10 / 10)) AS p FROM events WHERE value IS NOT NULL GROUP BY ALL),
+l AS (SELECT *, f - row_number() OVER (PARTITION BY media_id ORDER BY f) AS k FROM f WHERE p < pow(10, -0.6))
+SELECT media_id, CAST(min(f) * 200 AS BIGINT) AS start_ms, CAST((max(f) + 1) * 200 AS BIGINT) AS end_ms, count(*) AS n FROM l GROUP BY media_id, k HAVING count(*) * 200 >= 300""",
+    "m5_zoom_filter": "WITH" + UTTERANCES + ", m AS (SELECT media_id, (media_id % 5 * 320 + 640) || 'x' || (media_id % 3 * 540 + 540) AS size, format('{:.6f}', CAST(24 + media_id % 4 * 1.99 AS DOUBLE)) AS fps FROM med), z AS (SELECT *, 'mod(on/' || fps || ',18.000)' AS p FROM m) SELECT media_id, CASE WHEN media_id % 3 > 0 THEN "
+    + _ZOOM.format(b="9.000", c="13.000", size="size", fps="fps", p="p") + " ELSE '' END AS filter FROM z",
+    "c9_zoomed_graph": _CHAIN,
+}

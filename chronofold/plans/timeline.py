@@ -50,9 +50,9 @@ def c8_given(spark, d):
 
 
 def j2_stray(spark, d):
-    """Silences in grid windows, of which every seventh never ends."""
+    """Silences in grid windows, of which one in each medium never ends."""
     _, s, m = _base(spark, d)
-    g = grid(m).withColumn("w_end", F.when(F.col("clip") % 7 == 3, F.lit(10**13)).otherwise(F.col("w_end")))
+    g = grid(m).withColumn("w_end", F.when(F.col("clip") == 3, F.lit(10**13)).otherwise(F.col("w_end")))
     return I.clip_join(g, s, 1).select("media_id", "clip", "start_ms", "end_ms")
 
 
@@ -84,6 +84,6 @@ ORACLE = {
   UNION ALL SELECT z.media_id, ww.start_ms, ww.end_ms, CASE (z.seq + pos) % 3 WHEN 1 THEN speaker WHEN 0 THEN 'user' ELSE 'assistant' END, z.seq, pos FROM z JOIN ww ON z.media_id = ww.media_id AND z.seq = ww.seq WHERE tr),
 r AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY s, e, sp, seq, pos) AS rn, s, greatest(s, e) AS e, sp FROM ev), """
     + _LOOP.format(gap=250, end="greatest(t.b, r.e)") + " SELECT * FROM tu",
-    "j2_windows_without_end": _G + "," + GRID + ", g AS (SELECT media_id, clip, w_start, CASE WHEN clip % 7 = 3 THEN 10000000000000 ELSE w_end END AS w_end FROM grid) SELECT g.media_id, clip, greatest(start_ms, w_start) AS start_ms, least(end_ms, w_end) AS end_ms FROM g JOIN sil s ON s.media_id = g.media_id AND start_ms < w_end AND end_ms > w_start",
+    "j2_windows_without_end": _G + "," + GRID + ", g AS (SELECT media_id, clip, w_start, CASE WHEN clip = 3 THEN 10000000000000 ELSE w_end END AS w_end FROM grid) SELECT g.media_id, clip, greatest(start_ms, w_start) AS start_ms, least(end_ms, w_end) AS end_ms FROM g JOIN sil s ON s.media_id = g.media_id AND start_ms < w_end AND end_ms > w_start",
     "i13_whole_media": _G + ", win AS (SELECT media_id, CAST(0 AS BIGINT) AS start_ms, total_ms AS end_ms FROM med)," + POINTS + "," + SPLIT.replace("60000", "20000") + " SELECT * FROM pieces",
 }

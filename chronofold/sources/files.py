@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +15,15 @@ def documents(spark: SparkSession, root: str, pattern: str = "*", name: Column |
     """(media_id, path, modified, bytes, content, text) of each file below root whose name fits; files are packed into partitions by size.
 
     media_id is the folder that holds the file, or name, an expression over path. text is null if content isn't UTF-8.
+    Spark reads no row from a file of no bytes, so those are told from the list of files, which it keeps on the driver.
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     text = F.col("content").cast("string")
     folder = F.element_at(F.split("path", "/"), -2)
     named = f.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), "content", F.when(F.is_valid_utf8(text), text).alias("text"))
-    return named.select((name if name is not None else folder).alias("media_id"), "*")
+    listed = spark.createDataFrame([(unquote(p).replace("file:///", "file:/", 1),) for p in f.inputFiles()], "path string")
+    bare = listed.join(f.select("path"), "path", "left_anti").select("path", F.lit(None).cast("timestamp").alias("modified"), F.lit(0).cast("long").alias("bytes"), F.lit(b"").alias("content"), F.lit("").alias("text"))
+    return named.unionByName(bare).select((name if name is not None else folder).alias("media_id"), "*")
 
 
 def refusal(json: bool) -> Column:
