@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -72,6 +73,28 @@ class Scratch:
         self.drop(*[kept for kept, _ in self.held if not any(kept is t for t in tables)])
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole(df: DataFrame) -> Column:
+    """Each row as one struct, whatever its columns are called."""
+    return F.struct(*[quoted(c) for c in df.columns])
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
+def forget(spark: SparkSession) -> None:
+    """Let the driver find shuffles that nothing refers to any more, whose files Spark then deletes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """df marked for broadcast if it has at most so many rows."""
     return F.broadcast(df) if df.count() <= most else df

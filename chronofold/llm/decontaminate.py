@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, table, words_by
+from .common import ascii_lower, cut, table, whole, words_by
 
 #: Fixed value: what separates words, all ASCII but digits and letters (after lower-casing).
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -110,13 +110,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows that hold a window of an item."""
     bad = hits(docs.select("doc_id", "text"), items).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    held = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", digest(F.col("text")).alias("h"))
+    held = docs.select(whole(docs).alias("_doc"), "doc_id", digest(F.col("text")).alias("h"))
     return held.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_anti").select("_doc.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a window of a benchmark item go."""
-    return clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 ORACLE = r"""

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blank_words, counted_out, cut, table
+from .common import blank_words, counted_out, cut, table, whole
 
 SEED, RANGES_HEX = "mix-1", 3
 
@@ -69,16 +69,31 @@ def mix(docs: DataFrame, most_epochs: int = 3) -> DataFrame:
     return placed.select("_key", "_copy", "_many", "doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with _copy: the number, from 1, of each among those of its _source and _key.
+
+    Rows are numbered in their partition, partitions by what those before them hold, so a row that repeats without end is
+    many tasks' work. Partitions are those of the rows, which a task that runs again finds as they were.
+    """
+    held = rows.withColumn("_part", F.spark_partition_id())
+    counts = held.groupBy("_source", "_key", "_part").agg(F.count("*").alias("_n"))
+    before = W.partitionBy("_source", "_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(F.col("_source").alias("_s2"), F.col("_key").alias("_k2"), F.col("_part").alias("_p2"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    own = held.withColumn("_at", F.row_number().over(W.partitionBy("_source", "_key", "_part").orderBy("_key")))
+    same = F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_key") == F.col("_k2")) & (F.col("_part") == F.col("_p2"))
+    return own.join(counts, same).withColumn("_copy", F.col("_from") + F.col("_at")).drop("_part", "_s2", "_k2", "_p2", "_from", "_at")
+
+
 def mixed(docs: DataFrame, most_epochs: int = 3) -> DataFrame:
     """The mix itself: each row as often as its epochs, and the row at a cut with its first words only."""
     plan = mix(docs, most_epochs).where("taken > 0").select(F.col("source").alias("_s"), F.col("_key").alias("_k"), F.col("_copy").alias("_c"), "_many", F.col("size").alias("_size"), "taken")
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("source").alias("_source"), _key().alias("_key"))
+    rows = docs.select(whole(docs).alias("_doc"), F.col("source").alias("_source"), _key().alias("_key"))
     of = (F.col("_key") == F.col("_k")) & F.col("_source").eqNullSafe(F.col("_s"))
     met = rows.join(plan.where("_many = 1"), of)
     again = cut(plan.where("_many > 1"))
     if not again.isEmpty():  # only rows that repeat are numbered
         repeated = rows.join(again.select("_k", "_s").distinct(), of, "left_semi")
-        repeated = repeated.withColumn("_copy", F.row_number().over(W.partitionBy("_source", "_key").orderBy("_key")).cast("long"))
+        repeated = numbered(repeated)
         met = met.unionByName(repeated.join(again, of & (F.col("_copy") == F.col("_c"))).drop("_copy"))
     # at most most_epochs turns
     met = met.withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.try_divide(F.col("taken") - 1, F.col("_size")).cast("long"))))

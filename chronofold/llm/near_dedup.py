@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, TO_LOWER, Scratch, find_words, hash_words, mix, ship, small, table, text_slices
+from .common import BLANKS, TO_LOWER, Scratch, find_words, hash_words, mix, ship, small, table, text_slices, whole
 
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
@@ -309,7 +309,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = keyed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x")).select("comp", F.col("x.doc_id").alias("_id"), F.col("x.h").alias("_h"))
     judged = work.keep(keyed.join(first, "comp").select("doc_id", "h", "many", (F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).alias("stays")))
     gone, again = judged.where(~F.col("stays")), judged.where("stays and many > 1")
-    held = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("_id"), F.when(~bare, digest(F.col("text"))).alias("_h"))
+    held = docs.select(whole(docs).alias("doc"), F.col("doc_id").alias("_id"), F.when(~bare, digest(F.col("text"))).alias("_h"))
     same = lambda other: F.col("_id").eqNullSafe(other["doc_id"]) & (F.col("_h") == other["h"])
     gone = small(gone.select("doc_id", "h"))
     left = held.join(gone, same(gone), "left_anti")

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, blank_words, table
+from .common import BLANKS, blank_words, table, whole
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: What the learned rules may test: each is a ratio, so that long and short texts compare.
@@ -212,6 +212,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     an id that is never negative: over such a column the optimizer does not push the filter down, which
     would copy the nested statistics into it many times over.
     """
-    held = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))
+    held = docs.select("doc_id", "text", whole(docs).alias("_doc"))
     judged = judge(held, table(spark, sf_dir, "labels")).withColumn("_hold", F.monotonically_increasing_id())
     return judged.where(F.col("kept") & (F.col("_hold") >= 0)).select("_doc.*")

@@ -5,8 +5,7 @@ rule fits, personalised PageRank decides: trust flows from hosts with allowed pa
 edges, distrust flows from hosts with blocked pages along reversed host edges. Host edges are the
 pages' hyperlinks to other hosts, counted by pair, and each host's edges with its parent domain.
 Both walks run in one table keyed by kind and host, an equi-join and a grouped sum an iteration, until
-no further host is reached and the ranks of a kind, which sum to 1, change by at most ``tolerance`` in
-all. The graph knows hosts without userinfo and port; output and rules have the url's own.
+no further host is reached and no host's rank changes by more than ``tolerance``, as a share of it, in four steps. The graph knows hosts without userinfo and port; output and rules have the url's own.
 
 Defined cases: a null url or one without :// has empty host and path, fits no rule, and its verdict
 is the default; a null html has no links; a host that no walk reaches gets the default (allow), and so
@@ -21,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, table
+from .common import Scratch, ascii_lower, cut, forget, table
 
 #: Fixed values: (host, path, verdict) of the explicit rules.
 RULES = (
@@ -68,42 +67,55 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-6, damping: float = 0.85, cut_every: int = 4, most_broadcast: int = 200_000) -> DataFrame:
     """(kind, host, rank): personalised PageRank of each kind of seed over that kind's edges.
 
-    edges: kind, src, dst, weight; seeds: kind, host, weight. Ranks of at most most_broadcast nodes, which are
-    counted, go to the edges, dealt by target once for all steps, so that a step shuffles nothing (at most
-    as many edges, counted too, stay in one partition); more are joined by shuffles.
+    edges: kind, src, dst, weight; seeds: kind, host, weight. Steps go on until no further host is reached and
+    no host's own rank has changed by more than tolerance, as a share of it, in cut_every steps.
+
+    Ranks of at most most_broadcast nodes, which are counted, go to the edges, dealt by target once for all steps, so
+    that a step shuffles nothing (at most as many edges, counted too, stay in one partition). Beyond that edges are
+    dealt by source once, ranks come out of each step dealt by host, and meet them where they are: a step shuffles
+    ranks only. Superseded ranks and shuffles are deleted.
     """
+    spark = edges.sparkSession
+    work = Scratch(spark)
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("all"))
-    start = cut(seeds.join(total, "kind").select("kind", "host", (F.col("weight") / F.col("all")).alias("seed")))
+    start = work.keep(seeds.join(total, "kind").select("kind", "host", (F.col("weight") / F.col("all")).alias("seed")))
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
     nodes = edges.select("kind", F.col("src").alias("host")).union(edges.select("kind", "dst")).union(start.select("kind", "host")).distinct()
     stay = nodes.join(out, (nodes["kind"] == out["kind"]) & (nodes["host"] == out["src"]), "left_anti").select("kind", F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("share"))
     shares = edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share")).union(stay)
-    # the seeds' part of each step comes from a node without name, whose rank is always 1
-    arcs = shares.select("kind", "src", "dst", (damping * F.col("share")).alias("part")).union(start.select("kind", F.lit(""), "host", (1 - damping) * F.col("seed")))
-    arcs = cut(arcs.toDF("kind", "src", "dst", "part"))
-    source = start.select("kind", F.lit("").alias("host"), F.lit(1.0).alias("rank")).distinct()
+    kept = work.keep(shares.select("kind", "src", "dst", (damping * F.col("share")).alias("part")))
+    given = start.select("kind", F.col("host").alias("dst"), ((1 - damping) * F.col("seed")).alias("mass"))
     few = nodes.count() <= most_broadcast
-    if few and arcs.count() <= most_broadcast:
-        arcs = arcs.coalesce(1).persist()  # so few edges are one task's work
-    elif few:
-        arcs = arcs.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "dst").persist()
-    rank = start.select("kind", "host", F.col("seed").alias("rank"))
+    if few:
+        # the seeds' part of each step comes from a node without name, whose rank is always 1
+        arcs = kept.union(given.select("kind", F.lit(""), "dst", "mass"))
+        one = arcs.count() <= most_broadcast  # so few edges are one task's work
+        arcs = (arcs.coalesce(1) if one else arcs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "kind", "dst")).persist()
+        source = start.select("kind", F.lit("").alias("host"), F.lit(1.0).alias("rank")).distinct()
+    else:
+        arcs = kept.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "kind", "src").persist()
+    rank = work.keep(start.select("kind", "host", F.col("seed").alias("rank")))
 
     def step(rank: DataFrame) -> DataFrame:
-        held = rank.union(source).withColumnRenamed("host", "src")
-        return arcs.join(F.broadcast(held) if few else held, ["kind", "src"]).groupBy("kind", "dst").agg(F.sum(F.col("rank") * F.col("part")).alias("rank")).select("kind", F.col("dst").alias("host"), "rank")
+        held = (rank.union(source) if few else rank).withColumnRenamed("host", "src")
+        met = arcs.join(F.broadcast(held) if few else held, ["kind", "src"]).select("kind", "dst", (F.col("rank") * F.col("part")).alias("mass"))
+        return (met if few else met.union(given)).groupBy("kind", "dst").agg(F.sum("mass").alias("rank")).withColumnRenamed("dst", "host")
 
     while True:
-        old = rank
+        old, new = rank, rank
         for _ in range(cut_every):
-            rank = step(rank)
-        rank = cut(rank.coalesce(8) if few else rank)
+            new = step(new)
+        rank = work.keep(new.coalesce(8) if few else new)
         # a host once reached keeps a rank, so a host on one side only is newly reached
         before = old.select("kind", "host", F.col("rank").alias("old"))
-        change = rank.join(F.broadcast(before) if few else before, ["kind", "host"], "left").groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0)))).alias("by"), F.count(F.when(F.col("old").isNull(), 1)).alias("new"))
-        if change.where(f"by > {tolerance!r} or new > 0").isEmpty():
-            if few:
-                arcs.unpersist()
+        change = rank.join(F.broadcast(before) if few else before, ["kind", "host"], "left").where(F.col("old").isNull() | (F.abs(F.col("rank") - F.col("old")) > tolerance * F.col("rank")))
+        settled = change.isEmpty()
+        work.drop(old)
+        if not few:
+            forget(spark)
+        if settled:
+            arcs.unpersist()
+            work.drop_all_but(rank)
             return rank
 
 
