@@ -55,22 +55,23 @@ def seeds(points: DataFrame, k: int, seed: int = 7) -> DataFrame:
 def kmeans(points: DataFrame, k: int, most_rounds: int = 25, tolerance: float = 1e-9, seed: int = 7) -> DataFrame:
     """(media_id, seq, cluster) of vectors (media_id, seq, v), each medium grouped by itself, all media at once.
 
-    From seeded, distance-weighted first centres on, rounds of nearest centre and mean until no centre of any medium moves by
-    more than tolerance (squared). A cluster that empties takes the vector farthest from its own centre, so clusters
+    From seeded, distance-weighted first centres on, each medium goes through rounds of nearest centre and mean until none
+    of its centres moves by more than tolerance (squared); it takes no part in later rounds. A cluster that empties takes the vector farthest from its own centre, so clusters
     are as many as first centres. A round shuffles one vector sum for each task and cluster; centres are kept
     in the shared folder.
     """
     kept = Kept(points.sparkSession)
     points = kept.keep(points.select("media_id", "seq", "v"))
-    centres = kept.keep(seeds(points, k, seed))
-    for _ in range(most_rounds):
-        new = kept.keep(_moved(points, centres))
-        moved = new.agg(F.max("moved")).first()[0]
-        kept.drop(centres)
-        centres = new
-        if moved is None or moved <= tolerance:
+    left, settled = kept.keep(seeds(points, k, seed)), None
+    for n in range(most_rounds):
+        new = kept.keep(_moved(points, left))
+        still = new.where(F.col("moved") <= tolerance) if n < most_rounds - 1 else new
+        done = still.select("media_id", "centres")
+        settled = done if settled is None else settled.unionByName(done)
+        left = new.where(F.col("moved") > tolerance).select("media_id", "centres")
+        if left.isEmpty():
             break
-    return points.join(centres, "media_id").select("media_id", "seq", _nearest().alias("cluster"))
+    return points.join(settled, "media_id").select("media_id", "seq", _nearest().alias("cluster"))
 
 
 def _nearest() -> Column:
