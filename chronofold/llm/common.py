@@ -83,12 +83,6 @@ def whole(df: DataFrame) -> Column:
     return F.struct(*[quoted(c) for c in df.columns])
 
 
-def free_name(name: str, taken: list[str]) -> str:
-    while name in taken:
-        name += "_"
-    return name
-
-
 def forget(spark: SparkSession) -> None:
     """Let the driver find shuffles that nothing refers to any more, whose files Spark then deletes."""
     gc.collect()

@@ -70,18 +70,13 @@ def mix(docs: DataFrame, most_epochs: int = 3) -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """rows with _copy: the number, from 1, of each among those of its _source and _key.
+    """Different rows (_doc) of each _source and _key, with the copy numbers _first to _last that they hold, from 1 on.
 
-    Rows are numbered in their partition, partitions by what those before them hold, so a row that repeats without end is
-    many tasks' work. Partitions are those of the rows, which a task that runs again finds as they were.
+    Rows that are equal in every column are counted in each task first, so one that repeats without end is never gathered.
     """
-    held = rows.withColumn("_part", F.spark_partition_id())
-    counts = held.groupBy("_source", "_key", "_part").agg(F.count("*").alias("_n"))
-    before = W.partitionBy("_source", "_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select(F.col("_source").alias("_s2"), F.col("_key").alias("_k2"), F.col("_part").alias("_p2"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    own = held.withColumn("_at", F.row_number().over(W.partitionBy("_source", "_key", "_part").orderBy("_key")))
-    same = F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_key") == F.col("_k2")) & (F.col("_part") == F.col("_p2"))
-    return own.join(counts, same).withColumn("_copy", F.col("_from") + F.col("_at")).drop("_part", "_s2", "_k2", "_p2", "_from", "_at")
+    alike = rows.groupBy("_source", "_key", F.md5(F.to_json("_doc").cast("binary")).alias("_variant")).agg(F.any_value("_doc").alias("_doc"), F.count("*").alias("_n"))
+    last = F.sum("_n").over(W.partitionBy("_source", "_key").orderBy("_variant"))
+    return alike.select("_source", "_key", "_doc", (last - F.col("_n") + 1).alias("_first"), last.alias("_last"))
 
 
 def mixed(docs: DataFrame, most_epochs: int = 3) -> DataFrame:
@@ -93,8 +88,7 @@ def mixed(docs: DataFrame, most_epochs: int = 3) -> DataFrame:
     again = cut(plan.where("_many > 1"))
     if not again.isEmpty():  # only rows that repeat are numbered
         repeated = rows.join(again.select("_k", "_s").distinct(), of, "left_semi")
-        repeated = numbered(repeated)
-        met = met.unionByName(repeated.join(again, of & (F.col("_copy") == F.col("_c"))).drop("_copy"))
+        met = met.unionByName(numbered(repeated).join(again, of & F.col("_c").between(F.col("_first"), F.col("_last"))).drop("_first", "_last"))
     # at most most_epochs turns
     met = met.withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.try_divide(F.col("taken") - 1, F.col("_size")).cast("long"))))
     words = F.least(F.col("_size"), F.col("taken") - F.col("_turn") * F.col("_size"))

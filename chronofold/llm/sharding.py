@@ -86,7 +86,7 @@ def shard_texts(docs: DataFrame, placed: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     of = docs.dropDuplicates(["doc_id", "text"]).withColumns({"_crc": F.crc32(text), "_size": (F.octet_length(text) + 1).cast("long")})
     on = of["doc_id"].eqNullSafe(placed["doc_id"]) & (of["_crc"] == placed["text_crc32"]) & (of["_size"] == placed["size"])
-    return of.join(placed, on).select(*[of[c] for c in docs.columns], placed["shard"], placed["slot"])
+    return of.join(placed, on).select(*[of["`" + c.replace("`", "``") + "`"] for c in docs.columns], placed["shard"], placed["slot"])
 
 
 def op7(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, shards: int = 8) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, free_name, quoted, ship, table
+from .common import cut, quoted, ship, table
 
 KEY = b"chronofold-surrogates"
 #: What the detectors look for.
@@ -262,9 +262,8 @@ def exceptions(docs: DataFrame, key: bytes = KEY, attempts: int = 60) -> DataFra
     return done
 
 
-def _with_attempts(docs: DataFrame, redrawn: DataFrame, again: str) -> DataFrame:
-    """docs with a map, named again, of the redrawn entities that each row's text mentions."""
-    row = free_name("__row__", docs.columns)
+def _with_attempts(docs: DataFrame, redrawn: DataFrame) -> DataFrame:
+    """docs with a map, again, of the redrawn entities that each row's text mentions."""
 
     def run(batches):
         import pyarrow as pa
@@ -273,10 +272,10 @@ def _with_attempts(docs: DataFrame, redrawn: DataFrame, again: str) -> DataFrame
             rows = [(r, k, norm(k, t[a:b])) for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for a, b, k in detect(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.string()) for i in (1, 2)]], ["at", "kind", "entity"])
 
-    held = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    met = held.select(row, "text").mapInArrow(run, "at long, kind string, entity string").distinct().join(redrawn, ["kind", "entity"])
-    maps = met.groupBy(F.col("at").alias(row)).agg(F.map_from_entries(F.collect_set(F.struct(F.concat("kind", F.lit(":"), "entity"), "attempt"))).alias(again))
-    return held.join(maps, row, "left").drop(row)
+    held = cut(docs.withColumn("row", F.monotonically_increasing_id()))
+    met = held.select("row", "text").mapInArrow(run, "at long, kind string, entity string").distinct().join(redrawn, ["kind", "entity"])
+    maps = met.groupBy(F.col("at").alias("row")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat("kind", F.lit(":"), "entity"), "attempt"))).alias("again"))
+    return held.join(maps, "row", "left").drop("row")
 
 
 def replaced(docs: DataFrame, key: bytes = KEY, most_exceptions: int = 10_000) -> DataFrame:
@@ -286,7 +285,7 @@ def replaced(docs: DataFrame, key: bytes = KEY, most_exceptions: int = 10_000) -
     few = redrawn.count() <= most_exceptions
     shared = {f"{r.kind}:{r.entity}": r.attempt for r in redrawn.collect()} if few else {}
     rest = [c for c in docs.columns if c != "text" and c not in {f"n_{k}" for k in KINDS}]
-    again_in = free_name("__again__", docs.columns)
+    held = [f"c{i}" for i in range(len(rest))]  # plain names on the way through Python
 
     def run(batches):
         import pyarrow as pa
@@ -294,7 +293,7 @@ def replaced(docs: DataFrame, key: bytes = KEY, most_exceptions: int = 10_000) -
         for batch in batches:
             texts, counts = [], {k: [] for k in KINDS}
             names = batch.schema.names
-            own = batch.column(names.index(again_in)).to_pylist() if not few else [None] * len(batch)
+            own = batch.column(names.index("again")).to_pylist() if not few else [None] * len(batch)
             for t, mine in zip(batch.column(names.index("text")).to_pylist(), own, strict=True):
                 again = dict(mine) if mine else shared
                 found = detect(t) if t else []
@@ -307,12 +306,13 @@ def replaced(docs: DataFrame, key: bytes = KEY, most_exceptions: int = 10_000) -
                 texts.append(t if not found else "".join([*parts, t[to:]]))
                 for k in KINDS:
                     counts[k].append(sum(x[2] == k for x in found) + (len(alone) if k == "name" else 0))
-            arrays = [batch.column(names.index(c)) for c in rest] + [pa.array(texts, pa.string())] + [pa.array(counts[k], pa.int64()) for k in KINDS]
-            yield pa.RecordBatch.from_arrays(arrays, [*rest, "text", *[f"n_{k}" for k in KINDS]])
+            arrays = [batch.column(names.index(c)) for c in held] + [pa.array(texts, pa.string())] + [pa.array(counts[k], pa.int64()) for k in KINDS]
+            yield pa.RecordBatch.from_arrays(arrays, [*held, "text", *[f"n_{k}" for k in KINDS]])
 
-    given = docs.select(*[quoted(c) for c in rest], "text")
+    given = docs.select(*[quoted(c).alias(h) for c, h in zip(rest, held)], "text")
     schema = StructType(given.schema.fields + [StructField(f"n_{k}", LongType()) for k in KINDS])
-    return (given if few else _with_attempts(given, redrawn, again_in)).mapInArrow(run, schema)
+    out = (given if few else _with_attempts(given, redrawn)).mapInArrow(run, schema)
+    return out.toDF(*rest, "text", *[f"n_{k}" for k in KINDS])
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
