@@ -127,7 +127,9 @@ def streamed(spark, d):
     path = f"{d}/events.parquet"
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     rows = lambda e: e.select(F.col("user_id").cast("string").alias("media_id"), ms.alias("start_ms"), ms.alias("end_ms"), (F.col("event_id") % 5).alias("quality"))
-    stream = rows(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*"))
+    own = spark.newSession()  # state has as many stores as partitions when it begins, so they follow the cores
+    own.conf.set("spark.sql.shuffle.partitions", str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)))
+    stream = rows(own.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*"))
     out = folder(spark, "stream")
     got = pieces.stream_pieces(stream, 7_200_000, 600_000, 10_800_000, "1 day")
     q = got.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").trigger(availableNow=True).start()
