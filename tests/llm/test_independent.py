@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronofold.llm import common, decontaminate, mixing, near_dedup, quality_rank, quality_rules, queries, secret_scan, surrogates
+from chronofold.llm import common, decontaminate, mixing, near_dedup, quality_rank, quality_rules, queries, secret_scan, surrogates, url_filter
 
 SF = "/root/testdata/sf0.001"
 BLANK = re.compile(rb"[\x20\x09-\x0D]+")
@@ -126,3 +126,20 @@ def test_copies_are_numbered_without_gathering_them(spark):
         copies.setdefault((r[0], r[1]), []).append((r[3], r[4], r[2].v))
     assert len(got) == 4 and copies[None, "k1"] == [(1, 3, "a")] and copies["s", "k2"] == [(1, 3, "a")]
     assert sorted(copies["s", "k1"]) in ([(1, 100, "a"), (101, 103, "b")], [(1, 3, "b"), (4, 103, "a")])
+
+
+@pytest.mark.parametrize("most", [200_000, 0], ids=["broadcast", "shuffled"])
+def test_every_host_settles_however_small_its_rank(spark, most):
+    """Ranks of a long chain with side links fall to a millionth, and each is right as a share of itself."""
+    n = 60
+    edges = [(f"h{i}", f"h{i + 1}", 1.0) for i in range(n - 1)] + [(f"h{i}", "h0", 2.0) for i in range(0, n - 1, 7)] + [("h3", "h40", 0.001)]
+    w = np.zeros((n, n))
+    for a, b, x in edges:
+        w[int(a[1:]), int(b[1:])] += x
+    w[n - 1, n - 1] = 1.0  # the last host leads nowhere and keeps its rank
+    w /= w.sum(axis=1, keepdims=True)
+    want = np.linalg.solve(np.eye(n) - 0.85 * w.T, 0.15 * np.eye(n)[0])
+    e = spark.createDataFrame([("trust", *x) for x in edges], "kind string, src string, dst string, weight double")
+    s = spark.createDataFrame([("trust", "h0", 3.0)], "kind string, host string, weight double")
+    got = {r.host: r.rank for r in url_filter.propagate(e, s, most_broadcast=most).collect()}
+    assert min(want) < 1e-5 and len(got) == n and all(got[f"h{i}"] == pytest.approx(want[i], rel=1e-5) for i in range(n))
