@@ -5,7 +5,7 @@ rule fits, personalised PageRank decides: trust flows from hosts with allowed pa
 edges, distrust flows from hosts with blocked pages along reversed host edges. Host edges are the
 pages' hyperlinks to other hosts, counted by pair, and each host's edges with its parent domain.
 Both walks run in one table keyed by kind and host, an equi-join and a grouped sum an iteration, until
-no further host is reached and no host's rank changes by more than ``tolerance``, as a share of it, in four steps. The graph knows hosts without userinfo and port; output and rules have the url's own.
+no further host is reached and no host's rank changes by more than ``tolerance``, as a share of it, in eight steps. The graph knows hosts without userinfo and port; output and rules have the url's own.
 
 Defined cases: a null url or one without :// has empty host and path, fits no rule, and its verdict
 is the default; a null html has no links; a host that no walk reaches gets the default (allow), and so
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, cut, forget, table
+from .common import Scratch, ascii_lower, forget, table
 
 #: Fixed values: (host, path, verdict) of the explicit rules.
 RULES = (
@@ -64,73 +64,99 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(up).union(up.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-6, damping: float = 0.85, cut_every: int = 4, most_broadcast: int = 200_000) -> DataFrame:
+class Parts:
+    """Keys that very many rows share, dealt to several parts each, so that no task meets all rows of one key.
+
+    counts: the key columns and n, a key's rows. A key has a part for each least rows, or for each most-th of all
+    rows where that is more: thus at most most keys have several parts, a table that is safe to broadcast.
+    """
+
+    def __init__(self, counts: DataFrame, work: Scratch, least: int = 10_000, most: int = 10_000):
+        self.by = [c for c in counts.columns if c != "n"]
+        size = max(least, (counts.agg(F.sum("n")).first()[0] or 0) // most)
+        self.heavy = work.keep(counts.where(F.col("n") > size).select(*self.by, F.ceil(F.col("n") / size).cast("int").alias("wide")))
+        self.any = not self.heavy.isEmpty()
+        self.keys = self.by + (["part"] if self.any else [])
+
+    def wide(self, df: DataFrame, at: str) -> DataFrame:
+        """df with wide, the number of parts of its key; column at holds the key's last column."""
+        if not self.any:
+            return df.withColumn("wide", F.lit(1))
+        named = self.heavy.withColumnRenamed(self.by[-1], at)
+        return df.join(F.broadcast(named), [*self.by[:-1], at], "left").withColumn("wide", F.coalesce("wide", F.lit(1)))
+
+    def dealt(self, df: DataFrame, by: Column) -> DataFrame:
+        """df with each row in one part of its key, which by decides."""
+        return self.wide(df, self.by[-1]).withColumn("part", F.pmod(F.xxhash64(by), F.col("wide")).cast("int")).drop("wide") if self.any else df
+
+    def fanned(self, df: DataFrame) -> DataFrame:
+        """df, which has wide, with each row in every part of its key."""
+        return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("wide") - 1))).drop("wide") if self.any else df.drop("wide")
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-6, damping: float = 0.85, cut_every: int = 8, least: int = 10_000) -> DataFrame:
     """(kind, host, rank): personalised PageRank of each kind of seed over that kind's edges.
 
     edges: kind, src, dst, weight; seeds: kind, host, weight. Steps go on until no further host is reached and
     no host's own rank has changed by more than tolerance, as a share of it, in cut_every steps.
 
-    Ranks of at most most_broadcast nodes, which are counted, go to the edges, dealt by target once for all steps, so
-    that a step shuffles nothing (at most as many edges, counted too, stay in one partition). Beyond that edges are
-    dealt by source once, ranks come out of each step dealt by host, and meet them where they are: a step shuffles
-    ranks only. Superseded ranks and shuffles are deleted.
+    A step is one equi-join and one grouped sum, whose shuffle also deals the ranks for the next join; the shuffle
+    of the arcs serves all cut_every steps. Arcs that leave a host with more than least of them are dealt to parts, to
+    each of which the host's rank goes; a host that many arcs reach is summed before the shuffle. Ranks are
+    written every cut_every steps, and superseded ranks and shuffles are deleted.
     """
-    spark = edges.sparkSession
-    work = Scratch(spark)
+    work = Scratch(edges.sparkSession)
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("all"))
-    start = work.keep(seeds.join(total, "kind").select("kind", "host", (F.col("weight") / F.col("all")).alias("seed")))
-    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
-    nodes = edges.select("kind", F.col("src").alias("host")).union(edges.select("kind", "dst")).union(start.select("kind", "host")).distinct()
-    stay = nodes.join(out, (nodes["kind"] == out["kind"]) & (nodes["host"] == out["src"]), "left_anti").select("kind", F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("share"))
-    shares = edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("share")).union(stay)
-    kept = work.keep(shares.select("kind", "src", "dst", (damping * F.col("share")).alias("part")))
-    given = start.select("kind", F.col("host").alias("dst"), ((1 - damping) * F.col("seed")).alias("mass"))
-    few = nodes.count() <= most_broadcast
-    if few:
-        # the seeds' part of each step comes from a node without name, whose rank is always 1
-        arcs = kept.union(given.select("kind", F.lit(""), "dst", "mass"))
-        one = arcs.count() <= most_broadcast  # so few edges are one task's work
-        arcs = (arcs.coalesce(1) if one else arcs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "kind", "dst")).persist()
-        source = start.select("kind", F.lit("").alias("host"), F.lit(1.0).alias("rank")).distinct()
-    else:
-        arcs = kept.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "kind", "src").persist()
-    rank = work.keep(start.select("kind", "host", F.col("seed").alias("rank")))
+    out = work.keep(edges.groupBy("kind", "src").agg(F.sum("weight").alias("out"), F.count("*").alias("n")))
+    parts = Parts(out.select("kind", "src", "n"), work, least)
+    start = work.keep(parts.wide(seeds.join(total, "kind"), "host").select("kind", "host", "wide", (F.col("weight") / F.col("all")).alias("rank")))
+    shares = parts.dealt(edges, F.col("dst")).join(parts.fanned(parts.wide(out, "src")), parts.keys)
+    shares = shares.select(*parts.keys, "dst", (F.col("weight") / F.col("out")).alias("share"))
+    nodes = edges.select("kind", F.col("dst").alias("src")).union(start.select("kind", "host")).distinct()
+    stay = nodes.join(out, ["kind", "src"], "left_anti").select("kind", "src", *[F.lit(0).alias(c) for c in parts.keys[2:]], F.col("src").alias("dst"), F.lit(1.0).alias("share"))
+    arcs = work.keep(parts.wide(shares.union(stay), "dst").select(*parts.keys, "dst", "wide", (damping * F.col("share")).alias("flow")))
+    given = start.select("kind", F.col("host").alias("dst"), "wide", ((1 - damping) * F.col("rank")).alias("mass"))
 
     def step(rank: DataFrame) -> DataFrame:
-        held = (rank.union(source) if few else rank).withColumnRenamed("host", "src")
-        met = arcs.join(F.broadcast(held) if few else held, ["kind", "src"]).select("kind", "dst", (F.col("rank") * F.col("part")).alias("mass"))
-        return (met if few else met.union(given)).groupBy("kind", "dst").agg(F.sum("mass").alias("rank")).withColumnRenamed("dst", "host")
+        met = arcs.join(parts.fanned(rank.withColumnRenamed("host", "src")), parts.keys)
+        met = met.select("kind", "dst", "wide", (F.col("rank") * F.col("flow")).alias("mass"))
+        return met.union(given).groupBy("kind", "dst").agg(F.max("wide").alias("wide"), F.sum("mass").alias("rank")).withColumnRenamed("dst", "host")
 
+    rank = start
     while True:
         old, new = rank, rank
         for _ in range(cut_every):
             new = step(new)
-        rank = work.keep(new.coalesce(8) if few else new)
+        rank = work.keep(new)
         # a host once reached keeps a rank, so a host on one side only is newly reached
         before = old.select("kind", "host", F.col("rank").alias("old"))
-        change = rank.join(F.broadcast(before) if few else before, ["kind", "host"], "left").where(F.col("old").isNull() | (F.abs(F.col("rank") - F.col("old")) > tolerance * F.col("rank")))
+        change = rank.join(before, ["kind", "host"], "left").where(F.col("old").isNull() | (F.abs(F.col("rank") - F.col("old")) > tolerance * F.col("rank")))
         settled = change.isEmpty()
-        work.drop(old)
-        if not few:
-            forget(spark)
+        if old is not start:  # every step adds the seeds
+            work.drop(old)
+        forget(edges.sparkSession)
         if settled:
-            arcs.unpersist()
             work.drop_all_but(rank)
-            return rank
+            return rank.drop("wide")
 
 
 def host_scores(pages: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """host, trust, distrust, score from pages with host, html and rule_verdict; score is trust's share."""
-    edges = cut(host_edges(pages))
+    work = Scratch(pages.sparkSession)
+    edges = work.keep(host_edges(pages))
     kinds = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("distrust"), "dst", "src", "weight"))
     seeds = pages.where("rule_verdict is not null and host <> ''").groupBy(F.when(F.col("rule_verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count("*").cast("double").alias("weight"))
     rank = propagate(kinds, seeds, tolerance)
+    work.drop(edges)
     both = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"))
     return both.withColumn("score", F.col("trust") / (F.col("trust") + F.col("distrust")))
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, threshold: float = 0.5, tolerance: float = 1e-6) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (of the host, null if no walk reaches it)."""
+def judge(pages: DataFrame, rules: tuple = RULES, threshold: float = 0.5, tolerance: float = 1e-6, least: int = 10_000) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (of the host, null if no walk reaches it).
+
+    Pages of a host with more than least of them meet its score in parts.
+    """
     host, path = parts(F.col("url"))
     of = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -138,7 +164,9 @@ def judge(pages: DataFrame, rules: tuple = RULES, threshold: float = 0.5, tolera
     of = of.withColumn("key", host_key(F.col("host")))
     scores = host_scores(of.withColumn("host", F.col("key")), tolerance).select(F.col("host").alias("key"), "score")
     of = of.drop("html")
-    met = of.where("key <> ''").join(scores, "key", "left").unionByName(of.where("key = ''").withColumn("score", F.lit(None).cast("double")))  # no host, no score
+    named = of.where("key <> ''")
+    held = Parts(named.groupBy("key").agg(F.count("*").alias("n")), Scratch(pages.sparkSession), least)
+    met = held.dealt(named, F.struct("page_id", "path")).join(held.fanned(held.wide(scores, "key")), held.keys, "left").drop("part").unionByName(of.where("key = ''").withColumn("score", F.lit(None).cast("double")))  # no host, no score
     by_links = F.when(F.round("score", 9) < threshold, "block").otherwise("allow")
     return met.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", by_links).alias("verdict"), "score")
 
