@@ -5,6 +5,7 @@ import json
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronofold.config import PanelConfig, RunConfig
 from chronofold.sinks import versions as V
@@ -81,6 +82,28 @@ def test_refused_files_say_why(spark, tmp_path):
     assert why == {"none": "nothing in it", "other": "nothing in it", "cut": "not JSON", "empty": "empty", "blank": "empty", "bytes": "not UTF-8"}
 
 
+def test_packed_documents_are_those_of_single_files(spark, tmp_path):
+    """Many documents take a few files, and are told and refused as one file each is."""
+    texts = {k: '{"turns": [{"start": 0, "end": 2, "speaker": "S1"}]}' for k in range(300)} | {7: "", 8: None, 9: '{"turns": [{"start"', 10: "é\nü"}
+    docs = spark.createDataFrame(sorted(texts.items()), "media_id long, text string").repartition(3)
+    X.pack_documents(docs, f"{tmp_path}/packed")
+    assert sum(p.name.endswith(".parquet") for p in (tmp_path / "packed").rglob("*")) <= 4
+    some = F.col("media_id").between(5, 12)
+    X.write_documents(docs.where(some), f"{tmp_path}/single")
+    told = lambda df: {(r.media_id, r.bytes, bytes(r.content), r.text) for r in df.collect()}
+    packed = X.packed_documents(spark, f"{tmp_path}/packed")
+    assert told(packed.where(F.substring_index("media_id", "=", -1).cast("int").between(5, 12))) == told(X.documents(spark, f"{tmp_path}/single", "*.txt"))
+    rows, refused = X.read_files(packed, formats.parse_speakers)
+    assert rows.count() == 296 and {r.media_id: r.reason for r in refused.collect()} == {"media_id=7": "empty", "media_id=8": "empty", "media_id=9": "not JSON", "media_id=10": "not JSON"}
+
+
+def test_file_queries_write_few_files(spark):
+    from chronofold.plans import stored
+
+    docs = spark.range(400).select(F.col("id").alias("media_id"), F.lit("{}").alias("text")).repartition(2)
+    assert len(stored.stored(spark, docs, "few").inputFiles()) <= 4
+
+
 def test_engines_fall_back_and_tell(spark):
     rows = lambda *ms: spark.createDataFrame([(m, "t") for m in ms], "media_id string, text string")
     bad = lambda *ms: spark.createDataFrame([(m, r) for m, r in ms], "media_id string, reason string")
