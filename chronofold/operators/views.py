@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.whole import in_units, total_ms
+
 #: Statuses, their labels, quota markers, posting slots, privacy levels in order of preference.
 PENDING, PUBLISHED, SCHEDULED, FAILED, NOT_QUEUED, UNKNOWN = "pendente", "publicado", "agendado", "erro", "nao_enfileirado", "desconhecido"
 LABELS = {"publicado": "publicado", "agendado": "agendado", "pendente": "na fila", "nao_enfileirado": "sem fila"}
@@ -56,7 +58,7 @@ def kpis(view: DataFrame) -> DataFrame:
     """(media_id, clips, published, scheduled, pending, minutes) of each project."""
     n = lambda s: F.count(F.when(F.col("upload_status") == s, 1))
     number = F.coalesce(F.regexp_extract("duracao", "^\\s*([0-9]+(?:\\.[0-9]+)?)", 1).try_cast("double"), F.lit(0.0))
-    return view.groupBy("media_id").agg(F.count("*").alias("clips"), n(PUBLISHED).alias("published"), n(SCHEDULED).alias("scheduled"), n(PENDING).alias("pending"), F.round(F.sum(number) / 60, 0).cast("long").alias("minutes"))
+    return view.groupBy("media_id").agg(F.count("*").alias("clips"), n(PUBLISHED).alias("published"), n(SCHEDULED).alias("scheduled"), n(PENDING).alias("pending"), in_units(total_ms(number), 60_000).alias("minutes"))
 
 
 def without_date(view: DataFrame) -> DataFrame:
