@@ -210,6 +210,6 @@ ORACLE = {
     "k2_metadata_header": _META + f", h AS (SELECT media_id, {_SEC.format('total_ms')} AS t FROM med), ft AS (SELECT media_id, string_agg(text, ' ' ORDER BY seq) AS full_transcription FROM u GROUP BY media_id) SELECT media_id, CAST(media_id AS VARCHAR) AS source, {_CLOCK.format('t')} AS total_duration, CAST(coalesce((SELECT count(*) FROM md WHERE md.media_id = h.media_id AND rendered), 0) AS INT) AS clips_generated, CAST(coalesce((SELECT count(*) FROM md WHERE md.media_id = h.media_id), 0) AS INT) AS clips_planned, 'local' AS transcription_engine, 'pt' AS language, full_transcription FROM h JOIN ft USING (media_id)",
     "s12_titles_json": _G + f" SELECT media_id, {_NAME.format('clip')} AS clip_id, 'T ' || clip AS titulo, '<b>&' AS descricao, 'a b|c' AS tags, clip % 2 = 0 AS estrela FROM grid WHERE clip % 3 = 0",
     "k8_f19_j12_report_rows": _REP + " SELECT * FROM rep",
-    "a9_report_totals": _REP + " SELECT media_id, count(*) AS clips, CAST(round_even(sum(CAST(rtrim(duration, 's') AS DOUBLE)) / 60, 0) AS BIGINT) AS minutes, CAST(round_even(sum(CAST(rtrim(removed, 's') AS DOUBLE)), 0) AS BIGINT) AS removed_s FROM rep GROUP BY media_id",
+    "a9_report_totals": _REP + " SELECT media_id, count(*) AS clips, CAST(round_even(CAST(sum(CAST(CAST(rtrim(duration, 's') AS DECIMAL(18, 3)) * 1000 AS BIGINT)) AS DOUBLE) / 60000, 0) AS BIGINT) AS minutes, CAST(round_even(CAST(sum(CAST(CAST(rtrim(removed, 's') AS DECIMAL(18, 3)) * 1000 AS BIGINT)) AS DOUBLE) / 1000, 0) AS BIGINT) AS removed_s FROM rep GROUP BY media_id",
     "k8_k9_report_payload": _REP + " SELECT media_id, CAST(count(*) AS INT) AS n, false AS unsafe FROM rep GROUP BY media_id",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clock, script_safe
+from ..functions.whole import in_units, total_ms
 from .versions import read_version, write_version  # noqa: F401
 
 
@@ -63,7 +64,7 @@ def report_rows(clips: DataFrame, titles: DataFrame) -> DataFrame:
 
 def report_totals(rows: DataFrame) -> DataFrame:
     """(media_id, clips, minutes, removed_s) of review rows; a duration that can't be read counts 0."""
-    return rows.groupBy("media_id").agg(F.count("*").alias("clips"), F.bround(F.sum(seconds(F.col("duration"))) / 60, 0).cast("long").alias("minutes"), F.bround(F.sum(seconds(F.col("removed"))), 0).cast("long").alias("removed_s"))
+    return rows.groupBy("media_id").agg(F.count("*").alias("clips"), in_units(total_ms(seconds(F.col("duration"))), 60_000, even=True).alias("minutes"), in_units(total_ms(seconds(F.col("removed"))), 1000, even=True).alias("removed_s"))
 
 
 def report_payloads(rows: DataFrame) -> DataFrame:

@@ -252,3 +252,16 @@ def test_settings():
             RunConfig(**({"source": "x.mp4"} | bad)).checked()
     assert PanelConfig.of({"zoom_amplitude": 0.2, "unknown": 1}).zoom_amplitude == 0.2 and PanelConfig().issues() == []
     assert len(PanelConfig.of({"subtitle_style": "x", "zoom_hold_s": -1, "schedule_slots": ["6h", "1:1"]}).issues()) == 3
+
+
+def test_minutes_do_not_depend_on_the_order_of_a_sum(spark):
+    """Tenths that add up to halves of a minute, whose floating sums fall short or go over in one order or another."""
+    for tenths, up, even in (([1] * 900, 2, 2), ([1] * 300, 1, 0), ([7] * 1500, 18, 18), ([3, 297, 299, 1] + [3] * 100, 2, 2), ([1] * 899, 1, 1)):
+        for order in (tenths, tenths[::-1], sorted(tenths)):
+            texts = [(i, f"{t // 10}.{t % 10}s") for i, t in enumerate(order)]
+            df = spark.createDataFrame(texts, "pos long, duracao string").coalesce(1).select(F.lit("m").alias("media_id"), "pos", "duracao", F.col("duracao").alias("duration"), F.lit("0.1s").alias("removed"), F.lit("").alias("upload_status"))
+            assert [r.minutes for r in P.kpis(df).collect()] == [up], (len(tenths), "up")
+            assert [r.minutes for r in D.report_totals(df).collect()] == [even], (len(tenths), "even")
+    half = spark.range(5).select(F.lit("m").alias("media_id"), F.lit("0s").alias("duration"), F.lit("0.1s").alias("removed"))
+    assert D.report_totals(half).first().removed_s == 0
+    assert D.report_totals(half.unionAll(half).unionAll(half)).first().removed_s == 2
