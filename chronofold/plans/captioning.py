@@ -75,8 +75,10 @@ def c6(spark, d):
     clips, u = _clip_ranges(spark, d)
     u = u.withColumn("groups", C.group_words(C.merge_short(F.col("timed")))).select("media_id", "seq", F.col("start_ms").alias("u_start"), F.col("end_ms").alias("u_end"), "groups")
     met = I.meet(clips, u, ("w_start", "w_end"), ("u_start", "u_end"), I.overlaps("u_start", "u_end", "w_start", "w_end"))
-    g = met.select("media_id", "clip", "seq", "ranges", F.posexplode("groups").alias("group_no", "g"))
-    g = g.select("media_id", "clip", "seq", "ranges", "group_no", F.array_join(F.transform("g", lambda w: w["text"]), " ").alias("karaoke"), F.posexplode("g").alias("active", "w"))
+    g = met.select("media_id", "clip", "seq", "ranges", "w_start", "w_end", F.posexplode("groups").alias("group_no", "g"))
+    g = g.where((F.element_at("g", -1)["end_ms"] > F.col("w_start")) & (F.get("g", F.lit(0))["start_ms"] < F.col("w_end")))
+    g = g.select("media_id", "clip", "seq", "ranges", "group_no", F.array_join(F.transform("g", lambda w: w["text"]), " ").alias("karaoke"), F.posexplode("g").alias("active", "w"), "w_start", "w_end")
+    g = g.where((F.col("w.end_ms") > F.col("w_start")) & (F.col("w.start_ms") < F.col("w_end")))  # words outside have no time in the clip, so no range is searched for them
     cues = g.select("media_id", "clip", "seq", "group_no", "active", "karaoke", F.col("w.text").alias("pop"), I.remap(F.col("w.start_ms"), F.col("ranges")).alias("start_ms"), I.remap(F.col("w.end_ms"), F.col("ranges")).alias("end_ms"))
     return cues.where("end_ms > start_ms")
 
