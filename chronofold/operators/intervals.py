@@ -82,30 +82,33 @@ def meet(left: DataFrame, right: DataFrame, l: tuple[str, str], r: tuple[str, st
     many rows it has. Of right, all columns but media_id come along. With how="left", left rows come once
     for each bin they touch, so group them.
 
-    An interval over more than 64 bins stands there in the bin of its start only. The rest of it is
-    cut into nested bins, tens of rows for any length, and meets the starts of the other side in each
-    level that holds them: again one bin for each pair. Whether there are such intervals is one
-    aggregate of both sides, left out for a side that can't be longer than l_most or r_most.
+    An interval over more than 64 bins stands there in the bin of its start only. The rest of it, as far as
+    the other side has starts in that medium, is cut into nested bins, tens of rows for any length, and meets
+    the starts of the other side in each level that holds them: again one bin for each pair. Whether there are
+    such intervals is one aggregate of both sides, left out for a side that can't be longer than l_most or r_most.
+
+    Sides are merged, never broadcast: Spark's estimate of a size leaves out that bins multiply rows.
     """
     asked = [(k, df, c) for k, df, c, most in ((0, left, l, l_most), (1, right, r, r_most)) if most is None or most >= MANY * BIN_MS]
-    spans = [df.select(F.lit(k).alias("side"), (_last_bin(*c) - _bin(c[0])).alias("bins")) for k, df, c in asked]
-    longest = {x[0]: x[1] or 0 for x in reduce(DataFrame.union, spans).groupBy("side").agg(F.max("bins")).collect()} if spans else {}  # two numbers
+    spans = [df.select(F.lit(k).alias("side"), (_last_bin(*c) - _bin(c[0])).alias("bins"), _bin(c[0]).alias("at")) for k, df, c in asked]
+    known = {x.side: x for x in reduce(DataFrame.union, spans).groupBy("side").agg(F.max("bins").alias("bins"), F.min("at").alias("low"), F.max("at").alias("high")).collect()} if spans else {}  # three numbers a side
     a = in_bins(left, *l, BIN_MS, "_bin", outer=how == "left", many=MANY)
     b = in_bins(right, *r, BIN_MS, "_bin_", many=MANY).withColumnRenamed("media_id", "_media_")
     same = (F.col("media_id") == F.col("_media_")) & (F.col("_bin") == F.col("_bin_")) & (F.col("_bin") == _bin_of_later(l[0], r[0]))
-    out = a.join(b, same & on, how).drop("_bin", "_bin_", "_media_")
+    out = a.join(b.hint("merge"), same & on, how).drop("_bin", "_bin_", "_media_")
     within = (F.col("media_id") == F.col("_media_")) & (F.col("_at") == F.col("_at_"))
-    if longest.get(0, 0) > MANY:
-        k = _levels(longest[0])
+    if _has_long(known.get(0)):
+        k = _levels(_most(known[0], known.get(1)))
         long = _long(left, l)
         starts = _of_media(right, long).withColumnRenamed("media_id", "_media_").withColumn("_at_", F.explode(ancestors(_bin(r[0]), k)))
-        out = out.unionByName(_nested(long, l, k, "_at").join(starts, within & on).drop("_at", "_at_", "_media_"))
-    if longest.get(1, 0) > MANY:
-        k = _levels(longest[1])
+        nested = _nested(_reaching(long, right, r), l, k, "_at", "_last").drop("_last")
+        out = out.unionByName(nested.join(starts.hint("merge"), within & on).drop("_at", "_at_", "_media_"))
+    if _has_long(known.get(1)):
+        k = _levels(_most(known[1], known.get(0)))
         long = _long(right, r)
         starts = _of_media(left, long).withColumn("_at", F.explode(ancestors(_bin(l[0]), k)))
-        nested = _nested(long, r, k, "_at_").withColumnRenamed("media_id", "_media_")
-        out = out.unionByName(starts.join(nested, within & on).drop("_at", "_at_", "_media_"))
+        nested = _nested(_reaching(long, left, l), r, k, "_at_", "_last").drop("_last").withColumnRenamed("media_id", "_media_")
+        out = out.unionByName(starts.join(nested.hint("merge"), within & on).drop("_at", "_at_", "_media_"))
     return out
 
 
@@ -122,6 +125,20 @@ def _levels(bins: int) -> int:
     return min(TOP, (bins.bit_length() + 2) // 3)
 
 
+def _has_long(side) -> bool:
+    return side is not None and (side.bins or 0) > MANY
+
+
+def _most(side, other) -> int:
+    """Bins that the longest interval can share with starts of the other side, if those are known."""
+    return side.bins if other is None or other.high is None else max(1, min(side.bins, other.high - side.low))
+
+
+def _reaching(long: DataFrame, other: DataFrame, c: tuple[str, str]) -> DataFrame:
+    """Long intervals with _last, the last bin of their medium in which an interval of other starts."""
+    return long.join(other.groupBy("media_id").agg(F.max(_bin(c[0])).alias("_last")), "media_id")
+
+
 def _long(df: DataFrame, c: tuple[str, str]) -> DataFrame:
     return df.where(_last_bin(*c) - _bin(c[0]) > MANY)
 
@@ -130,9 +147,10 @@ def _of_media(df: DataFrame, other: DataFrame) -> DataFrame:
     return df.join(other.select("media_id").distinct(), "media_id", "left_semi")
 
 
-def _nested(long: DataFrame, c: tuple[str, str], levels: int, name: str) -> DataFrame:
-    """Long intervals without the bin of their start, one row for each nested bin."""
-    return long.withColumn(name, F.explode(cover(_bin(c[0]) + 1, _last_bin(*c), levels)))
+def _nested(long: DataFrame, c: tuple[str, str], levels: int, name: str, last: str | None = None) -> DataFrame:
+    """Long intervals without the bin of their start and those after the bin named last, one row for each nested bin."""
+    end = _last_bin(*c) if last is None else F.least(_last_bin(*c), F.col(last))
+    return long.withColumn(name, F.explode(cover(_bin(c[0]) + 1, end, levels)))
 
 
 #: Range of time that one task scans when a medium is dealt out: a little over an hour.

@@ -57,6 +57,27 @@ def test_a_stray_border_costs_tens_of_rows(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_bins_are_never_broadcast(spark):
+    many = spark.createDataFrame([("m", k * 1000, k * 1000 + 900) for k in range(2000)], PART)
+    windows = spark.createDataFrame([("m", k, k, 10**13) for k in range(5)], WINDOW)
+    for joined in (I.clip_join(windows, many, 1), I.clip_join(windows, many, 1, how="left")):
+        plan, above = joined._jdf.queryExecution().executedPlan().toString().splitlines(), []
+        assert any("Generate explode" in line for line in plan)
+        for line in plan:
+            depth = len(line) - len(line.lstrip(" :+-"))
+            above = [(d, x) for d, x in above if d < depth] + [(depth, line)]
+            assert "Generate explode" not in line or not any("BroadcastExchange" in x for _, x in above)
+
+
+def test_windows_without_end_stop_at_the_last_start_of_their_medium(spark):
+    windows = spark.createDataFrame([("m", 1, 3, 10**13), ("n", 2, 0, 10**13), ("none", 3, 0, 10**13)], WINDOW)
+    parts = [("m", 0, 10), ("m", 9 * I.BIN_MS, 9 * I.BIN_MS + 5), ("n", 7, 8)]
+    p, c = spark.createDataFrame(parts, PART), ("w_start", "w_end")
+    nested = I._nested(I._reaching(windows, p, ("start_ms", "end_ms")), c, I._levels(I.FAR), "at", "_last")
+    assert sorted((x.clip, x["at"].level, x["at"].bin) for x in nested.collect()) == [(1, 0, b) for b in range(1, 8)] + [(1, 0, 8), (1, 0, 9)]
+    assert I.clip_join(windows, p, 1).count() == 3
+
+
 @given(st.integers(-(10**6), 10**6), st.integers(0, 10**6))
 @settings(max_examples=40, deadline=None)
 def test_cover_is_exact_and_small(spark, low, width):
