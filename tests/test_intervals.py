@@ -57,9 +57,10 @@ def test_a_stray_border_costs_tens_of_rows(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_bins_are_never_broadcast(spark):
-    many = spark.createDataFrame([("m", k * 1000, k * 1000 + 900) for k in range(2000)], PART)
-    windows = spark.createDataFrame([("m", k, k, 10**13) for k in range(5)], WINDOW)
+def test_bins_are_never_broadcast(spark, tmp_path):
+    spark.createDataFrame([("m", k * 1000, k * 1000 + 900) for k in range(2000)], PART).write.parquet(f"{tmp_path}/p")
+    spark.createDataFrame([("m", k, k, 10**13) for k in range(5)], WINDOW).write.parquet(f"{tmp_path}/w")
+    many, windows = spark.read.parquet(f"{tmp_path}/p"), spark.read.parquet(f"{tmp_path}/w")  # files tell Spark how small they are
     for joined in (I.clip_join(windows, many, 1), I.clip_join(windows, many, 1, how="left")):
         plan, above = joined._jdf.queryExecution().executedPlan().toString().splitlines(), []
         assert any("Generate explode" in line for line in plan)
