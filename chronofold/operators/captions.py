@@ -88,18 +88,18 @@ def _shared(chunks: Column, start: Column, end: Column, total: Column, least: in
 
 
 def spread_words(words: Column, start: Column, end: Column) -> Column:
-    """Word times by share of characters over the utterance (the tables have none of their own)."""
-    total = F.greatest(F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)), F.lit(1))
-    return let(total, lambda n: _spread(words, start, end, n))
+    """Word times by share of characters over the utterance (the tables have none of their own).
 
+    Only numbers are folded, as a fold copies what it carries at each step.
+    """
+    so_far = F.aggregate(words, F.array(F.lit(0)), lambda acc, w: F.array_append(acc, F.get(acc, F.size(acc) - 1) + F.length(w)))
 
-def _spread(words: Column, start: Column, end: Column, total: Column) -> Column:
-    def step(acc, w):
-        seen = acc["n"] + F.length(w)
-        item = F.struct((start + F.floor((end - start) * acc["n"] / total)).alias("start_ms"), (start + F.floor((end - start) * seen / total)).alias("end_ms"), w.alias("text"))
-        return F.struct(seen.alias("n"), F.concat(acc["out"], F.array(item)).alias("out"))
+    def spread(seen: Column) -> Column:
+        total = F.greatest(F.get(seen, F.size(seen) - 1), F.lit(1))
+        at = lambda i: start + F.floor((end - start) * F.get(seen, i) / total)
+        return F.transform(words, lambda w, i: F.struct(at(i).alias("start_ms"), at(i + 1).alias("end_ms"), w.alias("text")))
 
-    return F.aggregate(words, F.struct(F.lit(0).alias("n"), F.array().cast(WORDS).alias("out")), step)["out"]
+    return let(so_far, spread)
 
 
 def merge_short(words: Column, least: int = 380) -> Column:

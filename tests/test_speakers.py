@@ -118,3 +118,32 @@ def test_labels_of_any_kind_and_none(spark):
     assert {tuple(r) for r in vectors.assign(df, "k", "v", model, "label").collect()} == {("a", "x", 0.0), ("b", "y", 1.0)}
     assert vectors.assign(df, "k", "v", model.limit(0), "label").count() == 0
     assert Counter(vectors.assign(df, "k", "v", model, "label").columns) == Counter(["k", "nearest", "cosine"])
+
+
+def test_each_vector_is_judged_once(spark):
+    from chronofold.plans import panel as P
+    from chronofold.plans.captioning import _spread
+
+    d = "/root/testdata/sf0.001"
+    u = _spread(spark, d)
+    rows = lambda df: sorted(map(tuple, df.select("media_id", "seq", "pos", "speaker").collect()))
+    each = V.assignments(P.window_voices(spark, d), V.centroids_of(u, P.voices(spark, d)))
+    assert rows(P.window_speakers(spark, d, u)) == rows(each)
+    for q in (P.c8, P.j16):
+        plan = q(spark, d)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert any("embedding#" in line for line in plan) and not any("embedding#" in line and "pos#" in line for line in plan)
+
+
+def test_a_fold_over_words_carries_no_words(spark):
+    from pyspark.sql import functions as F
+
+    from chronofold.operators.captions import spread_words
+
+    words = spark.range(1).select(F.array(F.lit("ab"), F.lit("c"), F.lit("def")).alias("w"), F.lit(100).cast("long").alias("a"), F.lit(700).cast("long").alias("b"))
+    got = words.select(spread_words(F.col("w"), F.col("a"), F.col("b")).alias("t"))
+    assert [tuple(x) for x in got.first().t] == [(100, 300, "ab"), (300, 400, "c"), (400, 700, "def")]
+    for part in got._jdf.queryExecution().analyzed().toString().split("aggregate(")[1:]:
+        depth = [1]
+        for c in part:
+            depth.append(depth[-1] + (c == "(") - (c == ")"))
+        assert "text" not in part[: depth.index(0)]
