@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clip_score
+from ..shared import Kept
 from . import segment as S
 from .intervals import PAIR, clip_join, longest, meet, merge_gap, nearest, overlaps
 
@@ -154,6 +155,7 @@ def apply_adjustments(clips: DataFrame, plan: DataFrame, u: DataFrame, silences:
     asked = met.where("snap is not null")
     windows = resolve_windows(asked.select("media_id", F.struct("clip_id", "clip_index", "pad_ms").alias("id"), F.col("start_ms").alias("cur_start"), F.col("end_ms").alias("cur_end"), "set_start", "set_end", "reach", "lead_ms", "tail_ms", "snap"), u)
     windows = windows.select("media_id", F.col("id").alias("clip"), F.col("start_ms").alias("w_start"), F.col("end_ms").alias("w_end"))
+    windows = Kept(u.sparkSession).keep(windows)  # measured here, then joined twice
     most = longest(windows, "w_start", "w_end")
     new = S.window_text(S.with_cuts(windows, silences, w_most=most), u, w_most=most).withColumn("score", clip_score(F.col("text"), F.col("w_end") - F.col("w_start")))
     new = new.select("media_id", "clip.clip_id", "clip.clip_index", F.col("w_start").alias("start_ms"), F.col("w_end").alias("end_ms"), "text", "score", "cuts", "clip.pad_ms")

@@ -15,21 +15,21 @@ from .prelude import GRID, INSIDE, KEEP, TEXTS, UTTERANCES, score
 from .segments import _base, grid
 
 
-def base_clips(spark, d):
-    """Grid windows as clips, with text, cuts and score."""
-    u, s, m = _base(spark, d)
+def base_clips(spark, d, base=None):
+    """Grid windows as clips, with text, cuts and score. base: utterances, silences and media, if they are at hand."""
+    u, s, m = base or _base(spark, d)
     c = S.with_cuts(S.window_text(grid(m), u), s).withColumn("score", S.clip_score(F.col("text"), F.col("w_end") - F.col("w_start")))
     c = c.withColumns({"clip_index": (F.col("clip") + 1).cast("int"), "clip_id": F.format_string("clip_%03d", F.col("clip") + 1), "pad_ms": F.lit(150).cast("long")})
     return c.select("media_id", "clip_id", "clip_index", F.col("w_start").alias("start_ms"), F.col("w_end").alias("end_ms"), "text", "score", "cuts", "pad_ms")
 
 
-def plan_json(spark, d):
+def plan_json(spark, d, base=None):
     """(media_id, json): an adjustment file for each medium, as its editor would write it.
 
     Of six clips in turn the first absorbs two, the fourth has a clock text as start and every second time an
     end in seconds, the fifth is removed. Every second medium's plan is frozen (no snapping).
     """
-    u, _, m = _base(spark, d)
+    u, _, m = base or _base(spark, d)
     g = grid(m)
     k, sec = F.col("clip") % 6, lambda ms: (ms / 1000).cast("string")
     name = lambda n: F.format_string("clip_%03d", F.col("clip") + 1 + n)
@@ -42,8 +42,12 @@ def plan_json(spark, d):
 
 
 def adjusted(spark, d):
-    u, s, _ = _base(spark, d)
-    return E.apply_adjustments(Kept(spark).keep(base_clips(spark, d)), formats.parse_adjustments(plan_json(spark, d)), u, s)
+    """Adjusted clips and utterances. Utterances, clips and plans are written once, as the checks and joins read each of them often."""
+    kept = Kept(spark)
+    u = kept.keep(tables.utterances(spark, d))
+    base = u, tables.silences(u), tables.media(u)
+    plan = kept.keep(formats.parse_adjustments(plan_json(spark, d, base)))
+    return E.apply_adjustments(kept.keep(base_clips(spark, d, base)), plan, u, base[1]), u
 
 
 def _told(clips):
@@ -52,13 +56,13 @@ def _told(clips):
 
 def c3(spark, d):
     """Adjustment files read and applied: windows, text, score and cuts of the clips that stay."""
-    return _told(adjusted(spark, d))
+    return _told(adjusted(spark, d)[0])
 
 
 def c4(spark, d):
     """The user's parts of the adjusted clips: what is cut and what stays, without padding."""
-    u, _, _ = _base(spark, d)
-    c = E.apply_persona(Kept(spark).keep(adjusted(spark, d)), u, "user")
+    clips, u = adjusted(spark, d)
+    c = E.apply_persona(Kept(spark).keep(clips), u, "user")
     k = S.kept_and_removed(F.col("start_ms"), F.col("end_ms"), F.col("cuts"), 0)
     return c.withColumn("k", k).select("media_id", "clip_id", "pad_ms", F.size("cuts").alias("n_cuts"), "k.kept_ms", "k.removed_ms")
 

@@ -18,3 +18,8 @@ def test_whole_texts_make_names_and_titles(spark):
     assert set(names) == set(texts) and all(texts[k].split()[-1].strip('.:*?"<>|/\\') in names[k] for k in texts)
     long = {r.item_id for r in catalog.QUERIES["f8_whole_title_issues"](spark, SF).collect() if r.issue == "title too long"}
     assert long == {k for k, t in texts.items() if k % 5 and len(t.strip()) > 70}
+
+
+def test_adjusting_reads_its_tables_once(spark):
+    for name in ("c3_f10_f11_apply_adjustments", "c4_f12_f18_apply_persona"):
+        assert "conversations.parquet" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
